@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: ASCII white space, the only word separator of these operators.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -95,8 +94,3 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(min(size, len(words))):
         total = mix64(total + _ODD) + words[k : k + n] * np.uint64(2 * k + 3)
     return np.unique(mix64(total))
-
-
-def by_weight(column: str) -> F.Column:
-    """Null last, then code point order."""
-    return F.col(column).asc_nulls_last()

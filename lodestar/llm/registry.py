@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op4_bpe
+from lodestar.llm import op3_mixing, op4_bpe
 
 
 def queries() -> dict:
-    return {"op4_bpe_roundtrip": op4_bpe.op4_bpe_roundtrip}
+    return {
+        "op3_mix_sources": op3_mixing.op3_mix_sources,
+        "op4_bpe_roundtrip": op4_bpe.op4_bpe_roundtrip,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_mix_sources": op3_mixing.mix_sql()}
