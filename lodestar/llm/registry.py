@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op3_mixing, op4_bpe
+from lodestar.llm import op2_quality, op3_mixing, op4_bpe
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": op2_quality.op2_quality_rules,
         "op3_mix_sources": op3_mixing.op3_mix_sources,
         "op4_bpe_roundtrip": op4_bpe.op4_bpe_roundtrip,
     }
