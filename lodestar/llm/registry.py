@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op2_quality, op3_mixing, op4_bpe
+from lodestar.llm import op2_quality, op3_mixing, op4_bpe, op9_lines
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op2_quality_rules": op2_quality.op2_quality_rules,
         "op3_mix_sources": op3_mixing.op3_mix_sources,
         "op4_bpe_roundtrip": op4_bpe.op4_bpe_roundtrip,
+        "op9_line_dedup": op9_lines.op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_mix_sources": op3_mixing.mix_sql()}
+    return {"op3_mix_sources": op3_mixing.mix_sql(), "op9_line_dedup": op9_lines.line_sql()}
