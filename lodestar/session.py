@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,15 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def on_workers(query):
+    """``query`` with this checkout on the Python workers' path, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+        return query(spark, *args)
+
+    return run
