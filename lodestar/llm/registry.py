@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op2_quality, op3_mixing, op4_bpe, op9_lines
+from lodestar.llm import op2_quality, op3_mixing, op4_bpe, op5_urls, op8_language, op9_lines
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_quality_rules": op2_quality.op2_quality_rules,
         "op3_mix_sources": op3_mixing.op3_mix_sources,
         "op4_bpe_roundtrip": op4_bpe.op4_bpe_roundtrip,
+        "op5_url_filter": op5_urls.op5_url_filter,
+        "op8_language_id": op8_language.op8_language_id,
         "op9_line_dedup": op9_lines.op9_line_dedup,
     }
 
