@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op2_quality, op3_mixing, op4_bpe, op5_urls, op8_language, op9_lines
+from lodestar.llm import op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op8_language, op9_lines
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_mix_sources": op3_mixing.op3_mix_sources,
         "op4_bpe_roundtrip": op4_bpe.op4_bpe_roundtrip,
         "op5_url_filter": op5_urls.op5_url_filter,
+        "op6_nearest": op6_ann.op6_nearest,
         "op8_language_id": op8_language.op8_language_id,
         "op9_line_dedup": op9_lines.op9_line_dedup,
     }
