@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op8_language, op9_lines
+from lodestar.llm import op10_toxicity, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op8_language, op9_lines
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_nearest": op6_ann.op6_nearest,
         "op8_language_id": op8_language.op8_language_id,
         "op9_line_dedup": op9_lines.op9_line_dedup,
+        "op10_toxicity": op10_toxicity.op10_toxicity,
     }
 
 
