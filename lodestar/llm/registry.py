@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op10_toxicity, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op8_language, op9_lines
+from lodestar.llm import op1_jaccard, op10_toxicity, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op8_language, op9_lines
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": op1_jaccard.op1_jaccard_join,
         "op2_quality_rules": op2_quality.op2_quality_rules,
         "op3_mix_sources": op3_mixing.op3_mix_sources,
         "op4_bpe_roundtrip": op4_bpe.op4_bpe_roundtrip,
