@@ -69,6 +69,23 @@ _gap[[9, 10, 11, 12, 13, 32]] = True
 _byte_code = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of bytes, from which any substring's hash follows in constant time."""
+    _grow_powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_byte_code[raw] * _powers[: len(raw)], out=sums[1:])
+    return sums
+
+
+def fingerprints(sums: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes from each position."""
+    n = len(sums) - length
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    salt = np.uint64(int(_ODD) * length % 2**64)
+    return mix64((sums[length:] - sums[:n]) * _inverse[:n] + salt)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each maximal run of bytes outside ASCII white space, in order."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -79,9 +96,7 @@ def word_hashes(text: str) -> np.ndarray:
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.zeros(0, np.uint64)
-    _grow_powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_byte_code[raw] * _powers[: len(raw)], out=sums[1:])
+    sums = prefix_sums(raw)
     return mix64((sums[stop] - sums[start]) * _inverse[start] + (stop - start).astype(np.uint64))
 
 

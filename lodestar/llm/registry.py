@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import op1_jaccard, op10_toxicity, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op8_language, op9_lines
+from lodestar.llm import op1_jaccard, op10_toxicity, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op7_repeats, op8_language, op9_lines
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_bpe_roundtrip": op4_bpe.op4_bpe_roundtrip,
         "op5_url_filter": op5_urls.op5_url_filter,
         "op6_nearest": op6_ann.op6_nearest,
+        "op7_repeated_strings": op7_repeats.op7_repeated_strings,
         "op8_language_id": op8_language.op8_language_id,
         "op9_line_dedup": op9_lines.op9_line_dedup,
         "op10_toxicity": op10_toxicity.op10_toxicity,
