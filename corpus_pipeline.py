@@ -1 +1,65 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality, boilerplate lines, near duplicates, source mix, token ids.
+
+Each stage is written as Parquet and read again, so a lost executor or a failed stage costs no earlier one.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestar.llm.common import shared_dir, table
+from lodestar.llm.op1_jaccard import near_dup_stage
+from lodestar.llm.op2_quality import quality_stage
+from lodestar.llm.op3_mixing import mix_stage
+from lodestar.llm.op4_bpe import bpe_roundtrip
+from lodestar.llm.op9_lines import line_stage
+from lodestar.session import on_workers
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood-ratio threshold."""
+    return quality_stage(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that too much of their source repeats."""
+    return line_stage(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of least id."""
+    return near_dup_stage(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it, or not at all."""
+    return mix_stage(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of each document of the mix."""
+    return bpe_roundtrip(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+#: Hashed n-grams, sampled paths and token ranks are not expressible in SQL; tests compare with plain Python.
+ORACLE_SQL = None
+
+
+@on_workers
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/lodestar/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

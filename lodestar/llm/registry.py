@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestar.llm import op1_jaccard, op10_toxicity, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op7_repeats, op8_language, op9_lines
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_language_id": op8_language.op8_language_id,
         "op9_line_dedup": op9_lines.op9_line_dedup,
         "op10_toxicity": op10_toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
