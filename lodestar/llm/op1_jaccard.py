@@ -157,11 +157,61 @@ def blocked(leaves: DataFrame, block: int) -> DataFrame:
     )
 
 
-def first_shared(a: list[np.ndarray], b: list[np.ndarray], path: int) -> np.ndarray:
-    """Pairs that share no leaf before ``path``: those that are to be judged here."""
-    a = [x[: np.searchsorted(x, path)] for x in a]
-    b = [x[: np.searchsorted(x, path)] for x in b]
-    return overlap(a, b) == 0
+def together(rows: DataFrame) -> DataFrame:
+    """The rows of each (path, i, j) next to each other in one partition; none has more than two blocks of them."""
+    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+
+
+def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[int, int, int], dict[str, np.ndarray]]]:
+    """Each (path, i, j) with its rows as arrays by column, from sorted batches; one batch and one group are held."""
+    rest: pd.DataFrame | None = None
+    names = ["path", "i", "j"]
+    for batch in batches:
+        if not len(batch):
+            continue
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        key = batch[names].to_numpy(np.int64)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        yield from _groups_in(batch.iloc[:last], key, cuts[:-1])
+        rest = batch.iloc[last:]
+    if rest is not None:
+        yield from _groups_in(rest, rest[names].to_numpy(np.int64), [])
+
+
+def per_group(batches, judge, names: tuple[str, ...], rows: int = 5000) -> Iterator[pd.DataFrame]:
+    """What ``judge`` returns for each group, as frames of about ``rows`` rows."""
+    out, size = [], 0
+    for (path, i, j), g in groups(batches):
+        parts = [p for p in judge(path, i, j, g) if len(p[0])]
+        out.extend(parts)
+        size += sum(len(p[0]) for p in parts)
+        if size >= rows:
+            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
+            out, size = [], 0
+    if out:
+        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
+
+
+def _groups_in(rows: pd.DataFrame, key: np.ndarray, cuts) -> Iterator:
+    if len(rows):
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        for at, to in zip([0, *cuts], [*cuts, len(rows)]):
+            if to - at > 1:
+                yield tuple(map(int, key[at])), {c: v[at:to] for c, v in columns.items()}
+
+
+def first_shared(a, b, path: int, same: bool) -> np.ndarray:
+    """Pairs that share no leaf before ``path``: those that are to be judged here; never a node with itself."""
+    if same and len(a) == 2:
+        here = np.zeros((2, 2), bool)
+        here[0, 1] = here[1, 0] = np.intersect1d(a[0], a[1], assume_unique=True)[0] == path
+        return here
+    before = [x[: np.searchsorted(x, path)] for x in a]
+    here = overlap(before, before if same else [x[: np.searchsorted(x, path)] for x in b]) == 0
+    if same:
+        np.fill_diagonal(here, False)
+    return here
 
 
 def overlap(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -169,6 +219,10 @@ def overlap(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.n
     out = np.zeros((len(a), len(b)), np.float32)
     if not a or not b:
         return out
+    if a is b and len(a) == 2:
+        out[0, 1] = out[1, 0] = len(np.intersect1d(a[0], a[1], assume_unique=True))
+        out[0, 0], out[1, 1] = len(a[0]), len(a[1])
+        return out
     fa, fb = np.concatenate(a), np.concatenate(b)
     ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
     if a is b:
@@ -225,27 +279,23 @@ def similar_sets(
     held = leaves.groupBy("node").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     known = stage(held.join(nodes.select("node", "n", "pool"), "node"), "leaf-nodes")
 
-    def rough(pdf: pd.DataFrame) -> pd.DataFrame:
-        path, i, j = int(pdf["path"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["side"] == i], pdf[pdf["side"] == j]
-        here = first_shared(left["paths"].tolist(), right["paths"].tolist(), path)
-        a = [np.frombuffer(x, np.uint64) for x in left["pool"]]
-        b = a if i == j else [np.frombuffer(x, np.uint64) for x in right["pool"]]
+    def rough_one(path, i, j, g) -> list[tuple]:
+        at, to = (g["side"] == i).nonzero()[0], (g["side"] == j).nonzero()[0]
+        here = first_shared(g["paths"][at], g["paths"][to], path, i == j)
         if here.any():
-            here &= rough_similarity(a, left["n"].to_numpy(), b, right["n"].to_numpy(), pool) >= ROUGH
-        if i == j:
-            np.fill_diagonal(here, False)
-        x, y = left["node"].to_numpy()[here.any(1)], right["node"].to_numpy()[here.any(0)]
-        if i == j:
-            x, y = np.union1d(x, y), y[:0]
-        node = np.concatenate([x, y])
-        side = np.repeat(np.array([i, j]), [len(x), len(y)])
-        return pd.DataFrame({"path": path, "i": i, "j": j, "side": side, "node": node})
+            pools = [np.frombuffer(x, np.uint64) for x in g["pool"]]
+            a = [pools[k] for k in at]
+            b = a if i == j else [pools[k] for k in to]
+            here &= rough_similarity(a, g["n"][at], b, g["n"][to], pool) >= ROUGH
+        x, y = at[here.any(1)], to[here.any(0)]
+        rows = np.union1d(x, y) if i == j else np.concatenate([x, y])
+        return [(np.full(len(rows), path), np.full(len(rows), i), np.full(len(rows), j), g["side"][rows], g["node"][rows])]
+
+    def rough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from per_group(batches, rough_one, ("path", "i", "j", "side", "node"))
 
     keys = "path long, i int, j int, side int, node long"
-    candidates = stage(
-        blocked(leaves, block).join(known, "node").groupBy("path", "i", "j").applyInPandas(rough, keys), "candidates"
-    )
+    candidates = stage(together(blocked(leaves, block).join(known, "node")).mapInPandas(rough, keys), "candidates")
     wanted = candidates.select("node").distinct().join(nodes.select("node", "row_key", "copies"), "node")
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,25 +310,24 @@ def similar_sets(
     )
     sets = stage(sets.join(held, "node"), "candidate-sets")
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        path, i, j = int(pdf["path"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["side"] == i], pdf[pdf["side"] == j]
-        here = first_shared(left["paths"].tolist(), right["paths"].tolist(), path)
-        a = [np.frombuffer(x, np.uint64) for x in left["tokens"]]
-        b = a if i == j else [np.frombuffer(x, np.uint64) for x in right["tokens"]]
-        if i == j:
-            np.fill_diagonal(here, False)
+    def verify_one(path, i, j, g) -> list[tuple]:
+        at, to = (g["side"] == i).nonzero()[0], (g["side"] == j).nonzero()[0]
+        here = first_shared(g["paths"][at], g["paths"][to], path, i == j)
         if here.any():
+            sets = [np.frombuffer(x, np.uint64) for x in g["tokens"]]
+            a = [sets[k] for k in at]
+            b = a if i == j else [sets[k] for k in to]
             shared = overlap(a, b).astype(np.float64)
             total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - shared
             here &= shared >= similarity * total - 1e-9
-        return linked(
-            left["node"].to_numpy(), left["copies"].to_numpy(), right["node"].to_numpy(), right["copies"].to_numpy(), here, i == j
-        )
+        if not here.any():
+            return []
+        return linked(g["node"][at], g["copies"][at], g["node"][to], g["copies"][to], here, i == j)
 
-    verified = stage(
-        candidates.join(sets, "node").groupBy("path", "i", "j").applyInPandas(verify, "node long, links long, other long"), "links"
-    )
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from per_group(batches, verify_one, ("node", "links", "other"))
+
+    verified = stage(together(candidates.join(sets, "node")).mapInPandas(verify, "node long, links long, other long"), "links")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("a"), F.col("other").alias("b")))
     joined = roots.join(nodes.select("node", "rep"), "node")
@@ -301,19 +350,21 @@ def similar_sets(
     )
 
 
-def linked(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, near: np.ndarray, same: bool) -> pd.DataFrame:
-    """node, links (copies it is linked to), other (least node joined to it here, directly or through others)."""
+def linked(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, near: np.ndarray, same: bool) -> list[tuple]:
+    """(nodes, copies each is linked to, least node joined to each here, directly or through others), a part per side."""
     lx, ly, far = x.copy(), y.copy(), np.iinfo(np.int64).max
-    while near.any():
+    while True:
         nx = np.minimum(lx, np.where(near, ly[None, :], far).min(1))
         ny = nx if same else np.minimum(ly, np.where(near, nx[:, None], far).min(0))
         if (nx == lx).all() and (ny == ly).all():
             break
         lx, ly = nx, ny
-    rows = [pd.DataFrame({"node": x, "links": near @ cy, "other": lx})[near.any(1)]]
+    some = near.any(1)
+    parts = [(x[some], (near @ cy)[some], lx[some])]
     if not same:
-        rows.append(pd.DataFrame({"node": y, "links": cx @ near, "other": ly})[near.any(0)])
-    return pd.concat(rows)
+        some = near.any(0)
+        parts.append((y[some], (cx @ near)[some], ly[some]))
+    return parts
 
 
 def near_dup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
