@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from lodestar.plans import ingest_queries, retrieval_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (ingest_queries, retrieval_queries):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
