@@ -1,16 +1,18 @@
 """Removal of repeated byte strings: every byte under a LENGTH-byte string that starts anywhere else too.
 
-The corpus is never sorted as a whole. Suffixes are dealt into buckets by fingerprint, each bucket is sorted by
-itself, and only suffixes that can be repeated are dealt at all:
+The corpus is never sorted as a whole: suffixes are dealt into buckets, one bucket is sorted at a time, and only
+suffixes that can be repeated are dealt at all.
 
 1. Texts are told apart by digest. A text that occurs twice is removed whole; one copy stands for all.
-2. The least hashed GRAM-byte gram of a LENGTH-byte window marks it: equal windows have equal marks. Marks found
-   in one text only, and once, cannot belong to a repeated window; that rules out most of the corpus.
-3. The remaining windows' 64-bit fingerprints go through buckets; those that recur come back to their texts,
-   which are then cut.
+2. The least hashed GRAM-byte gram of a LENGTH-byte window marks it: equal windows have equal marks, so the mark names
+   a window's bucket. A mark found once can mark no repeated window; that rules out most of the corpus.
+3. Stretches of windows with one recurring mark travel to its bucket as text, about two bytes a window. The suffixes
+   of a bucket are sorted by mark and fingerprint of LENGTH bytes; those that have an equal come back as intervals.
+4. Marks of more than HOT windows' stretches would make a hot bucket. There are at most total / HOT of them, so that
+   list may be sent to all tasks; their windows are dealt one by one, by fingerprint, deduplicated within a task.
 
-Both 2 and 3 use ``recurring``: fingerprints are packed by the thousand, deduplicated within a task (so a string in a
-third of all texts sends a row per task and not per text), and dealt into buckets of bounded size.
+A fingerprint is constant-time at any position, from running sums. It takes the place that ranks of a cover sample have
+in blockwise suffix sorting: those would be looked up in other executors for each long tie.
 
 Strings are judged on the input. Matches never cross texts. A null text is an empty one; texts under LENGTH bytes
 are left alone. Null and repeated ids are allowed. An empty table gives no rows.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import fingerprints, prefix_sums, stage, table
 from lodestar.llm.op1_jaccard import row_key
 
-LENGTH, GRAM = 200, 16
+LENGTH, GRAM, HOT = 200, 72, 2000
 #: Fingerprints that a task packs together, and that a bucket holds on average.
 PACK, BUCKET = 400_000, 500_000
 
@@ -56,7 +58,11 @@ _KNOWN = np.uint32(0xFFFFFFFF)
 
 
 def pack(owners: list[int], values: list[np.ndarray], again: list[np.ndarray], buckets: int) -> pd.DataFrame:
-    """One row per bucket with all (value, owner) of a group of texts; bucket -1 for what is settled here."""
+    """One row per bucket with all (value, owner) of a group of texts.
+
+    A value that several of them have goes once, without an owner, and its owners get a row that says it recurs; such
+    rows have no index and only pass through a bucket.
+    """
     flat = np.concatenate([*values, *again])
     own = np.repeat(np.arange(len(owners), dtype=np.uint32), [len(v) for v in values])
     own = np.concatenate([own, np.full(len(flat) - len(own), _KNOWN)])
@@ -72,33 +78,35 @@ def pack(owners: list[int], values: list[np.ndarray], again: list[np.ndarray], b
         rows.extend(by_owner(keys[own[real]], flat[real]))
     send = np.concatenate([flat[first[count == 1]], flat[first[count > 1]]])
     who = np.concatenate([own[first[count == 1]], np.full((count > 1).sum(), _KNOWN)])
+    times = np.concatenate([count[count == 1], count[count > 1]]).astype(np.uint32)
     bucket = (send >> np.uint64(40)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
-    send, who, bucket = send[order], who[order], bucket[order]
+    send, who, bucket, times = send[order], who[order], bucket[order], times[order]
     for part in np.split(np.arange(len(send)), np.flatnonzero(np.diff(bucket)) + 1):
         if len(part):
             named = who[part] != _KNOWN
             used, local = np.unique(who[part][named], return_inverse=True)
             index = np.full(len(part), _KNOWN)
             index[named] = local.astype(np.uint32)
-            rows.append((int(bucket[part[0]]), 0, send[part].tobytes(), index.tobytes(), keys[used].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "owner", "values", "index", "owners"])
+            rows.append((int(bucket[part[0]]), 0, send[part].tobytes(), index.tobytes(), keys[used].tobytes(), times[part].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "owner", "values", "index", "owners", "times"])
 
 
 def by_owner(keys: np.ndarray, values: np.ndarray) -> list[tuple]:
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
     cut = np.flatnonzero(np.diff(keys)) + 1
-    return [(-1, int(k[0]), v.tobytes(), b"", b"") for k, v in zip(np.split(keys, cut), np.split(values, cut)) if len(k)]
+    return [(int(k[0] & 0xFF), int(k[0]), v.tobytes(), b"", b"", b"") for k, v in zip(np.split(keys, cut), np.split(values, cut)) if len(k)]
 
 
-def recurring(rows: DataFrame, values_of, buckets: int) -> DataFrame:
-    """(owner, values): of the values in each owner's text, those that occur again there or in another's.
+def recurring(rows: DataFrame, values_of, buckets: int, hot: int) -> DataFrame:
+    """(owner, values, hot): of the values in each owner's text, those that occur again there or in another's.
 
     ``values_of(row)`` gives the distinct values, sorted, and those of them that the text itself has twice.
-    ``rows`` has ``owner`` (long) and what values_of needs; an owner that comes twice is one text.
+    ``rows`` has ``owner`` (long) and what values_of needs; an owner that comes twice is one text. Rows with hot true
+    have no owner and list values of more than ``hot`` occurrences.
     """
-    schema = "bucket long, owner long, values binary, index binary, owners binary"
+    schema = "bucket long, owner long, values binary, index binary, owners binary, times binary"
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owners, values, again, size = {}, [], [], 0
@@ -120,32 +128,72 @@ def recurring(rows: DataFrame, values_of, buckets: int) -> DataFrame:
             yield pack(list(owners), values, again, buckets)
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["values"]])
-        owner, known = [], []
-        for raw, own in zip(pdf["index"], pdf["owners"]):
-            at, keys = np.frombuffer(raw, np.uint32), np.frombuffer(own, np.int64)
-            flag = at == _KNOWN
-            known.append(flag)
-            owner.append(np.where(flag, 0, np.append(keys, 0)[np.where(flag, len(keys), at)]))
-        owner, known = np.concatenate(owner), np.concatenate(known)
-        order = np.argsort(value, kind="stable")
-        value, owner, known = value[order], owner[order], known[order]
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        count = np.diff(np.append(first, len(value)))
-        differ = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-        keep = np.repeat(differ | np.logical_or.reduceat(known, first), count) & np.repeat(count > 1, count) & ~known
-        found = by_owner(owner[keep], value[keep]) if keep.any() else []
-        return pd.DataFrame([(o, v) for _, o, v, _, _ in found], columns=["owner", "values"])
-
-    dealt = stage(rows.mapInPandas(deal, schema), "packed")
-    found = dealt.where("bucket >= 0").groupBy("bucket").applyInPandas(find, "owner long, values binary")
-    every = found.unionByName(dealt.where("bucket < 0").select("owner", "values"))
-    return every.groupBy("owner").agg(F.collect_list("values").alias("values"))
+        settled = pdf["index"].str.len() == 0
+        out = [(o, v, False) for o, v in zip(pdf["owner"][settled], pdf["values"][settled])]
+        pdf = pdf[~settled]
+        if len(pdf):
+            value = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["values"]])
+            times = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["times"]])
+            owner, known = [], []
+            for raw, own in zip(pdf["index"], pdf["owners"]):
+                at, keys = np.frombuffer(raw, np.uint32), np.frombuffer(own, np.int64)
+                flag = at == _KNOWN
+                known.append(flag)
+                owner.append(np.append(keys, 0)[np.where(flag, len(keys), at)])
+            owner, known = np.concatenate(owner), np.concatenate(known)
+            order = np.argsort(value, kind="stable")
+            value, owner, known = value[order], owner[order], known[order]
+            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            count = np.diff(np.append(first, len(value)))
+            differ = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+            keep = np.repeat((differ | np.logical_or.reduceat(known, first)) & (count > 1), count) & ~known
+            if keep.any():
+                out.extend((o, v, False) for _, o, v, *_ in by_owner(owner[keep], value[keep]))
+            often = value[first][np.add.reduceat(times[order].astype(np.int64), first) > hot]
+            if len(often):
+                out.append((0, often.tobytes(), True))
+        return pd.DataFrame(out, columns=["owner", "values", "hot"])
+
+    dealt = rows.mapInPandas(deal, schema)
+    return dealt.groupBy("bucket").applyInPandas(find, "owner long, values binary, hot boolean")
+
+
+def listed_by_owner(found: DataFrame) -> DataFrame:
+    return found.where("not hot").groupBy("owner").agg(F.collect_list("values").alias("values"))
+
+
+def stretches(marks: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last+1 position of each run of wanted windows with one mark."""
+    edge = np.concatenate([[True], (marks[1:] != marks[:-1]) | (wanted[1:] != wanted[:-1])])
+    at = np.flatnonzero(edge)
+    to = np.append(at[1:], len(marks))
+    return at[wanted[at]], to[wanted[at]]
+
+
+def equal_windows(mark: np.ndarray, spans: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows, within the spans of one mark each, that have an equal: row, offset in its span, number."""
+    size = np.array([len(x) for x in spans])
+    begin = np.cumsum(size) - size
+    n = size - length + 1
+    row = np.repeat(np.arange(len(spans)), n)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    h = fingerprints(prefix_sums(np.frombuffer(b"".join(spans), np.uint8)), length)[begin[row] + offset]
+    order = np.argsort(h, kind="stable")
+    same = (h[order][1:] == h[order][:-1]) & (mark[row[order]][1:] == mark[row[order]][:-1])
+    found = np.zeros(len(row), bool)
+    found[order[1:]] = same
+    found[order[:-1]] |= same
+    new = found & ~np.concatenate([[False], found[:-1] & (row[1:] == row[:-1])])
+    at = np.flatnonzero(new)
+    count = np.add.reduceat(found, at) if len(at) else np.zeros(0, np.int64)
+    return row[at], offset[at], count
 
 
 def members(x: np.ndarray, parts: list[bytes]) -> np.ndarray:
     """Which x are among the packed values."""
     known = np.sort(np.concatenate([np.frombuffer(p, np.uint64) for p in parts]))
+    if not len(known):
+        return np.zeros(len(x), bool)
     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
     return known[at] == x
 
@@ -154,7 +202,9 @@ def utf8(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, if asked) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = F.encode(text, "UTF-8")
@@ -178,39 +228,88 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return mine, mine[times > 1]
 
     n_marks = bytes_in * 2 // (length - gram + 2)
-    marked = recurring(
-        docs.select(F.xxhash64(text).alias("owner"), text.alias("text")).where(F.octet_length("text") >= length),
-        marks, max(8, n_marks // BUCKET),
+    hot_bound = max(hot, n_marks // 500_000)
+    marked = stage(
+        recurring(
+            docs.select(F.xxhash64(text).alias("owner"), text.alias("text")).where(F.octet_length("text") >= length),
+            marks, max(8, n_marks // BUCKET), hot_bound,
+        ),
+        "marks",
     )
-    listed = reps.join(marked, "owner").select("row_key", "owner", "digest", F.col("values").alias("marks"))
+    # At most n_marks / hot_bound, that is 500,000 values, whatever the size of the corpus.
+    hot_rows = marked.where("hot").select("values").toPandas()["values"].tolist()
+    hot_marks = np.sort(np.frombuffer(b"".join(hot_rows), np.uint64))
+    listed = reps.join(listed_by_owner(marked), "owner").select("row_key", "owner", "digest", F.col("values").alias("marks"))
     held = stage(source.join(listed, "row_key").select("owner", "digest", "text", "marks"), "marked-texts")
 
-    def windows(row) -> tuple[np.ndarray, np.ndarray]:
-        sums = prefix_sums(utf8(row.text))
-        return distinct_and_again(fingerprints(sums, length)[members(window_marks(sums, length, gram), row.marks)])
-
-    n_windows = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    repeats = recurring(held, windows, max(8, n_windows // BUCKET))
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for owner, body, parts in zip(batch["owner"], batch["text"], batch["marks"]):
+                data = utf8(body)
+                m = window_marks(prefix_sums(data), length, gram)
+                wanted = members(m, parts) & ~members(m, [hot_marks.tobytes()])
+                for at, to in zip(*stretches(m, wanted)):
+                    rows.append((int(m[at].view(np.int64)), owner, int(at), data[at : to + length - 1].tobytes()))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=["mark", "owner", "start", "span"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["mark", "owner", "start", "span"])
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            open_mark = rows["mark"].iloc[-1] if len(rows) else None
+            cut_at = int((rows["mark"] != open_mark).sum())
+            rest = rows.iloc[cut_at:]
+            yield intervals(rows.iloc[:cut_at])
+        if rest is not None:
+            yield intervals(rest)
+
+    def intervals(rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"owner": [], "start": [], "n": []})
+        row, offset, n = equal_windows(rows["mark"].to_numpy(), rows["span"].tolist(), length)
+        return pd.DataFrame({"owner": rows["owner"].to_numpy()[row], "start": rows["start"].to_numpy()[row] + offset, "n": n})
+
+    dealt = held.select("owner", "text", "marks").mapInPandas(spans, "mark long, owner long, start long, span binary")
+    found = dealt.repartition("mark").sortWithinPartitions("mark").mapInPandas(match, "owner long, start long, n long")
+    result = found.groupBy("owner").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
+    result = result.withColumn("values", F.lit(None).cast("array<binary>"))
+    if len(hot_marks):
+
+        def windows(row) -> tuple[np.ndarray, np.ndarray]:
+            sums = prefix_sums(utf8(row.text))
+            return distinct_and_again(fingerprints(sums, length)[members(window_marks(sums, length, gram), [hot_marks.tobytes()])])
+
+        n_windows = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ones = listed_by_owner(recurring(held, windows, max(8, n_windows // BUCKET), 1 << 62))
+        result = result.drop("values").join(ones, "owner", "full")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, parts in zip(batch["text"], batch["values"]):
-                data = utf8(text)
-                starts = np.flatnonzero(members(fingerprints(prefix_sums(data), length), parts))
+            for body, starts, ns, parts in zip(batch["text"], batch["starts"], batch["ns"], batch["values"]):
+                data = utf8(body)
                 depth = np.zeros(len(data) + 1, np.int64)
-                np.add.at(depth, starts, 1)
-                np.add.at(depth, starts + length, -1)
+                if starts is not None:
+                    np.add.at(depth, starts, 1)
+                    np.add.at(depth, starts + ns + (length - 1), -1)
+                if parts is not None:
+                    at = np.flatnonzero(members(fingerprints(prefix_sums(data), length), parts))
+                    np.add.at(depth, at, 1)
+                    np.add.at(depth, at + length, -1)
                 gone = np.cumsum(depth[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                spans_gone = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 kept = data[~gone].tobytes()
-                rows.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                rows.append((int(gone.sum()), spans_gone, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             out = pd.DataFrame(rows, columns=["removed", "spans", "kept_digest", "kept"])
             out.insert(0, "cut", batch["digest"])
             yield out
 
     result = stage(
-        held.join(repeats, "owner").select("digest", "text", "values")
+        held.join(result, "owner").select("digest", "text", "starts", "ns", "values")
         .mapInPandas(cut, "cut string, removed long, spans long, kept_digest string, kept binary"),
         "cut-texts",
     )
