@@ -5,8 +5,8 @@ mean vector of its hashed character trigrams. Windows of WIDTH words, every STRI
 go through a forward and a backward gated recurrent unit; attention pools the states and a logistic output
 scores the window. A document's score is that of its worst window.
 
-Training takes at most SAMPLE documents of each label in hash order: a bounded, documented sample of labelled
-rows. A toxic document teaches by its worst window, found anew each round, a clean one by its worst and some
+Training takes at most SAMPLE toxic documents and CLEAN_PER_TOXIC times as many clean ones, in hash order: a bounded,
+documented sample of labelled rows. A toxic document teaches by its worst window, found anew each round, a clean one by its worst and some
 others; the first rounds use random windows of both.
 
 Texts are lower-cased; words are runs of letters, digits and underscores. Null, empty and wordless texts
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import table
 
 WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS = 32, 16, 8, 12, 12, 1 << 14
-SAMPLE, MIN_COUNT, ROUNDS, WARM_ROUNDS = 1200, 3, 10, 3
+SAMPLE, CLEAN_PER_TOXIC, MIN_COUNT, ROUNDS, WARM_SHARE, MIN_STEPS, MAX_ROUNDS = 1200, 4, 3, 12, 0.3, 600, 60
 #: Words scored together; bounds a worker's memory.
 TOGETHER = 200_000
 _word = re.compile(r"\w+")
@@ -200,19 +200,26 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     names = np.array([""] + list(number), dtype=object)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    shares = max(1, round((y == 0).sum() / (1.5 * (y == 1).sum() + 100)))
+    # Few documents make few steps a round, so they get more rounds.
+    rounds = min(MAX_ROUNDS, max(rounds, -(-MIN_STEPS * 128 // (3 * len(cut)))))
     step = 0
     for turn in range(rounds):
-        worst = [int(s.argmax()) if len(s) else 0 for s in net.window_scores(split)] if turn >= WARM_ROUNDS else None
+        # Clean documents take turns, so that each round sees about as many of them as toxic ones.
+        now = [i for i in range(len(cut)) if y[i] or i % shares == turn % shares]
+        warm = turn < WARM_SHARE * rounds
+        worst = {} if warm else {i: int(s.argmax()) for i, s in zip(now, net.window_scores([split[i] for i in now]))}
         picked, goal = [], []
-        for i, w in enumerate(cut):
-            some = set(rng.integers(0, len(w), 4).tolist()) if worst is None or not y[i] else set()
-            if worst is not None:
+        for i in now:
+            w = cut[i]
+            some = set(rng.integers(0, len(w), 4).tolist()) if warm or not y[i] else set()
+            if not warm:
                 some.add(worst[i])
             for j in sorted(some):
                 picked.append(w[j])
                 goal.append(y[i])
         ids, target = np.stack(picked), np.array(goal, np.float32)
-        cost = np.where(target > 0, (target == 0).sum() / max(1, (target > 0).sum()), 1.0).astype(np.float32)
+        cost = np.ones(len(ids), np.float32)
         order = rng.permutation(len(ids))
         for at in range(0, len(order), 128):
             rows = order[at : at + 128]
@@ -234,12 +241,12 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``sample`` learnable documents of each label."""
+    """(text, toxic) of at most ``sample`` toxic learnable documents and CLEAN_PER_TOXIC times as many clean ones."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("known_id"), "toxic").groupBy("known_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("known_id"), F.col("known_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(
-        known.where("toxic = 0").orderBy(*order).limit(sample)
+        known.where("toxic = 0").orderBy(*order).limit(CLEAN_PER_TOXIC * sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("known_id"))
     return rows.where("text is not null").orderBy("toxic", "doc_id", "text").select("text", "toxic")
