@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from lodestar.functions import ids, text
@@ -12,13 +13,13 @@ from lodestar.functions import ids, text
 CHUNK_WORDS, OVERLAP_WORDS = 600, 80
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_dropping(content: pd.Series) -> pd.Series:
     """UTF-8 with invalid bytes dropped, which no built-in function does."""
     return content.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pdf_text(content: pd.Series) -> pd.Series:
     """Page texts joined by a blank line; needs pypdf on the workers."""
     import io

@@ -10,9 +10,6 @@ from lodestar.operators import dedupe, ingest
 from lodestar.plans import sql
 from lodestar.session import table
 
-NAME = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-
-
 def word_tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
     w = text.words(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.size(w).alias("tokens"), F.get(w, 0).alias("first_word"), F.size(F.array_distinct(w)).alias("distinct_tokens"))
@@ -40,7 +37,8 @@ def chunk_counts_per_doc(spark, sf):
 
 
 def doc_and_point_ids(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("doc_key", ids.doc_key(NAME, F.octet_length("text")))
+    name = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    docs = table(spark, sf, "documents").withColumn("doc_key", ids.doc_key(name, F.octet_length("text")))
     chunks = ingest.points(ingest.chunk_words(docs, key="doc_key"), F.col("doc_key"))
     return chunks.select("doc_key", "chunk_no", "chunk_id", "point_id")
 
