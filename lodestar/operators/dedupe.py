@@ -15,8 +15,11 @@ def near_pairs(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     verified on the whole sets. Documents with equal sets are one node throughout; their pairs are listed at the
     end, as this report asks for them.
     """
-    count = F.greatest(F.size("w") - (size - 1), F.lit(1))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " "))))
+    # The words are bound as a lambda's variable: inlined, their split would run again for each shingle.
+    shingled = lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))
+    )
+    grams = F.array_distinct(F.element_at(F.transform(F.array("w"), shingled), 1))
     keyed = docs.where("size(w) > 0").select("doc_id", F.sort_array(grams).alias("s")).withColumn("set_id", F.sha2(F.array_join("s", ","), 256))
     nodes = keyed.groupBy("set_id").agg(F.first("s").alias("s"))
     each = nodes.select("set_id", F.size("s").alias("n"), F.explode("s").alias("g"))
