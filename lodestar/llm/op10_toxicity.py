@@ -6,8 +6,9 @@ go through a forward and a backward gated recurrent unit; attention pools the st
 scores the window. A document's score is that of its worst window.
 
 Training takes at most SAMPLE toxic documents and CLEAN_PER_TOXIC times as many clean ones, in hash order: a bounded,
-documented sample of labelled rows. A toxic document teaches by its worst window, found anew each round, a clean one by its worst and some
-others; the first rounds use random windows of both.
+documented sample of labelled rows. A toxic document teaches by its worst window, found anew each round, a clean one by its worst
+and some others; in the first rounds, by the window with the word that toxic documents have most in excess, and by random
+ones. A word's vector starts from that excess too, where it is beyond chance.
 
 Texts are lower-cased; words are runs of letters, digits and underscores. Null, empty and wordless texts
 score 0. With labels of one kind only, every score is 0. Null ids are not learned from and not held out. Repeated
@@ -16,6 +17,7 @@ rows score alike. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +31,7 @@ from lodestar.llm.common import table
 
 WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS = 32, 16, 8, 12, 12, 1 << 14
 SAMPLE, CLEAN_PER_TOXIC, MIN_COUNT, ROUNDS, WARM_SHARE, MIN_STEPS, MAX_ROUNDS = 1200, 4, 3, 12, 0.3, 600, 60
+RATE, DECAY, CLEAR = 0.01, 0.1, 4.0
 #: Words scored together; bounds a worker's memory.
 TOGETHER = 200_000
 _word = re.compile(r"\w+")
@@ -185,6 +188,14 @@ class Network:
         return out
 
 
+def excess_of(split, y) -> dict[str, float]:
+    """How far each word's count of toxic texts lies above its expectation, in standard deviations."""
+    share = y.mean()
+    n = Counter(w for s in split for w in set(s))
+    hits = Counter(w for s, toxic in zip(split, y) if toxic for w in set(s))
+    return {w: (hits[w] - k * share) / math.sqrt(k * share * (1 - share)) for w, k in n.items()}
+
+
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 5) -> Network | None:
     """A network from labelled texts, or None if they hold one label only."""
     split = [words_of(t) for t in texts]
@@ -198,6 +209,12 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     number: dict[str, int] = {}
     cut = [windows(np.array([number.setdefault(w, len(number) + 1) for w in s], np.int32)) for s in split]
     names = np.array([""] + list(number), dtype=object)
+    excess = excess_of(split, y)
+    strength = np.array([-math.inf, *(excess[w] for w in number)])
+    telling = {i: int(strength[w].max(1).argmax()) for i, w in enumerate(cut) if y[i]}
+    # The first part of a word's vector starts from its excess, where that is beyond chance.
+    for i, w in enumerate(common):
+        net.p["word"][i + 1, 0] = min(excess[w], CLEAR * 3) / CLEAR if excess[w] > CLEAR else 0
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     shares = max(1, round((y == 0).sum() / (1.5 * (y == 1).sum() + 100)))
@@ -208,19 +225,20 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         # Clean documents take turns, so that each round sees about as many of them as toxic ones.
         now = [i for i in range(len(cut)) if y[i] or i % shares == turn % shares]
         warm = turn < WARM_SHARE * rounds
-        worst = {} if warm else {i: int(s.argmax()) for i, s in zip(now, net.window_scores([split[i] for i in now]))}
+        worst = telling if warm else {i: int(s.argmax()) for i, s in zip(now, net.window_scores([split[i] for i in now]))}
         picked, goal = [], []
         for i in now:
             w = cut[i]
-            some = set(rng.integers(0, len(w), 4).tolist()) if warm or not y[i] else set()
-            if not warm:
-                some.add(worst[i])
+            some = {worst[i]} if y[i] or not warm else set()
+            if not y[i]:
+                some.update(rng.integers(0, len(w), 4).tolist())
             for j in sorted(some):
                 picked.append(w[j])
                 goal.append(y[i])
         ids, target = np.stack(picked), np.array(goal, np.float32)
         cost = np.ones(len(ids), np.float32)
         order = rng.permutation(len(ids))
+        rate = RATE * (1 - turn / rounds)
         for at in range(0, len(order), 128):
             rows = order[at : at + 128]
             used, local = np.unique(ids[rows], return_inverse=True)
@@ -232,7 +250,9 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             for k in net.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] * g[k]
-                net.p[k] -= (0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                moved = (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                # Trigrams decay, so that what no step supports stays small.
+                net.p[k] -= (rate * (moved + (DECAY * net.p[k] if k == "char" else 0))).astype(np.float32)
     return net
 
 
