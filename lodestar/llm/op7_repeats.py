@@ -7,12 +7,15 @@ suffixes that can be repeated are dealt at all.
 2. The least hashed GRAM-byte gram of a LENGTH-byte window marks it: equal windows have equal marks, so the mark names
    a window's bucket. A mark found once can mark no repeated window; that rules out most of the corpus.
 3. Stretches of windows with one recurring mark travel to its bucket as text, about two bytes a window. The suffixes
-   of a bucket are sorted by mark and fingerprint of LENGTH bytes; those that have an equal come back as intervals.
+   of a bucket are sorted by mark and fingerprint of LENGTH bytes, neighbours compared byte by byte, and groups whose
+   bytes differ sorted by their bytes; those that have an equal come back as intervals.
 4. Marks of more than HOT windows' stretches would make a hot bucket. There are at most total / HOT of them, so that
    list may be sent to all tasks; their windows are dealt one by one, by fingerprint, deduplicated within a task.
+   Only there is an equal fingerprint taken for equal bytes.
 
 A fingerprint is constant-time at any position, from running sums. It takes the place that ranks of a cover sample have
-in blockwise suffix sorting: those would be looked up in other executors for each long tie.
+in blockwise suffix sorting: those would be looked up in other executors for each long tie. No suffix order of the
+corpus, difference cover or rank is built.
 
 Strings are judged on the input. Matches never cross texts. A null text is an empty one; texts under LENGTH bytes
 are left alone. Null and repeated ids are allowed. An empty table gives no rows.
@@ -170,16 +173,37 @@ def stretches(marks: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[wanted[at]], to[wanted[at]]
 
 
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes from each a and b are equal, eight at a time."""
+    step = min(8, length)
+    words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)) if step == 8 else raw
+    same = np.ones(len(a), bool)
+    for k in {*range(0, length - step + 1, step), length - step} if step == 8 else range(length):
+        same &= words[a + k] == words[b + k]
+    return same
+
+
 def equal_windows(mark: np.ndarray, spans: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows, within the spans of one mark each, that have an equal: row, offset in its span, number."""
+    """Runs of windows, within the spans of one mark each, sorted by it, that have an equal: row, offset in its span, number."""
     size = np.array([len(x) for x in spans])
     begin = np.cumsum(size) - size
     n = size - length + 1
     row = np.repeat(np.arange(len(spans)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    h = fingerprints(prefix_sums(np.frombuffer(b"".join(spans), np.uint8)), length)[begin[row] + offset]
+    raw, at = np.frombuffer(b"".join(spans), np.uint8), begin[row] + offset
+    h = fingerprints(prefix_sums(raw), length)[at]
     order = np.argsort(h, kind="stable")
     same = (h[order][1:] == h[order][:-1]) & (mark[row[order]][1:] == mark[row[order]][:-1])
+    near = np.flatnonzero(same)
+    differ = near[~same_bytes(raw, at[order[near]], at[order[near + 1]], length)]
+    if len(differ):
+        group = np.concatenate([[0], np.cumsum(~same)])
+        mixed = np.flatnonzero(np.isin(group, group[differ]))
+        body = {i: raw[at[i] : at[i] + length].tobytes() for i in order[mixed].tolist()}
+        ranked = sorted(zip(group[mixed].tolist(), order[mixed].tolist()), key=lambda x: (x[0], body[x[1]]))
+        order[mixed] = [i for _, i in ranked]
+        for k in mixed[mixed < len(same)].tolist():
+            same[k] &= body[order[k]] == body.get(order[k + 1])
     found = np.zeros(len(row), bool)
     found[order[1:]] = same
     found[order[:-1]] |= same

@@ -345,6 +345,20 @@ def test_op7_against_brute_force(spark, hot):
     assert op7_repeats.cut_repeats(df.limit(0)).count() == 0
 
 
+def test_op7_equal_fingerprints_are_checked_on_bytes(monkeypatch):
+    r = random.Random(5)
+    spans = ["".join(r.choice("ab") for _ in range(n)).encode() for n in (14, 30, 12, 40, 25)] + [b"abbab" * 8, b"abbab" * 6]
+    mark, length = np.array([1, 1, 1, 1, 1, 2, 2]), 12
+    want = Counter((m, s[i : i + length]) for m, s in zip(mark, spans) for i in range(len(s) - length + 1))
+    want = {(j, i) for j, (m, s) in enumerate(zip(mark, spans)) for i in range(len(s) - length + 1) if want[m, s[i : i + length]] > 1}
+    for mask in (0, 1, 2**64 - 1):
+        exact = op7_repeats.fingerprints
+        with monkeypatch.context() as patch:
+            patch.setattr(op7_repeats, "fingerprints", lambda sums, n: exact(sums, n) & np.uint64(mask))
+            row, offset, n = op7_repeats.equal_windows(mark, spans, length)
+        assert {(int(a), int(b) + k) for a, b, c in zip(row, offset, n) for k in range(c)} == want
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
