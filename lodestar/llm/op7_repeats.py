@@ -9,9 +9,9 @@ suffixes that can be repeated are dealt at all.
 3. Stretches of windows with one recurring mark travel to its bucket as text, about two bytes a window. The suffixes
    of a bucket are sorted by mark and fingerprint of LENGTH bytes, neighbours compared byte by byte, and groups whose
    bytes differ sorted by their bytes; those that have an equal come back as intervals.
-4. Marks of more than HOT windows' stretches would make a hot bucket. There are at most total / HOT of them, so that
-   list may be sent to all tasks; their windows are dealt one by one, by fingerprint, deduplicated within a task.
-   Only there is an equal fingerprint taken for equal bytes.
+4. Marks of more than HOT stretches, or windows enough for so many, would make a hot bucket. There are at most about
+   total / HOT of them, so that list may be sent to all tasks; their windows are dealt one by one, by fingerprint,
+   deduplicated within a task. Only there is an equal fingerprint taken for equal bytes.
 
 A fingerprint is constant-time at any position, from running sums. It takes the place that ranks of a cover sample have
 in blockwise suffix sorting: those would be looked up in other executors for each long tie. No suffix order of the
@@ -105,7 +105,8 @@ def by_owner(keys: np.ndarray, values: np.ndarray) -> list[tuple]:
 def recurring(rows: DataFrame, values_of, buckets: int, hot: int) -> DataFrame:
     """(owner, values, hot): of the values in each owner's text, those that occur again there or in another's.
 
-    ``values_of(row)`` gives the distinct values, sorted, and those of them that the text itself has twice.
+    ``values_of(row)`` gives the distinct values, sorted, and those of them that the text itself has twice, each as
+    often as it counts beyond once.
     ``rows`` has ``owner`` (long) and what values_of needs; an owner that comes twice is one text. Rows with hot true
     have no owner and list values of more than ``hot`` occurrences.
     """
@@ -173,6 +174,18 @@ def stretches(marks: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[wanted[at]], to[wanted[at]]
 
 
+def text_marks(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct marks of a text, and those it has twice, as often as their stretches or windows count beyond one."""
+    sums = prefix_sums(data)
+    m, grams = window_marks(sums, length, gram), np.sort(fingerprints(sums, gram))
+    mine, at, windows = np.unique(m, return_inverse=True, return_counts=True)
+    times = np.searchsorted(grams, mine, "right") - np.searchsorted(grams, mine)
+    runs = np.bincount(at[np.concatenate([[True], m[1:] != m[:-1]])], minlength=len(mine))
+    # A gram that occurs once marks length - gram + 1 windows at most.
+    worth = np.maximum(runs, -(-windows // (length - gram + 1)))
+    return mine, np.repeat(mine, np.maximum(times > 1, worth - 1))
+
+
 def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether the ``length`` bytes from each a and b are equal, eight at a time."""
     step = min(8, length)
@@ -246,10 +259,7 @@ def cut_repeats(
     source = docs.select(row_key(id_col, text_col).alias("row_key"), text.alias("text")).where(F.octet_length("text") >= length)
 
     def marks(row) -> tuple[np.ndarray, np.ndarray]:
-        sums = prefix_sums(utf8(row.text))
-        mine, grams = np.unique(window_marks(sums, length, gram)), np.sort(fingerprints(sums, gram))
-        times = np.searchsorted(grams, mine, "right") - np.searchsorted(grams, mine)
-        return mine, mine[times > 1]
+        return text_marks(utf8(row.text), length, gram)
 
     n_marks = bytes_in * 2 // (length - gram + 2)
     hot_bound = max(hot, n_marks // 500_000)
@@ -260,7 +270,7 @@ def cut_repeats(
         ),
         "marks",
     )
-    # At most n_marks / hot_bound, that is 500,000 values, whatever the size of the corpus.
+    # About n_marks / hot_bound at most, that is 500,000 values, whatever the size of the corpus.
     hot_rows = marked.where("hot").select("values").toPandas()["values"].tolist()
     hot_marks = np.sort(np.frombuffer(b"".join(hot_rows), np.uint64))
     listed = reps.join(listed_by_owner(marked), "owner").select("row_key", "owner", "digest", F.col("values").alias("marks"))
@@ -281,15 +291,18 @@ def cut_repeats(
             yield pd.DataFrame(rows, columns=["mark", "owner", "start", "span"])
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        waiting: list[pd.DataFrame] = []
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            open_mark = rows["mark"].iloc[-1] if len(rows) else None
-            cut_at = int((rows["mark"] != open_mark).sum())
-            rest = rows.iloc[cut_at:]
-            yield intervals(rows.iloc[:cut_at])
-        if rest is not None:
-            yield intervals(rest)
+            if not len(batch):
+                continue
+            last = batch["mark"].iloc[-1]
+            cut_at = int((batch["mark"] != last).sum())
+            if cut_at or (waiting and waiting[-1]["mark"].iloc[-1] != last):
+                yield intervals(pd.concat([*waiting, batch.iloc[:cut_at]], ignore_index=True))
+                waiting = []
+            waiting.append(batch.iloc[cut_at:])
+        if waiting:
+            yield intervals(pd.concat(waiting, ignore_index=True))
 
     def intervals(rows: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):

@@ -359,6 +359,17 @@ def test_op7_equal_fingerprints_are_checked_on_bytes(monkeypatch):
         assert {(int(a), int(b) + k) for a, b, c in zip(row, offset, n) for k in range(c)} == want
 
 
+def test_op7_mark_repeated_within_few_texts_is_hot(spark, monkeypatch):
+    passage = prose(90, 51)[:260]
+    texts = [passage * 30, "x" + passage * 25, prose(100, 52), "y" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    calls, plain = [], op7_repeats.recurring
+    monkeypatch.setattr(op7_repeats, "recurring", lambda *a: calls.append(1) or plain(*a))
+    got = op7_repeats.cut_repeats(df, hot=20).collect()
+    same_rows([r[:5] for r in got], [(i, *c) for i, c in enumerate(brute_cut(texts))])
+    assert len(calls) == 2
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
