@@ -103,8 +103,18 @@ def multi_query_union(spark, sf):
     return hits.groupBy(conv, "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("found_by"))
 
 
+def multi_query_chunks(spark, sf):
+    """multi_query_union on whole turns and on chunks: all terms of every user turn search all chunks."""
+    turns = table(spark, sf, "conversations").where("role = 'user'")
+    q = turns.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), text.terms(F.col("text")).alias("terms"))
+    hits = search.top_k(search.bm25(q, chunks_as_items(spark, sf)), 5)
+    conv = F.split("query_id", ":")[0].cast("long").alias("conv_id")
+    return hits.groupBy(conv, F.col("item_id").alias("chunk_id")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("found_by"))
+
+
 QUERIES = {f.__name__: f for f in (
     dense_topk, dense_topk_filtered, dense_min_score, vector_dim_check, bm25_topk, bm25_index_stats, hashed_dense_topk, hybrid_rrf, multi_query_union,
+    multi_query_chunks,
 )}
 
 
@@ -132,4 +142,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
     "multi_query_union": f"""WITH asked AS (SELECT conv_id || ':' || turn AS query_id, ({sql.terms('text')})[1:8] AS terms FROM conversations WHERE role = 'user'),
 items AS (SELECT item_id, {sql.terms('text')} AS terms FROM benchmark), {sql.bm25(5)}
 SELECT CAST(split_part(query_id, ':', 1) AS BIGINT) AS conv_id, item_id, max(score) AS score, count(*) AS found_by FROM lexical GROUP BY ALL""",
+    "multi_query_chunks": f"""WITH asked AS (SELECT conv_id || ':' || turn AS query_id, {sql.terms('text')} AS terms FROM conversations WHERE role = 'user'),
+{sql.items_of_chunks()}, {sql.bm25(5)}
+SELECT CAST(split_part(query_id, ':', 1) AS BIGINT) AS conv_id, item_id AS chunk_id, max(score) AS score, count(*) AS found_by FROM lexical GROUP BY ALL""",
 }

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import answer, dedupe, evaluate, ingest, observe, search
+from lodestar.plans import retrieval_queries
 from lodestar.sources import readers, writers
 
 
@@ -112,3 +113,13 @@ def test_top_k_ties_go_to_the_smaller_item(spark):
 def test_limits_count_the_window_up_to_the_event(spark):
     events = spark.createDataFrame([(1, 0), (1, 5), (1, 9), (1, 30), (2, 0)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
     assert [r.recent for r in observe.over_limit(events, 10, 2).collect()] == [3]
+
+
+def test_multi_query_takes_late_words_of_a_turn_and_finds_chunks(spark, tmp_path):
+    filler = " ".join(f"w{i}" for i in range(9))
+    turns = [(1, 0, "user", f"{filler} needle"), (1, 1, "assistant", "haystack"), (1, 2, "user", "Needle! other")]
+    docs = [(1, " ".join(f"x{i}" for i in range(700)) + " needle"), (2, "haystack"), (3, "other words")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.conv_id, r.chunk_id): r.found_by for r in retrieval_queries.multi_query_chunks(spark, str(tmp_path)).collect()}
+    assert got == {(1, "1:1"): 2, (1, "3:0"): 1}
