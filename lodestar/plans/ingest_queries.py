@@ -67,6 +67,21 @@ def incremental_new_chunks(spark, sf):
     return ingest.unchanged_removed(new, known).select("chunk_id", "content_sha")
 
 
+def _revised(spark, sf):
+    """Every document comes again whole; two of three with a word more at the end, or their middle word replaced."""
+    w = text.words(F.col("text"))
+    at = F.floor(F.size("w") / 2).cast("int")
+    middle = F.concat(F.slice("w", F.lit(1), at), F.array(F.lit("revised")), F.slice("w", at + 2, F.size("w")))
+    new = F.when(F.col("doc_id") % 3 == 1, F.concat("w", F.array(F.lit("appended")))).when(F.col("doc_id") % 3 == 2, middle).otherwise(F.col("w"))
+    return table(spark, sf, "documents").withColumn("w", w).withColumn("text", F.array_join(new, " ")).drop("w")
+
+
+def incremental_revised_chunks(spark, sf):
+    """incremental_new_chunks with a second batch of all documents, whole and revised."""
+    new, known = _points(_revised(spark, sf), "second"), _points(table(spark, sf, "documents"), "first")
+    return ingest.unchanged_removed(new, known).select("chunk_id", "content_sha")
+
+
 def exact_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", ids.content_sha(F.col("text")).alias("content_sha"))
     return docs.groupBy("content_sha").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
@@ -116,7 +131,7 @@ def near_dup_pairs(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     word_tokenize_counts, chunk_fixed_window, chunk_no_redundant_tail, chunk_sentence_budget, chunk_counts_per_doc, doc_and_point_ids, chunk_upsert_latest,
-    chunk_replace_by_doc, incremental_new_chunks, exact_dedup, near_dup_pairs, index_stats, html_to_text, file_suffix_dispatch, payload_map_roundtrip, repeated_line_cleaning,
+    chunk_replace_by_doc, incremental_new_chunks, incremental_revised_chunks, exact_dedup, near_dup_pairs, index_stats, html_to_text, file_suffix_dispatch, payload_map_roundtrip, repeated_line_cleaning,
 )}
 
 _SECOND = "second_docs AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS text FROM documents WHERE doc_id % 2 = 0)"
@@ -129,6 +144,9 @@ def _chunked(name: str, source: str, batch: str) -> str:
 
 
 _BOTH = f"WITH {_SECOND}, {_chunked('a', 'documents', 'first')}, {_chunked('b', 'second_docs', 'second')}"
+_REVISED = f"""revised_w AS (SELECT doc_id, {sql.words('text')} AS w FROM documents),
+revised AS (SELECT doc_id, array_to_string(CASE doc_id % 3 WHEN 1 THEN list_append(w, 'appended')
+  WHEN 2 THEN list_concat(w[1:len(w) // 2], ['revised'], w[len(w) // 2 + 2:]) ELSE w END, ' ') AS text FROM revised_w)"""
 _MARKUP = text.MARKUP.replace("'", "''")
 _BODY = f"regexp_replace(html, '{_MARKUP}', ' ', 'g')"
 for _entity, _plain in text.ENTITIES:
@@ -149,6 +167,7 @@ SELECT doc_key, chunk_no, doc_key || ':' || chunk_no AS chunk_id, CAST('0x' || s
     "chunk_upsert_latest": f"{_BOTH} SELECT chunk_id, tokens, batch FROM b UNION ALL SELECT chunk_id, tokens, batch FROM a WHERE chunk_id NOT IN (SELECT chunk_id FROM b)",
     "chunk_replace_by_doc": f"{_BOTH} SELECT chunk_id, tokens, batch FROM b UNION ALL SELECT chunk_id, tokens, batch FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)",
     "incremental_new_chunks": f"{_BOTH} SELECT chunk_id, content_sha FROM b WHERE content_sha NOT IN (SELECT content_sha FROM a)",
+    "incremental_revised_chunks": f"WITH {_REVISED}, {_chunked('a', 'documents', 'first')}, {_chunked('b', 'revised', 'second')} SELECT chunk_id, content_sha FROM b WHERE content_sha NOT IN (SELECT content_sha FROM a)",
     "exact_dedup": "SELECT sha256(text) AS content_sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "near_dup_pairs": f"""WITH w AS (SELECT doc_id, {sql.words('text')} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),

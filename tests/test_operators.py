@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import answer, dedupe, evaluate, ingest, observe, search
-from lodestar.plans import retrieval_queries
+from lodestar.plans import ingest_queries, retrieval_queries
 from lodestar.sources import readers, writers
 
 
@@ -123,3 +123,10 @@ def test_multi_query_takes_late_words_of_a_turn_and_finds_chunks(spark, tmp_path
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.conv_id, r.chunk_id): r.found_by for r in retrieval_queries.multi_query_chunks(spark, str(tmp_path)).collect()}
     assert got == {(1, "1:1"): 2, (1, "3:0"): 1}
+
+
+def test_revised_batch_has_odd_documents_and_last_chunks(spark, tmp_path):
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(n))) for i, n in ((1, 1000), (2, 1000), (3, 1000), (4, 1), (5, 1))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.chunk_id for r in ingest_queries.incremental_revised_chunks(spark, str(tmp_path)).collect()}
+    assert got == {"1:1", "2:0", "4:0", "5:0"}
