@@ -13,7 +13,7 @@ the smaller vec_id.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components, and vectors whose length differs
 from the most common one, take no part, as rows or as queries; nor do rows with a null id. Repeated ids are
-rows of their own. With fewer than k candidates a query gets all of them; an empty table gives no rows.
+rows of their own: a query leaves out only its own row and has its own k. With fewer than k candidates a query gets all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -154,13 +154,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
-    """The k best candidates of each query in one block pair, exactly scored: query position, id, score."""
+def best_of(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, k: int):
+    """The k best candidates of each query but its own row in one block pair, exactly scored: query position, id, score."""
     rough = q @ c.T
     kth = min(k, len(c_ids) - 1)
     floor = -np.partition(-rough, kth, axis=1)[:, kth] - 1e-9
     at, to = np.nonzero(rough >= floor[:, None])
-    kept = q_ids[at] != c_ids[to]
+    kept = q_rows[at] != c_rows[to]
     at, to = at[kept], to[kept]
     exact = np.concatenate([(q[at[i : i + 65536]] * c[to[i : i + 65536]]).sum(1) for i in range(0, len(at), 65536)] or [np.zeros(0)])
     order = np.lexsort((c_ids[to], -exact, at))
@@ -180,7 +180,7 @@ def search(
     sample: int = SAMPLE,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query (ids divisible by ``every``)."""
-    rows = stage(usable(vectors, id_col, vec_col), "vectors")
+    rows = stage(usable(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     picked = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample).toPandas()
     if picked.empty:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -190,29 +190,30 @@ def search(
         for batch in batches:
             if len(batch):
                 order = np.argsort(-router.scores(_matrix(batch["v"])), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "parts": list(order.astype(np.int32))})
+                yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "v": batch["v"], "parts": list(order.astype(np.int32))})
 
-    routed = stage(rows.mapInPandas(route, "id long, v array<double>, parts array<int>"), "routed")
+    routed = stage(rows.mapInPandas(route, "id long, row long, v array<double>, parts array<int>"), "routed")
     counts = routed.groupBy(F.element_at("parts", 1).alias("part")).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     # This table has at most one row per part, so it may be broadcast; a part's rows spread over its blocks by hash.
-    spread = F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int")
+    spread = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     held = routed.withColumn("part", F.element_at("parts", 1)).join(F.broadcast(counts), "part").select(
-        "part", spread.alias("block"), "id", "v"
+        "part", spread.alias("block"), "id", "row", "v"
     )
     asks = routed.where(F.pmod("id", F.lit(every)) == 0)
     n_blocks = F.lit(max(1, -(-asks.count() * probes // (parts * QUERY_BLOCK))))
-    asked = asks.select(F.explode("parts").alias("part"), F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("q_block"), "id", "v")
+    asked = asks.select(F.explode("parts").alias("part"), F.pmod(F.xxhash64("row"), n_blocks).cast("int").alias("q_block"), "id", "row", "v")
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[:1, :2].reset_index(drop=True)
-        return first.assign(ids=[pdf["id"].to_numpy(np.int64).tobytes()], vectors=[_matrix(pdf["v"]).tobytes()])
+        ids, rows = (pdf[x].to_numpy(np.int64).tobytes() for x in ("id", "row"))
+        return first.assign(ids=[ids], rows=[rows], vectors=[_matrix(pdf["v"]).tobytes()])
 
     def packed_queries(pdf: pd.DataFrame) -> pd.DataFrame:
-        return packed(pdf).rename(columns={"ids": "q_ids", "vectors": "q_vectors"})
+        return packed(pdf).rename(columns={"ids": "q_ids", "rows": "q_rows", "vectors": "q_vectors"})
 
-    c = held.groupBy("part", "block").applyInPandas(packed, "part int, block int, ids binary, vectors binary")
+    c = held.groupBy("part", "block").applyInPandas(packed, "part int, block int, ids binary, rows binary, vectors binary")
     q = asked.groupBy("part", "q_block").applyInPandas(
-        packed_queries, "part int, q_block int, q_ids binary, q_vectors binary"
+        packed_queries, "part int, q_block int, q_ids binary, q_rows binary, q_vectors binary"
     )
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -221,13 +222,14 @@ def search(
             ids, q_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
             x = np.frombuffer(row.vectors).reshape(len(ids), -1)
             y = np.frombuffer(row.q_vectors).reshape(len(q_ids), -1)
-            at, vec_id, score = best_of(y, q_ids, x, ids, k)
-            found.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": vec_id, "score": score}))
+            q_rows = np.frombuffer(row.q_rows, np.int64)
+            at, vec_id, score = best_of(y, q_rows, x, np.frombuffer(row.rows, np.int64), ids, k)
+            found.append(pd.DataFrame({"query_id": q_ids[at], "query_row": q_rows[at], "vec_id": vec_id, "score": score}))
         return pd.concat(found)
 
     met = stage(c, "candidate-blocks").join(stage(q, "query-blocks"), "part")
-    found = met.groupBy("part", "block", "q_block").applyInPandas(rerank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.groupBy("part", "block", "q_block").applyInPandas(rerank, "query_id long, query_row long, vec_id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )

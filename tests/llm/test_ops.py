@@ -300,6 +300,16 @@ def test_op6_edges_and_ties(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in one] == [(0, 1, 1, 2.0)]
 
 
+def test_op6_rows_of_one_id_are_queries_and_candidates_of_each_other(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (3, [0.5, 0.5]), (4, [0.25, 1.0])]
+    got = op6_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), k=3).collect()
+    want = []
+    for i in range(3):
+        found = sorted((-sum(a * b for a, b in zip(rows[i][1], v)), j) for n, (j, v) in enumerate(rows) if n != i)[:3]
+        want += [(0, rank, j, -s + 0.0) for rank, (s, j) in enumerate(found, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score + 0.0) for r in got) == sorted(want)
+
+
 def test_op6_recall(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = op6_ann.search(d).toPandas()
