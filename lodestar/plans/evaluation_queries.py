@@ -60,7 +60,7 @@ def answer_relevance(spark, sf):
 
 
 def _scores(spark, sf):
-    """Per-question scores of one run: retrieval scores measured, the other two from rank-free overlap."""
+    """Per-question scores of one run: retrieval scores measured, the other two placeholders; no answer is scored."""
     r = evaluate.retrieval_scores(_ranked(spark, sf), truth(spark, sf), 10)
     best = _ranked(spark, sf).where("rank = 1").select("query_id", (F.col("score") / (F.col("score") + 50)).alias("answer_relevance"))
     return r.join(best, "query_id").withColumn("faithfulness", F.col("context_recall") * F.lit(0.5) + F.lit(0.25))
