@@ -281,6 +281,21 @@ def test_op5_propagation_against_power_iteration(spark):
             assert found.get((kind, h), 0.0) == pytest.approx(v, abs=1e-6)
 
 
+def test_op5_allowed_pages_give_trust_beside_blocked_ones(spark):
+    link = '<a href="http://good.io/">'
+    rows = [(i, "http://example.com/en/1", "") for i in range(3)] + [(3, "http://example.com/en/7", link), (4, "http://a.example.com/en/71", ""), (5, "http://a.example.com/en/72", "")]
+    rows += [(6, "http://good.io/x", "")]
+    got = {r.page_id: r for r in op5_urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4].trust > got[0].trust > 0 and got[6].trust > 0 and got[6].distrust == 0 and got[6].verdict == "allow"
+
+
+def test_op5_trust_reaches_hosts_many_links_away(spark):
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(34)]
+    seeds = [("trust", "h0", 1.0)]
+    got = op5_urls.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "kind string, host string, seed double"), tolerance=5e-3)
+    assert {r.host for r in got.collect()} == {f"h{i}" for i in range(35)}
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
