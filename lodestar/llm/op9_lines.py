@@ -7,7 +7,8 @@ otherwise joins by site, where adaptive execution splits a hot site.
 
 Lines are compared without leading and trailing ASCII white space; blank lines are neither counted nor
 dropped; a dropped line goes with its line break and what stays is unchanged. Sites of fewer than
-``min_pages`` rows, and rows without a site, keep every line. A null text stays null with no lines. Repeated
+``min_pages`` rows keep every line, or with ``few`` lose lines on two pages or more whose share exceeds a bound that
+falls evenly from 1 to ``ratio`` at ``min_pages``; rows without a site keep every line. A null text stays null with no lines. Repeated
 rows count as pages of their own. An empty table gives no rows. Input columns travel in a struct, so their
 names cannot clash.
 """
@@ -44,10 +45,13 @@ def _keys(lines: Column) -> Column:
     return F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, few: bool = False) -> DataFrame:
     """(site, text) -> one row per site with boilerplate: site, boiler (hashes of its lines)."""
     pages = pages.where(F.col("site").isNotNull())
-    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages")).where(F.lit(few) | (F.col("n_pages") >= min_pages))
+    short = F.lit(1.0) - F.col("n_pages") / F.lit(min_pages)
+    bound = F.when(F.col("n_pages") >= min_pages, F.lit(ratio)).otherwise(F.lit(ratio) + F.lit(1.0 - ratio) * short)
+    least = F.when(F.col("n_pages") >= min_pages, 1).otherwise(2)
     found = (
         pages.select("site", F.explode(F.array_distinct(_keys(F.split("text", "\n")))).alias("line"))
         .groupBy("site", "line")
@@ -55,18 +59,18 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     )
     return (
         found.join(totals, "site")
-        .where(F.col("n") > F.lit(ratio) * F.col("n_pages"))
+        .where((F.col("n") > bound * F.col("n_pages")) & (F.col("n") >= least))
         .groupBy("site")
         .agg(F.sort_array(F.collect_list("line")).alias("boiler"))
     )
 
 
 def drop_lines(
-    docs: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, few: bool = False
 ) -> DataFrame:
     """Every row as: row (the input row), site, n_lines, n_dropped, kept_text."""
     pages = docs.select(F.struct("*").alias("row"), site.alias("site"), text.alias("text"))
-    boiler = stage(boilerplate(pages.select("site", "text"), ratio, min_pages), "site-lines")
+    boiler = stage(boilerplate(pages.select("site", "text"), ratio, min_pages, few), "site-lines")
     joined = pages.join(boiler, "site", "left").withColumn("lines", F.split("text", "\n"))
     drop = lambda x: F.array_contains(F.col("boiler"), F.xxhash64(F.trim(x, F.lit(BLANK))))
     filled = F.filter("lines", lambda x: F.trim(x, F.lit(BLANK)) != "")
@@ -84,7 +88,7 @@ def drop_lines(
 def line_stage(docs: DataFrame, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with boilerplate lines of each site gone from the text, and n_chars, if there, measured anew."""
     new = {text_col: F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    out = drop_lines(docs, F.col(site_col), F.col(text_col))
+    out = drop_lines(docs, F.col(site_col), F.col(text_col), few=True)
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 

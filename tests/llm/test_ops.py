@@ -444,6 +444,12 @@ def test_op9_counts_lines_per_page_of_a_site(spark):
     assert op9_lines.line_stage(df.limit(0)).count() == 0
 
 
+def test_op9_stage_judges_sources_of_few_rows(spark):
+    rows = [(i, "nine", f"body {i}\nfooter" + ("\npair" if i < 2 else "")) for i in range(9)] + [(20, "two", "x\nmenu"), (21, "two", "menu\ny"), (22, "one", "menu")]
+    got = {r.doc_id: r.text for r in op9_lines.line_stage(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got[5] == "body 5" and got[0] == "body 0\npair" and (got[20], got[21], got[22]) == ("x", "y", "menu")
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
