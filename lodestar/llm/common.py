@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +18,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it; a default only where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.environ.get(
-        "LODESTAR_CHECKPOINT_DIR", "/tmp/lodestar-checkpoints"
-    )
+    """The folder all executors see, as the cluster names it; a local session may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("LODESTAR_CHECKPOINT_DIR")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "/tmp/lodestar-checkpoints"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
-    A lost executor then re-reads files instead of recomputing; the folder goes when the session ends.
+    A lost executor then re-reads files instead of recomputing. The folders of ``done``, staged tables that nothing
+    reads any more, go at once; the others go when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _where(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    discard(*done)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables."""
+    for df in tables:
+        where, files = _where(df.sparkSession, df.staged_at)
+        files.delete(where, True)
+
+
+def _where(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

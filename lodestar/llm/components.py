@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stage
+from lodestar.llm.common import discard, stage
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(a, b) of longs -> (node, root): each node of an edge with the least node of its component.
 
     A round takes the least label among neighbours, hooks each root to the least label seen by its tree, and jumps
     once through the labels; rounds needed grow with the logarithm of a component's width. All exchanges carry
-    pairs of longs, sums and minima are partial before the shuffle, and joins may be split where a node is hot.
+    pairs of longs, sums and minima are partial before the shuffle, and joins may be split where a node is hot. Labels that
+    still move after ``rounds``, far beyond what any logarithm asks for, are an error, never a result.
     """
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stage(both.distinct(), "component-edges")
@@ -27,9 +28,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("further"))
         moved = stage(
             hooked.join(jump, "new", "left").select("node", F.col("root").alias("old"), F.least("new", F.coalesce("further", "new")).alias("root")),
-            "component-labels",
+            "component-labels", done=[labels],
         )
         labels = moved.select("node", "root")
+        labels.staged_at = moved.staged_at
         if moved.where("old <> root").isEmpty():
-            break
-    return labels
+            discard(both)
+            return labels
+    raise RuntimeError(f"components have not converged in {rounds} rounds")

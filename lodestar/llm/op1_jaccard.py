@@ -9,19 +9,30 @@ are made that the expected recall at the similarity bound reaches RECALL, whatev
 
 Paths are drawn from a sample of each node's shingles (hash below POOL / n, the same hash for all nodes, so samples
 of similar sets are similar); sampled shingles of a node travel instead of the text. In a leaf, pairs whose
-samples agree too little are dropped (far below the bound), and the rest is verified on full shingle sets.
+samples agree by less than ROUGH are dropped, and the rest is verified on full shingle sets. A pair at the bound agrees
+in about 55 of its samples' hashes or more, so the drop costs less than 1e-6 of recall, on top of 1 - RECALL.
 
-A pair is verified only in the least leaf that both share, so it counts once without any list of pairs. A leaf
-yields one row per node: links, and an edge to the least node it is joined to within the leaf. Leaves larger
-than a block are cut into blocks, and pairs of blocks are separate tasks, so no group is held whole.
+Large clusters of near copies do not cost the square of their size. Where a bucket exceeds a block, the shingles that
+most of a few of its members hold are its centre, and every member is compared with the centre, exactly. Jaccard distance
+is a metric: members within (1 - SIMILARITY) / 2 of one centre are all similar to each other. Such a ball is one
+unit: its links are counted without pairs, buckets that hold nothing but one ball vanish like those of one node, and
+a leaf that mixes it with other nodes compares those with the ball, not the ball with itself.
+
+Leaves of equal members are judged once (members are compared by 128 bits). A pair is verified only in the least leaf that
+both share, so it counts once without any list of pairs. A leaf yields one row per node: links, and an edge to the least
+node it is joined to within the leaf. Leaves larger than a block are cut into blocks, and pairs of blocks are
+separate tasks, so no group is held whole.
 
 Null, empty and wordless texts have no set: each is a class of its own without links. Texts of fewer than
-WORDS words are one shingle. Null and repeated ids are allowed: rows are told apart by their sets. Links count
-rows, copies included; the class is the least id of all rows joined, directly or through others.
+WORDS words are one shingle. Null and repeated ids are allowed: rows are told apart by their sets. Very long texts are
+sets like others, and travel whole only if a sample agrees. Links count rows, copies included; the class is the least id of
+all rows joined, directly or through others. An empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,8 +46,10 @@ from lodestar.llm.common import mix64, shingles, stage, table, word_hashes
 from lodestar.llm.components import components
 
 WORDS, SIMILARITY, RECALL, DEPTH, SMALL, POOL, BLOCK = 5, 0.8, 0.9999, 3, 128, 96, 512
-#: Share of agreeing samples below which a pair is not verified: over six standard deviations under the bound.
+#: Share of agreeing samples below which a pair is not verified: about six standard deviations under the bound.
 ROUGH = 0.5
+#: Members of a bucket from which its centre is made.
+CENTRE = 32
 
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -102,58 +115,119 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def leaves_of(nodes: DataFrame, similarity: float, runs: int, depth: int, small: int, pool: float) -> DataFrame:
-    """(path, node, members) of every leaf with two nodes or more."""
-
-    def split(pools: list[bytes], sizes: np.ndarray, paths: list[np.ndarray]):
-        for k, (raw, n, path) in enumerate(zip(pools, sizes, paths)):
-            at, new = chosen(np.frombuffer(raw, np.uint64), min(n, pool), path, similarity)
-            yield k, new
+def entries_of(rows: DataFrame, similarity: float, runs: int, pool: float) -> DataFrame:
+    """(path, node) of the buckets that each node of (node, n, pool) enters, from ``path`` if there is one."""
+    start = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = list(split(batch["pool"].tolist(), batch["n"].to_numpy(), [start] * len(batch)))
+            paths = [np.array([p], np.int64).view(np.uint64) for p in batch["path"]] if "path" in batch else [start] * len(batch)
+            got = [
+                chosen(np.frombuffer(raw, np.uint64), min(n, pool), path, similarity)[1]
+                for raw, n, path in zip(batch["pool"], batch["n"], paths)
+            ]
             if got:
-                count = [len(p) for _, p in got]
-                yield pd.DataFrame({
-                    "path": as_long(np.concatenate([p for _, p in got])), "node": np.repeat(batch["node"].to_numpy(), count),
-                })
+                yield pd.DataFrame({"path": as_long(np.concatenate(got)), "node": np.repeat(batch["node"].to_numpy(), [len(p) for p in got])})
+
+    return rows.mapInPandas(run, "path long, node long")
+
 
-    def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def met(entries: DataFrame) -> DataFrame:
+    """The entries whose bucket holds another node; one shuffle, no counts."""
+    of_path = Window.partitionBy("path").orderBy("node")
+    beside = entries.withColumn("before", F.lag("node").over(of_path)).withColumn("after", F.lead("node").over(of_path))
+    return beside.where("before is not null or after is not null").select("path", "node")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, columns: list[str]) -> DataFrame:
+    """``columns`` of (row_key, ...), a row per key, with the shingles of its text as ``tokens``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            paths = [np.array([p], np.int64).view(np.uint64) for p in batch["path"]]
-            got = list(split(batch["pool"].tolist(), batch["n"].to_numpy(), paths))
-            if got:
-                count = [len(p) for _, p in got]
-                yield pd.DataFrame({
-                    "path": as_long(np.concatenate([p for _, p in got])), "node": np.repeat(batch["node"].to_numpy(), count),
-                })
-
-    schema = "path long, node long"
-    entries, leaves = nodes.select("node", "n", "pool").mapInPandas(first, schema), None
-    for level in range(1, depth + 1):
-        entries = stage(entries, "paths")
-        sizes = entries.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        live = stage(entries.join(sizes, "path"), "buckets")
-        done = live if level == depth else live.where(F.col("members") <= small)
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if level < depth:
-            large = live.where(F.col("members") > small)
+            yield batch[columns].assign(tokens=[shingles(word_hashes(t), words).tobytes() for t in batch["text"]])
+
+    texts = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    kinds = dict(wanted.dtypes)
+    rows = texts.join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", *columns)
+    return rows.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), "tokens binary"]))
+
+
+def balls_of(docs: DataFrame, nodes: DataFrame, live: DataFrame, hot: DataFrame, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, ball) of nodes so near the centre of a large bucket that all of one ball are similar; ball is its least node."""
+    members = live.join(hot, "path")
+    # A node is compared with one centre only: that of the largest bucket it is in.
+    chosen_path = members.groupBy("node").agg(F.min(F.struct((-F.col("members")).alias("m"), "path")).alias("best"))
+    mine = stage(chosen_path.select("node", F.col("best.path").alias("path")), "hot-nodes")
+    wanted = mine.join(nodes.select("node", "row_key"), "node").select("node", "path", "row_key")
+    sets = stage(full_sets(docs, wanted, id_col, text_col, words, ["node", "path"]), "hot-sets")
+    place = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("node"), "node"))
+    few = sets.withColumn("place", place).where(F.col("place") <= CENTRE).select("path", "tokens")
+
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        value, times = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]]), return_counts=True)
+        most = value[2 * times > len(pdf)]
+        return pd.DataFrame({"path": pdf["path"].iloc[:1], "centre": [most.tobytes()], "centre_key": [set_key(most) if len(most) else b""]})
+
+    centres = few.groupBy("path").applyInPandas(middle, "path long, centre binary, centre_key binary")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for raw, middle_raw in zip(batch["tokens"], batch["centre"]):
+                a, c = np.frombuffer(raw, np.uint64), np.frombuffer(middle_raw, np.uint64)
+                shared = len(np.intersect1d(a, c, assume_unique=True))
+                keep.append(shared >= (1 + similarity) / 2 * (len(a) + len(c) - shared) + 1e-9)
+            yield batch.loc[keep, ["node", "centre_key"]]
+
+    inside = stage(sets.join(stage(centres, "centres"), "path").mapInPandas(near, "node long, centre_key binary"), "near-centres", done=[sets, mine])
+    least = inside.groupBy("centre_key").agg(F.min("node").alias("ball"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return stage(inside.join(least, "centre_key").select("node", "ball"), "balls", done=[inside])
+
+
+def leaves_of(nodes: DataFrame, first: DataFrame, balls: DataFrame, similarity: float, depth: int, small: int, pool: float) -> DataFrame:
+    """(path, node, unit, members) of the leaves, from the entries of the first level; unit is the node's ball, or itself.
+
+    Leaves of one unit are gone, and of leaves with equal members one is left.
+    """
+    level, lives, ends = first, [], []
+    for at in range(1, depth + 1):
+        live = level.join(balls, "node", "left").select("path", "node", F.coalesce("ball", "node").alias("unit"))
+        live = stage(live, "buckets", done=[level])
+        seen = live.groupBy("path").agg(
+            F.count(F.lit(1)).alias("members"), F.min("unit").alias("low"), F.max("unit").alias("high"),
+            F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"),
+        )
+        seen = stage(seen.where("low <> high").drop("low", "high"), "bucket-sets")
+        lives.append(live)
+        ends.append(seen if at == depth else seen.where(F.col("members") <= small))
+        if at < depth:
+            large = seen.where(F.col("members") > small).select("path")
             if large.isEmpty():
                 break
-            entries = large.join(nodes.select("node", "n", "pool"), "node").select("path", "node", "n", "pool").mapInPandas(deeper, schema)
-    return leaves
+            rows = live.join(large, "path").select("path", "node").join(nodes.select("node", "n", "pool"), "node")
+            level = stage(met(entries_of(rows, similarity, 1, pool)), "met")
+    lives, ends = functools.reduce(DataFrame.unionByName, lives), functools.reduce(DataFrame.unionByName, ends)
+    return lives.join(ends.groupBy("members", "a", "b").agg(F.min("path").alias("path")).select("path", "members"), "path")
 
 
 def blocked(leaves: DataFrame, block: int) -> DataFrame:
-    """Leaves cut into blocks; a row goes to each pair of blocks that holds its own: (path, i, j, side, node)."""
-    n = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("node", "path"), n).cast("int")
-    rows = leaves.withColumn("n_blocks", n).withColumn("mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    return rows.select("*", other).select(
-        "path", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"), "node"
+    """Leaves cut into blocks; a row goes to each pair of blocks that holds its own: (path, i, j, side, node, unit).
+
+    The blocks of a ball meet those of other balls and other nodes, not each other.
+    """
+    zero = F.lit(0).cast("long")
+    whole = leaves.where(F.col("members") <= block).select("path", zero.alias("i"), zero.alias("j"), zero.alias("side"), "node", "unit")
+    cut = leaves.where(F.col("members") > block)
+    in_unit = cut.groupBy("path", "unit").agg(F.count(F.lit(1)).alias("many"))
+    cut = cut.join(in_unit, ["path", "unit"]).withColumn("kind", F.when(F.col("many") > 1, F.col("unit")).otherwise(F.lit(-1)))
+    kinds = cut.groupBy("path", "kind").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    cell = lambda kind, number: F.xxhash64("path", kind, number)
+    cells = kinds.select("path", F.col("kind").alias("other_kind"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"))
+    cells = cells.select("path", "other_kind", cell("other_kind", "number").alias("other"))
+    mine = cut.join(kinds, ["path", "kind"]).withColumn("side", cell("kind", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    pairs = mine.join(cells, "path").where((F.col("kind") == -1) | (F.col("kind") != F.col("other_kind")))
+    return whole.unionByName(
+        pairs.select("path", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "unit")
     )
 
 
@@ -201,16 +275,14 @@ def _groups_in(rows: pd.DataFrame, key: np.ndarray, cuts) -> Iterator:
                 yield tuple(map(int, key[at])), {c: v[at:to] for c, v in columns.items()}
 
 
-def first_shared(a, b, path: int, same: bool) -> np.ndarray:
-    """Pairs that share no leaf before ``path``: those that are to be judged here; never a node with itself."""
+def first_shared(a, b, path: int, units_a: np.ndarray, units_b: np.ndarray, same: bool) -> np.ndarray:
+    """Pairs of different units that share no leaf before ``path``: those that are to be judged here."""
+    here = units_a[:, None] != units_b[None, :]
     if same and len(a) == 2:
-        here = np.zeros((2, 2), bool)
-        here[0, 1] = here[1, 0] = np.intersect1d(a[0], a[1], assume_unique=True)[0] == path
-        return here
-    before = [x[: np.searchsorted(x, path)] for x in a]
-    here = overlap(before, before if same else [x[: np.searchsorted(x, path)] for x in b]) == 0
-    if same:
-        np.fill_diagonal(here, False)
+        return here & (np.intersect1d(a[0], a[1], assume_unique=True)[0] == path)
+    if here.any():
+        before = [x[: np.searchsorted(x, path)] for x in a]
+        here &= overlap(before, before if same else [x[: np.searchsorted(x, path)] for x in b]) == 0
     return here
 
 
@@ -275,13 +347,19 @@ def similar_sets(
         F.min("id").alias("rep"), F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("pool").alias("pool")
     )
     nodes = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    leaves = stage(leaves_of(nodes, similarity, runs_needed(recall, depth), depth, small, pool), "leaves")
+    first = stage(met(entries_of(nodes.select("node", "n", "pool"), similarity, runs_needed(recall, depth), pool)), "met")
+    hot = stage(first.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block), "hot-buckets")
+    if hot.isEmpty():
+        balls = hot.select(F.col("path").alias("node"), F.col("path").alias("ball"))
+    else:
+        balls = balls_of(docs, nodes, first, hot, similarity, words, id_col, text_col)
+    leaves = stage(leaves_of(nodes, first, balls, similarity, depth, small, pool), "leaves")
     held = leaves.groupBy("node").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     known = stage(held.join(nodes.select("node", "n", "pool"), "node"), "leaf-nodes")
 
     def rough_one(path, i, j, g) -> list[tuple]:
         at, to = (g["side"] == i).nonzero()[0], (g["side"] == j).nonzero()[0]
-        here = first_shared(g["paths"][at], g["paths"][to], path, i == j)
+        here = first_shared(g["paths"][at], g["paths"][to], path, g["unit"][at], g["unit"][to], i == j)
         if here.any():
             pools = [np.frombuffer(x, np.uint64) for x in g["pool"]]
             a = [pools[k] for k in at]
@@ -289,30 +367,23 @@ def similar_sets(
             here &= rough_similarity(a, g["n"][at], b, g["n"][to], pool) >= ROUGH
         x, y = at[here.any(1)], to[here.any(0)]
         rows = np.union1d(x, y) if i == j else np.concatenate([x, y])
-        return [(np.full(len(rows), path), np.full(len(rows), i), np.full(len(rows), j), g["side"][rows], g["node"][rows])]
+        return [(np.full(len(rows), path), np.full(len(rows), i), np.full(len(rows), j), g["side"][rows], g["node"][rows], g["unit"][rows])]
 
     def rough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from per_group(batches, rough_one, ("path", "i", "j", "side", "node"))
-
-    keys = "path long, i int, j int, side int, node long"
-    candidates = stage(together(blocked(leaves, block).join(known, "node")).mapInPandas(rough, keys), "candidates")
-    wanted = candidates.select("node").distinct().join(nodes.select("node", "row_key", "copies"), "node")
+        yield from per_group(batches, rough_one, ("path", "i", "j", "side", "node", "unit"))
 
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens = [shingles(word_hashes(t), words) for t in batch["text"]]
-            yield batch[["node", "copies"]].assign(tokens=[t.tobytes() for t in tokens])
-
-    texts = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    sets = (
-        texts.join(wanted, "row_key").select("node", "copies", "text")
-        .mapInPandas(full, "node long, copies long, tokens binary").dropDuplicates(["node"])
-    )
-    sets = stage(sets.join(held, "node"), "candidate-sets")
+    keys = "path long, i long, j long, side long, node long, unit long"
+    candidates = stage(together(blocked(leaves, block).join(known, "node")).mapInPandas(rough, keys), "candidates", done=[leaves])
+    spots = ["path", "i", "j", "side"]
+    places = candidates.groupBy("node", "unit").agg(F.collect_list(F.struct(*spots)).alias("at")).select("node", "unit", *[F.col(f"at.{c}").alias(c) for c in spots])
+    wanted = places.join(known.select("node", "paths"), "node").join(nodes.select("node", "row_key", "copies"), "node")
+    sets = full_sets(docs, wanted, id_col, text_col, words, ["node", "unit", "copies", "paths", *spots])
+    alone = ["node", "unit", "copies", "paths", "tokens"]
+    placed = sets.select(*alone, F.explode(F.arrays_zip(*spots)).alias("at")).select("at.*", *alone)
 
     def verify_one(path, i, j, g) -> list[tuple]:
         at, to = (g["side"] == i).nonzero()[0], (g["side"] == j).nonzero()[0]
-        here = first_shared(g["paths"][at], g["paths"][to], path, i == j)
+        here = first_shared(g["paths"][at], g["paths"][to], path, g["unit"][at], g["unit"][to], i == j)
         if here.any():
             sets = [np.frombuffer(x, np.uint64) for x in g["tokens"]]
             a = [sets[k] for k in at]
@@ -327,7 +398,12 @@ def similar_sets(
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from per_group(batches, verify_one, ("node", "links", "other"))
 
-    verified = stage(together(candidates.join(sets, "node")).mapInPandas(verify, "node long, links long, other long"), "links")
+    in_ball = balls.join(nodes.select("node", "copies"), "node")
+    ball_links = in_ball.join(in_ball.groupBy("ball").agg(F.sum("copies").alias("all")), "ball").select(
+        "node", (F.col("all") - F.col("copies")).alias("links"), F.col("ball").alias("other")
+    )
+    verified = together(placed).mapInPandas(verify, "node long, links long, other long")
+    verified = stage(verified.unionByName(ball_links), "links", done=[candidates, known])
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("a"), F.col("other").alias("b")))
     joined = roots.join(nodes.select("node", "rep"), "node")
@@ -339,7 +415,7 @@ def similar_sets(
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"),
             F.coalesce("root", "node").alias("class_key"),
         ),
-        "classes",
+        "classes", done=[nodes, verified, roots],
     )
     out = rows.select("id", "row_key", "set_key").join(judged, F.col("set_key") == F.col("key"), "left")
     return out.select(
