@@ -189,10 +189,11 @@ def leaves_of(nodes: DataFrame, first: DataFrame, balls: DataFrame, similarity:
 
     Leaves of one unit are gone, and of leaves with equal members one is left.
     """
-    level, lives, ends = first, [], []
+    alone = nodes.select("node", F.col("node").alias("unit"))
+    units = alone.unionByName(balls.select("node", F.col("ball").alias("unit"))).groupBy("node").agg(F.min("unit").alias("unit"))
+    units, level, lives, ends = stage(units, "units"), first, [], []
     for at in range(1, depth + 1):
-        live = level.join(balls, "node", "left").select("path", "node", F.coalesce("ball", "node").alias("unit"))
-        live = stage(live, "buckets", done=[level])
+        live = stage(level.join(units, "node").select("path", "node", "unit"), "buckets", done=[level])
         seen = live.groupBy("path").agg(
             F.count(F.lit(1)).alias("members"), F.min("unit").alias("low"), F.max("unit").alias("high"),
             F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"),
