@@ -1,23 +1,28 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fit, on at most SAMPLE vectors in hash order: the sample's neighbour graph, a balanced partitioning of it (median
-splits, refined by moving vectors to the part that holds most of their neighbours while parts stay within
-SLACK of equal size), and a small classifier (one hidden layer, numpy) that predicts the part of a vector's
-neighbours. The number of probes is the least that reaches TARGET recall on sample vectors left out of the fit.
-
-Search: every vector is indexed under its most probable part; a query goes to its most probable parts. Parts
-are cut into blocks of bounded size, so a hot part is many tasks; blocks of candidates meet blocks of queries
-of the same part, each meeting yields at most k rows per query, and a window keeps the k best. Scores are
-inner products in double precision, summed in one fixed order, so equal vectors score equally and ties go to
-the smaller vec_id.
+Fit, on a sample in hash order: the sample's neighbour graph, a balanced partitioning of it (median splits, refined by
+moving vectors to the part that holds most of their neighbours while parts stay within SLACK of equal size), and a
+small classifier (one hidden layer, numpy) that predicts the part of a vector's neighbours. The number of probes is
+the least that reaches TARGET recall on sample vectors left out of the fit. Parts grow with the table, one for PART
+vectors up to MOST_PARTS, and the sample with them, PER_PART for each and SAMPLE at least: 32,768 vectors at most.
+
+Search: equal vectors are one candidate, which lists its k + 1 least ids, so a very common vector costs no more than
+another. A candidate is indexed under its most probable part. A query vector goes to its most probable parts, the number
+of probes and on until they hold k + 1 rows together, so no query is left short. Parts are cut into blocks of bounded
+size; a block of candidates and one of queries of its part meet in one task, which yields at most k + 1 rows per query,
+and a window keeps the best. A part of one block sends each of its vectors once. Scores are inner products in double precision,
+summed in one fixed order, so equal vectors score equally and ties go to the smaller vec_id.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components, and vectors whose length differs
 from the most common one, take no part, as rows or as queries; nor do rows with a null id. Repeated ids are
-rows of their own: a query leaves out only its own row and has its own k. With fewer than k candidates a query gets all of them; an empty table gives no rows.
+rows of their own: a query leaves out only its own row and has its own k, though rows that repeat id and vector may
+stand for one another. With k candidates or fewer a query gets all of them; an empty table gives no rows. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +33,8 @@ from pyspark.sql.window import Window
 
 from lodestar.llm.common import stage, table
 
-SAMPLE, NEIGHBOURS, PARTS, SLACK, HIDDEN, EPOCHS = 8192, 10, 16, 1.05, 64, 40
-TARGET, BLOCK, QUERY_BLOCK, EVERY, K = 0.95, 2048, 512, 20, 20
+SAMPLE, PER_PART, PART, MOST_PARTS, NEIGHBOURS, SLACK, HIDDEN, EPOCHS = 8192, 64, 2048, 512, 10, 1.05, 64, 40
+TARGET, BLOCK, QUERY_BLOCK, EVERY, K = 0.95, 4096, 1024, 20, 20
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -125,7 +130,7 @@ class Router:
         return Router(tuple(w))
 
 
-def fit(x: np.ndarray, parts: int = PARTS, target: float = TARGET, k: int = K) -> tuple[Router, int]:
+def fit(x: np.ndarray, parts: int, target: float = TARGET, k: int = K) -> tuple[Router, int]:
     """The router and its number of probes, from the sample."""
     cut = max(1, len(x) // 8)
     held, learn = x[:cut], x[cut:]
@@ -150,24 +155,39 @@ def fit(x: np.ndarray, parts: int = PARTS, target: float = TARGET, k: int = K) -
     return router, probes
 
 
+def parts_for(n: int, per_part: int = PART) -> int:
+    """A power of two: one part for ``per_part`` vectors, within limits."""
+    return 1 << max(0, min(MOST_PARTS, n // per_part).bit_length() - 1)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def best_of(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, k: int):
-    """The k best candidates of each query but its own row in one block pair, exactly scored: query position, id, score."""
+def _unpacked(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+
+
+def best_of(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
+    """The k best candidates of each query in one block pair, exactly scored: query position, candidate position, score."""
     rough = q @ c.T
-    kth = min(k, len(c_ids) - 1)
-    floor = -np.partition(-rough, kth, axis=1)[:, kth] - 1e-9
+    kth = min(k, len(c)) - 1
+    # What rounding may do to a sum of products, so that no tie is lost before the exact scores.
+    slack = 1e-14 * q.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
+    floor = -np.partition(-rough, kth, axis=1)[:, kth] - slack
     at, to = np.nonzero(rough >= floor[:, None])
-    kept = q_rows[at] != c_rows[to]
-    at, to = at[kept], to[kept]
     exact = np.concatenate([(q[at[i : i + 65536]] * c[to[i : i + 65536]]).sum(1) for i in range(0, len(at), 65536)] or [np.zeros(0)])
     order = np.lexsort((c_ids[to], -exact, at))
     at, to, exact = at[order], to[order], exact[order]
-    first = np.searchsorted(at, np.arange(len(q)))
-    top = np.arange(len(at)) - first[at] < k
-    return at[top], c_ids[to[top]], exact[top]
+    top = np.arange(len(at)) - np.searchsorted(at, np.arange(len(q)))[at] < k
+    return at[top], to[top], exact[top]
+
+
+def probed(order: np.ndarray, held: np.ndarray, probes: int, need: int) -> list[np.ndarray]:
+    """For each row of parts in order of probability, the first ``probes`` and on until they hold ``need`` rows."""
+    reach = np.cumsum(held[order], axis=1)
+    enough = np.maximum(probes, 1 + (reach < min(need, held.sum())).sum(1))
+    return [row[:n].astype(np.int32) for row, n in zip(order, enough)]
 
 
 def search(
@@ -176,62 +196,85 @@ def search(
     vec_col: str = "embedding",
     every: int = EVERY,
     k: int = K,
-    parts: int = PARTS,
-    sample: int = SAMPLE,
+    per_part: int = PART,
+    block: int = BLOCK,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query (ids divisible by ``every``)."""
-    rows = stage(usable(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    picked = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample).toPandas()
-    if picked.empty:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router, probes = fit(_matrix(picked["v"]), parts, k=k)
+    spark, need = vectors.sparkSession, k + 1
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                order = np.argsort(-router.scores(_matrix(batch["v"])), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "v": batch["v"], "parts": list(order.astype(np.int32))})
-
-    routed = stage(rows.mapInPandas(route, "id long, row long, v array<double>, parts array<int>"), "routed")
-    counts = routed.groupBy(F.element_at("parts", 1).alias("part")).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    # This table has at most one row per part, so it may be broadcast; a part's rows spread over its blocks by hash.
-    spread = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    held = routed.withColumn("part", F.element_at("parts", 1)).join(F.broadcast(counts), "part").select(
-        "part", spread.alias("block"), "id", "row", "v"
-    )
-    asks = routed.where(F.pmod("id", F.lit(every)) == 0)
-    n_blocks = F.lit(max(1, -(-asks.count() * probes // (parts * QUERY_BLOCK))))
-    asked = asks.select(F.explode("parts").alias("part"), F.pmod(F.xxhash64("row"), n_blocks).cast("int").alias("q_block"), "id", "row", "v")
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[:1, :2].reset_index(drop=True)
-        ids, rows = (pdf[x].to_numpy(np.int64).tobytes() for x in ("id", "row"))
-        return first.assign(ids=[ids], rows=[rows], vectors=[_matrix(pdf["v"]).tobytes()])
+                # Adding zero makes one of both zeros, so equal vectors have equal bytes.
+                raw = [x.tobytes() for x in _matrix(batch["v"]) + 0.0]
+                yield batch[["id", "row"]].assign(same=[hashlib.blake2b(x, digest_size=16).digest() for x in raw], v=raw)
+
+    numbered = usable(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id())
+    rows = stage(numbered.mapInPandas(packed, "id long, row long, same binary, v binary"), "vectors")
+    parts = parts_for(rows.count(), per_part)
+    picked = rows.orderBy(F.xxhash64("same"), "same").limit(max(SAMPLE, PER_PART * parts)).select("v").toPandas()
+    if picked.empty:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    router, probes = fit(_unpacked(picked["v"]), parts, k=k)
 
-    def packed_queries(pdf: pd.DataFrame) -> pd.DataFrame:
-        return packed(pdf).rename(columns={"ids": "q_ids", "rows": "q_rows", "vectors": "q_vectors"})
+    def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(part=router.scores(_unpacked(batch["v"])).argmax(1).astype(np.int32))
 
-    c = held.groupBy("part", "block").applyInPandas(packed, "part int, block int, ids binary, rows binary, vectors binary")
-    q = asked.groupBy("part", "q_block").applyInPandas(
-        packed_queries, "part int, q_block int, q_ids binary, q_rows binary, q_vectors binary"
+    place = F.row_number().over(Window.partitionBy("same").orderBy("id", "row"))
+    least = rows.withColumn("place", place).where(F.col("place") <= need).groupBy("same").agg(
+        F.sort_array(F.collect_list(F.struct("id", "row"))).alias("m"), F.min("v").alias("v")
     )
-
-    def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for row in pdf.itertuples():
-            ids, q_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
-            x = np.frombuffer(row.vectors).reshape(len(ids), -1)
-            y = np.frombuffer(row.q_vectors).reshape(len(q_ids), -1)
-            q_rows = np.frombuffer(row.q_rows, np.int64)
-            at, vec_id, score = best_of(y, q_rows, x, np.frombuffer(row.rows, np.int64), ids, k)
-            found.append(pd.DataFrame({"query_id": q_ids[at], "query_row": q_rows[at], "vec_id": vec_id, "score": score}))
-        return pd.concat(found)
-
-    met = stage(c, "candidate-blocks").join(stage(q, "query-blocks"), "part")
-    found = met.groupBy("part", "block", "q_block").applyInPandas(rerank, "query_id long, query_row long, vec_id long, score double")
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
+    schema = "ids array<long>, rows array<long>, v binary, part int"
+    held = stage(least.select("m.id", "m.row", "v").toDF("ids", "rows", "v").mapInPandas(indexed, schema), "candidates")
+    # One row per part: MOST_PARTS at most.
+    sizes = held.groupBy("part").agg(F.sum(F.size("ids")).alias("rows"), F.count(F.lit(1)).alias("n")).toPandas().set_index("part")
+    held_rows = sizes["rows"].reindex(range(parts), fill_value=0).to_numpy(np.int64)
+    blocks = sizes["n"].reindex(range(parts), fill_value=0).to_numpy(np.int64)
+    blocks = np.maximum(1, -(-blocks // block))
+
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                order = np.argsort(-router.scores(_unpacked(batch["v"])), axis=1, kind="stable")
+                yield batch.assign(parts=probed(order, held_rows, probes, need))
+
+    asks = rows.where(F.pmod("id", F.lit(every)) == 0)
+    asked = asks.groupBy("same").agg(F.min("v").alias("v")).mapInPandas(routed, "same binary, v binary, parts array<int>")
+    asked = stage(asked.select("same", "v", F.explode("parts").alias("part")), "queries")
+    q_sizes = asked.groupBy("part").count().toPandas().set_index("part")["count"]
+    q_blocks = np.maximum(1, -(-q_sizes.reindex(range(parts), fill_value=0).to_numpy(np.int64) // query_block))
+
+    of = lambda numbers: F.get(F.array(*[F.lit(int(x)) for x in numbers]), F.col("part"))
+    every_block = lambda numbers: F.explode(F.sequence(F.lit(0), of(numbers) - 1))
+    spread = lambda what, numbers: F.pmod(F.xxhash64(what), of(numbers)).cast("int")
+    c = held.select("part", spread("v", blocks).alias("block"), every_block(q_blocks).alias("q_block"), "ids", "rows", "v")
+    q = asked.select("part", every_block(blocks).alias("block"), spread("same", q_blocks).alias("q_block"), "same", "v")
+
+    def rerank(ask: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask) or not len(has):
+            return pd.DataFrame({"same": [], "vec_id": [], "vec_row": [], "score": []})
+        ids, at_row = has["ids"].to_numpy(), has["rows"].to_numpy()
+        at, to, score = best_of(_unpacked(ask["v"]), _unpacked(has["v"]), np.array([x[0] for x in ids]), need)
+        many = np.array([len(ids[i]) for i in to])
+        same = ask["same"].to_numpy()[np.repeat(at, many)]
+        return pd.DataFrame({
+            "same": same, "vec_id": np.concatenate([ids[i] for i in to]), "vec_row": np.concatenate([at_row[i] for i in to]),
+            "score": np.repeat(score, many),
+        })
+
+    keys = ["part", "block", "q_block"]
+    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(rerank, "same binary, vec_id long, vec_row long, score double")
+    best = F.row_number().over(Window.partitionBy("same").orderBy(F.desc("score"), "vec_id", "vec_row"))
+    found = found.withColumn("place", best).where(F.col("place") <= need).drop("place")
+    # A query whose own row is not among its vector's least loses nothing: those rows are others'.
+    own = asks.select("same", F.col("id").alias("query_id"), F.col("row").alias("query_row"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
+    return (
+        own.join(found, "same").where("vec_row <> query_row").withColumn("rank", rank).where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
     )
 
 
