@@ -84,13 +84,14 @@ def _grow_powers(n: int) -> None:
 _gap = np.zeros(256, bool)
 _gap[[9, 10, 11, 12, 13, 32]] = True
 _byte_code = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_other_code = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """Running polynomial sums of bytes, from which any substring's hash follows in constant time."""
+def prefix_sums(raw: np.ndarray, other: bool = False) -> np.ndarray:
+    """Running polynomial sums of bytes, from which any substring's hash follows in constant time; ``other`` for a second one."""
     _grow_powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_byte_code[raw] * _powers[: len(raw)], out=sums[1:])
+    np.cumsum((_other_code if other else _byte_code)[raw] * _powers[: len(raw)], out=sums[1:])
     return sums
 
 

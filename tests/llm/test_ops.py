@@ -445,18 +445,39 @@ def test_op7_against_brute_force(spark, hot):
     assert op7_repeats.cut_repeats(df.limit(0)).count() == 0
 
 
-def test_op7_equal_fingerprints_are_checked_on_bytes(monkeypatch):
-    r = random.Random(5)
-    spans = ["".join(r.choice("ab") for _ in range(n)).encode() for n in (14, 30, 12, 40, 25)] + [b"abbab" * 8, b"abbab" * 6]
-    mark, length = np.array([1, 1, 1, 1, 1, 2, 2]), 12
-    want = Counter((m, s[i : i + length]) for m, s in zip(mark, spans) for i in range(len(s) - length + 1))
-    want = {(j, i) for j, (m, s) in enumerate(zip(mark, spans)) for i in range(len(s) - length + 1) if want[m, s[i : i + length]] > 1}
-    for mask in (0, 1, 2**64 - 1):
-        exact = op7_repeats.fingerprints
-        with monkeypatch.context() as patch:
-            patch.setattr(op7_repeats, "fingerprints", lambda sums, n: exact(sums, n) & np.uint64(mask))
-            row, offset, n = op7_repeats.equal_windows(mark, spans, length)
-        assert {(int(a), int(b) + k) for a, b, c in zip(row, offset, n) for k in range(c)} == want
+@pytest.mark.parametrize("length", [5, 8, 12, 25, 64, 200])
+def test_op7_suffix_order_of_a_bucket(length):
+    r = random.Random(length)
+    base = "".join(r.choice("ab\0") for _ in range(3 * length)).encode()
+    spans = [base[k : k + length + r.randint(0, length)] for k in range(0, length, max(1, length // 7))] * 2
+    spans += [("".join(r.choice("ab") for _ in range(length + n))).encode() for n in (0, 2, 30)] + [b"ab" * length, b"a" * (2 * length)]
+    spans += [x[: length // 2] + bytes([x[length // 2] ^ 1]) + x[length // 2 + 1 :] for x in spans[:9]]
+    spans = [x for x in spans if len(x) >= length]
+    mark = np.sort(np.array([r.randrange(3) for _ in spans]))
+    begin = np.cumsum([0, *map(len, spans)])[:-1]
+    starts = [(int(b) + i, int(m)) for b, x, m in zip(begin, spans, mark) for i in range(len(x) - length + 1)]
+    raw = b"".join(spans)
+    at, group = np.array([p for p, _ in starts]), np.array([m for _, m in starts])
+    order, same = op7_repeats.sorted_windows(np.frombuffer(raw, np.uint8), at, group, length)
+    got = [(int(group[k]), raw[at[k] : at[k] + length]) for k in order]
+    assert got == sorted(got) and same.tolist() == [x == y for x, y in zip(got, got[1:])] and sorted(order.tolist()) == list(range(len(at)))
+    count = Counter(got)
+    want = {(j, i) for j, (m, x) in enumerate(zip(mark, spans)) for i in range(len(x) - length + 1) if count[int(m), x[i : i + length]] > 1}
+    row, offset, n = op7_repeats.equal_windows(mark, spans, length)
+    assert {(int(a), int(b) + k) for a, b, c in zip(row, offset, n) for k in range(c)} == want
+
+
+def test_op7_difference_covers():
+    for v, cover in op7_repeats.COVERS.items():
+        assert {(a - b) % v for a in cover for b in cover} == set(range(v))
+
+
+def test_op7_fingerprints_that_share_their_first_half_differ():
+    a = np.array([[1, 5], [1, 9], [2, 5], [7, 0]], np.uint64)
+    x = np.array([[1, 9], [1, 7], [2, 5], [7, 1], [8, 8]], np.uint64)
+    assert op7_repeats.members(x, [a[:2].tobytes(), a[2:].tobytes()]).tolist() == [True, False, True, False, False]
+    one, two = op7_repeats.distinct_and_again(np.concatenate([a, a[1:2]]))
+    assert one.tolist() == a.tolist() and two.tolist() == [[1, 9]]
 
 
 def test_op7_mark_repeated_within_few_texts_is_hot(spark, monkeypatch):
@@ -464,7 +485,7 @@ def test_op7_mark_repeated_within_few_texts_is_hot(spark, monkeypatch):
     texts = [passage * 30, "x" + passage * 25, prose(100, 52), "y" * 9000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     calls, plain = [], op7_repeats.recurring
-    monkeypatch.setattr(op7_repeats, "recurring", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(op7_repeats, "recurring", lambda *a, **k: calls.append(1) or plain(*a, **k))
     got = op7_repeats.cut_repeats(df, hot=20).collect()
     same_rows([r[:5] for r in got], [(i, *c) for i, c in enumerate(brute_cut(texts))])
     assert len(calls) == 2
