@@ -6,12 +6,12 @@ go through a forward and a backward gated recurrent unit; attention pools the st
 scores the window. A document's score is that of its worst window.
 
 Training takes at most SAMPLE toxic documents and CLEAN_PER_TOXIC times as many clean ones, in hash order: a bounded,
-documented sample of labelled rows. A toxic document teaches by its worst window, found anew each round, a clean one by its worst
+documented sample of labelled rows, of TEXT_BYTES of text at most. A toxic document teaches by its worst window, found anew each round, a clean one by its worst
 and some others; in the first rounds, by the window with the word that toxic documents have most in excess, and by random
 ones. A word's vector starts from that excess too, where it is beyond chance.
 
 Texts are lower-cased; words are runs of letters, digits and underscores. Null, empty and wordless texts
-score 0. With labels of one kind only, every score is 0. Null ids are not learned from and not held out. Repeated
+score 0; very long ones are scored whole, in groups of bounded size. Other columns are ignored, whatever their names. With labels of one kind only, every score is 0. Null ids are not learned from and not held out. Repeated
 rows score alike. An empty table gives no rows.
 """
 
@@ -26,12 +26,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.llm.common import table
 
 WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS = 32, 16, 8, 12, 12, 1 << 14
 SAMPLE, CLEAN_PER_TOXIC, MIN_COUNT, ROUNDS, WARM_SHARE, MIN_STEPS, MAX_ROUNDS = 1200, 4, 3, 12, 0.3, 600, 60
 RATE, DECAY, CLEAR = 0.01, 0.1, 4.0
+TEXT_BYTES = 128 << 20
 #: Words scored together; bounds a worker's memory.
 TOGETHER = 200_000
 _word = re.compile(r"\w+")
@@ -269,7 +271,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         known.where("toxic = 0").orderBy(*order).limit(CLEAN_PER_TOXIC * sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("known_id"))
-    return rows.where("text is not null").orderBy("toxic", "doc_id", "text").select("text", "toxic")
+    # At most the sample's rows go through this window.
+    run = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = rows.where("text is not null").withColumn("upto", F.sum(F.octet_length("text")).over(run)).where(F.col("upto") <= TEXT_BYTES)
+    return fits.orderBy("toxic", "doc_id", "text").select("text", "toxic")
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

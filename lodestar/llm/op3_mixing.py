@@ -8,22 +8,24 @@ sum of sizes: a document is in if the budget reaches past its middle. Keys come
 so reruns and any partitioning agree; equal rows tie and are then indistinguishable.
 
 No source is ever gathered in one task: each is cut into bins of the key's own distribution, bins are
-summed, and only the one bin in which the budget ends is sorted.
+summed, and only the one bin in which the budget ends is sorted. Bins follow the distribution at the greatest and at the
+least quality together, so neither kind of document crowds the last ones, and their number grows with the table, one for
+IN_BIN rows; the result is the same for any number.
 
 Null, empty or wordless texts have size 0 and take 0 words. A null source is a source of its own, ranked last.
-Null ids are ordinary ids. An empty table gives no rows. Other columns are ignored, whatever their names.
+Null ids are ordinary ids. Very long texts count whole, and one may overshoot by half its size. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestar.llm.common import stage, table
 
-WEIGHTS, SHARE, CEILING, BINS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 1024, "mix-1"
+WEIGHTS, SHARE, CEILING, IN_BIN, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 100_000, "mix-1"
+LEAST_QUALITY = 0.05
 
 
 def n_words(text: Column) -> Column:
@@ -33,10 +35,10 @@ def n_words(text: Column) -> Column:
 
 
 def quality(text: Column) -> Column:
-    """Weight in [0.05, 1]: one less five times the share of characters that are symbols."""
+    """Weight in [LEAST_QUALITY, 1]: one less five times the share of characters that are symbols."""
     text = F.coalesce(text, F.lit(""))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.greatest(F.lit(0.05), F.lit(1.0) - symbols * F.lit(5.0) / (F.length(text) + F.lit(1)))
+    return F.greatest(F.lit(LEAST_QUALITY), F.lit(1.0) - symbols * F.lit(5.0) / (F.length(text) + F.lit(1)))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -82,18 +84,20 @@ def mix(
     weights=WEIGHTS,
     share: float = SHARE,
     ceiling: float = CEILING,
-    bins: int = BINS,
+    bins: int | None = None,
     seed: str = SEED,
     keep_row: bool = False,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row; ``keep_row`` adds the input row as a struct."""
+    bins = bins or min(1 << 16, max(1024, docs.count() // IN_BIN))
+    below = lambda rate: F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.lit(rate))) * F.lit(bins))
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
         random_key(F.col(id_col), F.col(text_col), seed).alias("key"),
         *[F.struct("*").alias("row")] * keep_row,
-    ).withColumn("slot", F.least(F.lit(bins - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(bins))).cast("int"))
+    ).withColumn("slot", (below(1.0) + below(LEAST_QUALITY)).cast("int"))
     if not keep_row:
         sized = stage(sized, "mix-sized")
     # Both tables below have at most a row per source and bin, whatever the number of documents.

@@ -6,7 +6,8 @@ logarithmic time. Short pieces, which are nearly all, go through one tree per ro
 performs each step for thousands of distinct pieces at once; a long piece has a tree of its own.
 
 Nulls count as empty texts: no tokens, and the digests of the empty string. Any vocabulary of rank lines
-(base64 token, rank) works; its path is a parameter, and no special tokens are added.
+(base64 token, rank) works; its path is a parameter, and no special tokens are added. Very long texts are encoded whole.
+Repeated rows give repeated results, an empty table none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

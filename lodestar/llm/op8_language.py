@@ -9,7 +9,8 @@ to the earlier name. Equal counts are ordered by n-gram, so the result does not
 Counting runs in Arrow batches and is summed per language and n-gram; only PROFILE rows per language reach
 the driver. Texts that are null or have no letters give ``und`` with score 0, as does a corpus from
 which nothing could be learned. Rows with a null id are never learned from and count as not held out; a null
-language is not learned. An empty table gives no rows.
+language is not learned. Very long texts are counted whole; repeated rows count again when learnt from and are judged alike.
+Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,11 +6,11 @@ size, so they travel as one array per site; Catalyst broadcasts that table if it
 otherwise joins by site, where adaptive execution splits a hot site.
 
 Lines are compared without leading and trailing ASCII white space; blank lines are neither counted nor
-dropped; a dropped line goes with its line break and what stays is unchanged. Sites of fewer than
-``min_pages`` rows keep every line, or with ``few`` lose lines on two pages or more whose share exceeds a bound that
-falls evenly from 1 to ``ratio`` at ``min_pages``; rows without a site keep every line. A null text stays null with no lines. Repeated
-rows count as pages of their own. An empty table gives no rows. Input columns travel in a struct, so their
-names cannot clash.
+dropped; a dropped line goes with its line break and what stays is unchanged. A site of fewer than ``min_pages`` rows
+is judged too: it loses lines on two pages or more whose share exceeds a bound that falls evenly from 1 to ``ratio`` at
+``min_pages``, so no site is exempt at any table size. Rows without a site keep every line. A null text stays null with no
+lines; a very long one is cut into lines like others. Repeated rows count as pages of their own. An empty table gives no
+rows. Input columns travel in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -45,10 +45,10 @@ def _keys(lines: Column) -> Column:
     return F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, few: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(site, text) -> one row per site with boilerplate: site, boiler (hashes of its lines)."""
     pages = pages.where(F.col("site").isNotNull())
-    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages")).where(F.lit(few) | (F.col("n_pages") >= min_pages))
+    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
     short = F.lit(1.0) - F.col("n_pages") / F.lit(min_pages)
     bound = F.when(F.col("n_pages") >= min_pages, F.lit(ratio)).otherwise(F.lit(ratio) + F.lit(1.0 - ratio) * short)
     least = F.when(F.col("n_pages") >= min_pages, 1).otherwise(2)
@@ -65,12 +65,10 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     )
 
 
-def drop_lines(
-    docs: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, few: bool = False
-) -> DataFrame:
+def drop_lines(docs: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Every row as: row (the input row), site, n_lines, n_dropped, kept_text."""
     pages = docs.select(F.struct("*").alias("row"), site.alias("site"), text.alias("text"))
-    boiler = stage(boilerplate(pages.select("site", "text"), ratio, min_pages, few), "site-lines")
+    boiler = stage(boilerplate(pages.select("site", "text"), ratio, min_pages), "site-lines")
     joined = pages.join(boiler, "site", "left").withColumn("lines", F.split("text", "\n"))
     drop = lambda x: F.array_contains(F.col("boiler"), F.xxhash64(F.trim(x, F.lit(BLANK))))
     filled = F.filter("lines", lambda x: F.trim(x, F.lit(BLANK)) != "")
@@ -88,7 +86,7 @@ def drop_lines(
 def line_stage(docs: DataFrame, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with boilerplate lines of each site gone from the text, and n_chars, if there, measured anew."""
     new = {text_col: F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    out = drop_lines(docs, F.col(site_col), F.col(text_col), few=True)
+    out = drop_lines(docs, F.col(site_col), F.col(text_col))
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
@@ -109,8 +107,9 @@ WITH cleaned AS (
          list_filter(list_transform(string_split(regexp_replace(html, '{MARKUP}', chr(10), 'g'), chr(10)), lambda x: trim(x, {blank})), lambda x: x <> '') AS lines
   FROM pages),
 per_line AS (SELECT site, line, count(*) AS n FROM (SELECT site, unnest(list_distinct(lines)) AS line FROM cleaned WHERE site IS NOT NULL) GROUP BY ALL),
-totals AS (SELECT site, count(*) AS n_pages FROM cleaned WHERE site IS NOT NULL GROUP BY site HAVING count(*) >= {MIN_PAGES}),
-boiler AS (SELECT site, list(line) AS bad FROM per_line JOIN totals USING (site) WHERE n > {RATIO}::DOUBLE * n_pages GROUP BY site)
+totals AS (SELECT site, count(*) AS n_pages FROM cleaned WHERE site IS NOT NULL GROUP BY site),
+bounds AS (SELECT *, CASE WHEN n_pages >= {MIN_PAGES} THEN {RATIO}::DOUBLE ELSE {RATIO}::DOUBLE + {1 - RATIO}::DOUBLE * (1.0::DOUBLE - n_pages / {MIN_PAGES}::DOUBLE) END AS bound, CASE WHEN n_pages >= {MIN_PAGES} THEN 1 ELSE 2 END AS least FROM totals),
+boiler AS (SELECT site, list(line) AS bad FROM per_line JOIN bounds USING (site) WHERE n > bound * n_pages AND n >= least GROUP BY site)
 SELECT page_id, c.site AS host, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(list_filter(lines, lambda x: list_contains(coalesce(bad, []), x))), 0) AS BIGINT) AS n_dropped,
        sha256(coalesce(array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)), chr(10)), '')) AS kept_sha256

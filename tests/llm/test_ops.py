@@ -311,6 +311,56 @@ def test_op5_allowed_pages_give_trust_beside_blocked_ones(spark):
     assert got[4].trust > got[0].trust > 0 and got[6].trust > 0 and got[6].distrust == 0 and got[6].verdict == "allow"
 
 
+def test_op5_verdicts_against_brute_force(spark):
+    """A made-up web with links both ways: every page's verdict from rules, seeds and power iteration in plain Python."""
+    r = random.Random(12)
+    hosts = [f"{a}.{t}" for a in ("x.example", "y", "z", "k", "m") for t in ("com", "net", "org", "io")]
+    rows = []
+    for n in range(300):
+        links = "".join(f'<a HREF="{r.choice(["http:", ""])}//{h.upper()}/p?q">x</a> <a href="/own">' for h in r.sample(hosts, r.randint(0, 2)))
+        rows.append((n, f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'es', 'fr'])}/{r.choice('789')}{n}", links + "y" * r.choice([0, 50_000])))
+    rows += [rows[0], (None, None, None), (400, "nothing", "<a href='http://y.io/'>")]
+    split = lambda url: (url.split("://")[1].split("/")[0], "/" + url.split("://")[1].split("/", 1)[1]) if url and "://" in url else ("", "")
+
+    def rule(host, path):
+        fit = [(len(h + p), f"{h}/{p}", v) for v, h, p in op5_urls.RULES if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fit)[1:] if fit else None
+
+    pages = [(i, *split(u), html) for i, u, html in rows]
+    found = {(h, p): rule(h, p) for _, h, p, _ in pages}
+    per, edges = defaultdict(Counter), Counter()
+    for _, h, p, html in pages:
+        if h:
+            per[h][(found[h, p] or (0, "none"))[1]] += 1
+            for part in (html or "").split('HREF="')[1:]:
+                to = part.split('"')[0].split("//")[1].split("/")[0].lower()
+                if to != h:
+                    edges[h, to] += 1
+    names = sorted({*per, *(b for _, b in edges)})
+    mass = {}
+    for kind in ("trust", "distrust"):
+        s = np.array([(per[h]["allow"] if kind == "trust" else float(2 * per[h]["block"] > sum(per[h].values()))) if h in per else 0.0 for h in names])
+        s = s / s.sum()
+        m = np.zeros((len(names), len(names)))
+        for (a, b), n in edges.items():
+            a, b = (a, b) if kind == "trust" else (b, a)
+            m[names.index(b), names.index(a)] += n
+        share, x = m / np.maximum(m.sum(0), 1), s
+        for _ in range(120):
+            moved = 0.85 * share @ x
+            x = moved + s * (x.sum() - moved.sum())
+        mass[kind] = dict(zip(names, x))
+    want = []
+    for i, h, p, _ in pages:
+        host = "block" if mass["distrust"].get(h, 0) > mass["trust"].get(h, 0) else "allow"
+        want.append((i, h, p, found[h, p] and found[h, p][0], found[h, p][1] if found[h, p] else host))
+    clashing = spark.createDataFrame([(*x, "a", 1, "b") for x in rows], "page_id long, url string, html string, host string, path int, found string").repartition(5)
+    out = op5_urls.judge_urls(clashing, tolerance=1e-4).collect()
+    same_rows([(x.page_id, x.host, x.path, x.rule, x.verdict) for x in out], want)
+    unruled = {v for _, h, _, rule_, v in want if rule_ is None and h}
+    assert unruled == {"allow", "block"}
+
+
 def test_op5_trust_reaches_hosts_many_links_away(spark):
     edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(34)]
     seeds = [("trust", "h0", 1.0)]
@@ -514,6 +564,31 @@ def test_op8_profile_against_brute_force(spark):
     assert {decode(int(g)): int(c) for g, c in zip(grams, n)} == dict(want)
 
 
+def test_op8_distance_and_ties_against_brute_force(spark):
+    texts = [("the cat sat on the mat", "en"), ("le chat est sur le tapis", "fr"), ("die katze sitzt", "de"), ("the cat sat on the mat", "zz"), (None, "en"), ("1 2", "en")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    k = 12
+
+    def grams(text):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return Counter(g for n in (1, 2, 3) for g in (s[i : i + n] for i in range(len(s) - n + 1)) if g != " ")
+
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], sum(ord(ch) << 21 * (len(x[0]) - 1 - j) for j, ch in enumerate(x[0]))))][:k]
+    learned = {}
+    for lang in ("en", "fr", "de", "zz"):
+        learned[lang] = order(sum((grams(t) for t, l in texts if l == lang and t and grams(t)), Counter()))
+    got = op8_language.profiles(df, k)
+    decode = lambda g: "".join(chr(g >> b & 0x1FFFFF) for b in (42, 21, 0) if g >> b & 0x1FFFFF)
+    assert {lang: [decode(int(g)) for g in v] for lang, v in got.items()} == learned
+    tables = op8_language.places(got, k)
+    for text in ("the mat", "tapis", "katze!", "zzz", "the cat sat on the mat", "x " * 5000):
+        mine = order(grams(text))
+        far = {lang: sum(abs(p.index(g) - i) if g in p else k for i, g in enumerate(mine)) for lang, p in learned.items()}
+        best = min(sorted(far), key=far.get)
+        assert op8_language.nearest(text, *tables, k) == (best, pytest.approx(1 - far[best] / (k * len(mine))))
+    assert op8_language.nearest("the cat sat on the mat", *tables, k)[0] == "en"
+
+
 def test_op8_held_out_accuracy(spark):
     out = op8_language.op8_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = out.where("held_out").toPandas()
@@ -532,7 +607,7 @@ def test_op9_counts_lines_per_page_of_a_site(spark):
     got = {r.row.doc_id: r for r in op9_lines.drop_lines(df, F.col("source"), F.col("text"), ratio=0.25).collect()}
     assert len(got) == len(rows)
     assert got[5].kept_text == "body 5\r" and got[5].n_dropped == 1 and got[0].n_dropped == 0 and got[0].n_lines == 3
-    assert got[20].kept_text is None and got[21].kept_text == "menu" and got[22].kept_text == "menu" and got[24].kept_text == ""
+    assert got[20].kept_text is None and got[21].kept_text == "menu" and got[22].kept_text == "" and got[24].kept_text == ""
     low = {r.row.doc_id: r for r in op9_lines.drop_lines(df, F.col("source"), F.col("text"), ratio=0.2).collect()}
     assert low[0].kept_text == "body 0\n" and low[0].n_dropped == 2
     staged = op9_lines.line_stage(df)
@@ -570,6 +645,57 @@ def test_op10_gradients_match_differences():
             assert g[name][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4)
 
 
+def test_op10_document_score_against_plain_loops():
+    net = op10_toxicity.Network.fresh({"bad": 1, "day": 2}, seed=3)
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, op10_toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def word(w):
+        raw = b"\x02" + w.encode() + b"\x03"
+        slots = [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1 >> 7) % op10_toxicity.TRIGRAMS for i in range(len(raw) - 2)]
+        return np.concatenate([p["word"][net.vocabulary.get(w, 0)], np.mean([p["char"][s] for s in slots], 0)]) @ p["win"] + p["bin"]
+
+    def gated(inputs, u, off):
+        state, out = np.zeros(h), []
+        for x in inputs:
+            x = x[off : off + 3 * h]
+            z = [sig(x[i] + sum(state[j] * u[j, i] for j in range(h))) for i in range(h)]
+            r = [sig(x[h + i] + sum(state[j] * u[j, h + i] for j in range(h))) for i in range(h)]
+            c = [math.tanh(x[2 * h + i] + sum(r[j] * state[j] * u[j, 2 * h + i] for j in range(h))) for i in range(h)]
+            state = np.array([(1 - z[i]) * state[i] + z[i] * c[i] for i in range(h)])
+            out.append(state)
+        return out
+
+    def window(words):
+        inputs = [word(w) for w in words]
+        states = [np.concatenate(x) for x in zip(gated(inputs, p["uf"], 0), gated(inputs[::-1], p["ub"], 3 * h)[::-1])]
+        e = np.exp([np.tanh(s @ p["wa"]) @ p["va"] for s in states])
+        return float((e / e.sum()) @ np.array(states) @ p["wo"] + p["bo"][0])
+
+    texts = ["bad day", "Bad! " + prose(70, 77), prose(33, 78), "é日本 day"]
+    got = net.window_scores([op10_toxicity.words_of(t) for t in texts])
+    for text, scores in zip(texts, got):
+        w = op10_toxicity.words_of(text)
+        starts = range(0, max(1, len(w) - op10_toxicity.WIDTH + op10_toxicity.STRIDE), op10_toxicity.STRIDE)
+        want = [window(w[s : s + op10_toxicity.WIDTH]) for s in starts]
+        assert scores.tolist() == pytest.approx(want, abs=1e-4)
+
+
+def test_op10_training_rows(spark, monkeypatch):
+    held = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5 == 0]
+    docs = spark.createDataFrame([(i, f"text {i}", 1) for i in range(60)] + [(None, "null id", 1), (3, "again", 1), (4, None, 1)], "doc_id long, text string, toxic int")
+    marks = [(i, i % 2) for i in range(60)] + [(3, 1), (3, 0), (None, 1), (70, 1)] + [(6, None)]
+    known = spark.createDataFrame(marks, "doc_id long, toxic int")
+    rows = [(r.text, r.toxic) for r in op10_toxicity.training_rows(docs, known).collect()]
+    want = [(f"text {i}", i % 2) for i in range(60) if i not in held and i and i != 4] + [("again", 1)]
+    want += [] if zlib.crc32(b"0") % 5 == 0 else [("text 0", 0)]
+    assert sorted(rows) == sorted(want + ([] if 4 in held else [("text 4", 0)]))
+    assert {r.toxic for r in op10_toxicity.training_rows(docs, known, sample=3).collect()} == {0, 1}
+    assert len([r for r in op10_toxicity.training_rows(docs, known, sample=3).collect() if r.toxic]) <= 4
+    monkeypatch.setattr(op10_toxicity, "TEXT_BYTES", 30)
+    assert 0 < sum(len(r.text) for r in op10_toxicity.training_rows(docs, known).collect()) <= 30
+
+
 def test_op10_learns_and_scores_all_windows(spark):
     r = random.Random(6)
     texts = [prose(60, 700 + i) for i in range(160)]
