@@ -51,7 +51,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: fl
     fill = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
     whole = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     up_to = fill.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # In ascending order of cap / weight, a source is capped if the level, with all before it capped, reaches it.
+    # In ascending order of cap / weight, a source is capped if the level, with all before it capped, reaches it. From the
+    # first that is not, levels fall, as they take more caps off than those sources use: the greatest is the water's.
     levels = (
         weighted.withColumn("cap", F.col("source_size") * F.lit(float(ceiling)))
         .withColumn("budget", F.sum("source_size").over(whole) * F.lit(float(share)))
@@ -59,7 +60,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: fl
         .withColumn("weight_left", F.sum("weight").over(whole) - F.sum("weight").over(up_to) + F.col("weight"))
         .withColumn("level", (F.col("budget") - F.col("before")) / F.col("weight_left"))
         .withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
-        .withColumn("water", F.min(F.when(~F.col("capped"), F.col("level"))).over(whole))
+        .withColumn("water", F.max(F.when(~F.col("capped"), F.col("level"))).over(whole))
     )
     target = F.when(F.col("capped"), F.col("cap")).otherwise(
         F.least(F.col("cap"), F.col("water") * F.col("weight"))
@@ -168,7 +169,7 @@ ranked AS (
   FROM weighted),
 levels AS (SELECT *, (budget - before) / weight_left AS lev, (budget - before) / weight_left * weight >= cap AS capped FROM ranked),
 goals AS (
-  SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(cap, (min(lev) FILTER (WHERE NOT capped) OVER ()) * weight) END AS target
+  SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(cap, (max(lev) FILTER (WHERE NOT capped) OVER ()) * weight) END AS target
   FROM levels),
 rests AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM goals),

@@ -220,6 +220,48 @@ def test_op3_targets_and_takes(docs):
     same_rows(got, op3_mixing.mix(docs.repartition(1), bins=4).collect())
 
 
+def filled(sizes: dict, weights=(5, 2, 1)) -> dict:
+    """Targets by resharing the excess, one round after another."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, live, target = 1.5 * sum(sizes.values()), set(order), {}
+    while live:
+        unit = left / sum(weight[s] for s in live)
+        over = {s for s in live if unit * weight[s] > 2 * sizes[s]}
+        if not over:
+            return target | {s: unit * weight[s] for s in live}
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        live -= over
+    return target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_op3_targets_of_many_sources(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{i}": int(10 ** r.uniform(1, 4)) for i in range(17)} | {None: 500, "é": 0}
+    rows = op3_mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = filled(sizes)
+    assert {x.source: x.target for x in rows} == {s: pytest.approx(t) for s, t in want.items()}
+    assert all(0 <= x.target <= 2 * x.source_size + 1e-6 for x in rows)
+
+
+def test_op3_takes_come_near_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    taken, sizes, most, target = Counter(), Counter(), Counter(), {}
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    for r in op3_mixing.mix(docs).collect():
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        sizes[s] += r.size
+        most[s] = max(most[s], r.size)
+        target[s] = r.target
+    want = filled(dict(sizes))
+    for s in sizes:
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= most[s]
+
+
 def test_op3_prefix_sums_match_one_sorted_list(spark):
     rows = [(i, prose(5 + i % 40, i), "only" if i % 3 else "tiny") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
