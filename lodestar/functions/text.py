@@ -58,6 +58,11 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
+def join_blocks(blocks: Column) -> Column:
+    """The texts of an array of (type, text) blocks of type text, joined and stripped."""
+    return strip(F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), ""))
+
+
 def or_default(value: Column, default) -> Column:
     """The default replaces null and the empty string alike."""
     return F.coalesce(F.nullif(value, F.lit("")), default if isinstance(default, Column) else F.lit(default))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions import text
+
 DIMENSION = 64
 
 
@@ -28,6 +33,24 @@ def checked(vector: Column, dimension: int) -> Column:
     )
 
 
+#: The embedder that needs no model, and those that callers register: from a series of texts to a list of vectors.
+HASHED = "hashed"
+EMBEDDERS: dict[str, Callable[[pd.Series], list]] = {}
+
+
+def embed(rows: DataFrame, key: str, body: str, embedder: str = HASHED) -> DataFrame:
+    """(key, text) -> (key, embedding) by a registered embedder, called once per Arrow batch."""
+    if embedder == HASHED:
+        return hashed_embedding(rows.select(key, text.terms(F.col(body)).alias("terms")), key, "terms")
+    call = EMBEDDERS[embedder]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "embedding": list(call(batch[body]))})
+
+    return rows.select(key, body).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<double>")
+
+
 def hashed_embedding(rows: DataFrame, key: str, terms: str, dimension: int = DIMENSION) -> DataFrame:
     """(key, terms) -> (key, embedding): each term adds a sign to a bucket, both from its digest; unit norm.
 

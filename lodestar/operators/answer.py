@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,6 +72,21 @@ def compress(hits: DataFrame, budget: int = 2000, least: float = 0.0) -> DataFra
     return kept.groupBy("query_id", "rank", "item_id").agg(F.array_join(ordered, " ").alias("chunk_text"), F.sum("n").cast("int").alias("tokens"))
 
 
+#: Compressors by name, from (query_id, rank, item_id, query_terms, chunk_text) to the same with less text; callers register their own.
+COMPRESSORS: dict[str, Callable[[DataFrame], DataFrame]] = {"none": lambda hits: hits, "sentences": compress}
+
+
+def narrowed(candidates: DataFrame, k: int = TOP_K, score: Column | None = None, compressor: str = "sentences") -> DataFrame:
+    """The answer's context from many candidates with query_terms, item_terms and chunk_text: reranked, k kept, compressed.
+
+    Adds n_candidates, the number a query had before.
+    """
+    score = overlap(F.col("query_terms"), F.col("item_terms")) if score is None else score
+    many = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    kept = rerank(candidates, k, score).select("query_id", F.col("new_rank").alias("rank"), "item_id", "query_terms", "chunk_text")
+    return COMPRESSORS[compressor](kept).join(many, "query_id")
+
+
 def contexts(hits: DataFrame) -> DataFrame:
     """(query_id, rank, item_id, chunk_text) -> context block in rank order, sources and their number.
 
@@ -95,6 +111,22 @@ def extractive(prompt: str) -> str:
     return body.split("\n\n", 1)[0][:280]
 
 
+class MissingKey(Exception):
+    """A hosted generator's key is not set where the call runs."""
+
+
+def hosted(variable: str, call: Callable[[str, str], str]) -> Callable[[str], str]:
+    """A generator that gives ``call`` the key from an environment variable of the worker; without it, a row's error."""
+
+    def run(prompt: str) -> str:
+        key = os.environ.get(variable)
+        if not key:
+            raise MissingKey(f"{variable} is not configured. Add it to .env and restart.")
+        return call(key, prompt)
+
+    return run
+
+
 #: Providers by name; callers register their own functions from prompt to text.
 GENERATORS: dict[str, Callable[[str], str]] = {"local": extractive, "openai": extractive, "anthropic": extractive}
 
@@ -146,6 +178,41 @@ def compare(asked: DataFrame, variants: list[dict], hits: DataFrame, prompts: Da
     return answers(generate(ready), indexed)
 
 
+def repaired(rows: DataFrame, schema: str, valid: Callable[[Column], Column], repair: Callable[[str], str]) -> DataFrame:
+    """(…, raw) -> plus parsed and state: valid as it is, valid after one call of ``repair``, or failed.
+
+    Only rows that fail reach ``repair``; one that raises leaves its row failed.
+    """
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said = []
+            for raw in batch["raw"]:
+                try:
+                    said.append(repair(raw))
+                except Exception:  # noqa: BLE001
+                    said.append(None)
+            yield batch.assign(raw=said)
+
+    def check(part: DataFrame) -> DataFrame:
+        parsed = part.withColumn("parsed", F.from_json("raw", schema))
+        return parsed.withColumn("ok", F.coalesce(valid(F.col("parsed")), F.lit(False)))
+
+    first = check(rows)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    again = check(first.where("not ok").select(*rows.columns).mapInPandas(call, fields))
+    state = F.when(F.col("ok"), F.lit("repaired")).otherwise(F.lit("failed"))
+    good = first.where("ok").withColumn("state", F.lit("valid"))
+    return good.unionByName(again.withColumn("state", state)).withColumn("parsed", F.when(F.col("ok"), F.col("parsed"))).drop("ok")
+
+
+def refuse_uncited(answered: DataFrame) -> DataFrame:
+    """Answers that name no chunk become refusals."""
+    none = ~F.col("refusal") & (F.size(cited(F.col("answer"))) == 0)
+    return answered.withColumn("answer", F.when(none, NOTHING_RELEVANT).otherwise(F.col("answer"))).withColumn(
+        "confidence", F.when(none, F.lit(0.0)).otherwise(F.col("confidence"))
+    ).withColumn("refusal", F.col("refusal") | none)
+
+
 def cited(answer: Column) -> Column:
     """Chunk ids named in brackets."""
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([0-9A-Za-z_.-]+:[0-9]+)\]"), 1))

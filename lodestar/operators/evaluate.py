@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions import text
-from lodestar.operators.answer import overlap
+from lodestar.operators.answer import compare, overlap
 
 METRICS = ("faithfulness", "answer_relevance", "context_precision", "context_recall")
 THRESHOLD = 0.05
@@ -41,6 +44,62 @@ def faithfulness(answer: Column, context: Column, threshold: float = 0.5) -> Col
     return F.when(F.size(claims) > 0, F.size(held) / F.size(claims))
 
 
+def relevance(question: Column, answer: Column) -> Column:
+    """Jaccard overlap of the terms of question and answer: a lexical stand-in for embedding similarity."""
+    q, a = F.array_distinct(text.terms(question)), F.array_distinct(text.terms(answer))
+    return F.size(F.array_intersect(q, a)) / F.greatest(F.size(F.array_union(q, a)), F.lit(1))
+
+
+#: Scorers of an answer by metric, over question, answer, context and ideal_answer; callers register their own.
+SCORERS: dict[str, Callable[[], Column]] = {
+    "faithfulness": lambda: faithfulness(F.col("answer"), F.coalesce("context", F.lit(""))),
+    "answer_relevance": lambda: relevance(F.col("question"), F.col("answer")),
+}
+
+
+def scored(answered: DataFrame, retrieval: DataFrame | None = None) -> DataFrame:
+    """Answers with all four metrics: those of SCORERS, and those of retrieval by query (null where it has no truth)."""
+    out = answered.withColumns({m: make() for m, make in SCORERS.items()})
+    if retrieval is not None:
+        rest = [m for m in METRICS if m not in SCORERS]
+        out = out.join(retrieval.select("query_id", *rest), "query_id", "left")
+    return out.withColumns({m: F.lit(None).cast("double") for m in METRICS if m not in out.columns})
+
+
+def run_eval(golden: DataFrame, variants: list[dict], hits: DataFrame, prompts: DataFrame, indexed: int, retrieval: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every golden question under every configuration, answered and scored: (per example, mean and n per variant)."""
+    per_example = scored(compare(golden, variants, hits, prompts, indexed), retrieval)
+    return per_example, mean_scores(per_example, ["variant"])
+
+
+def judged(answered: DataFrame, judge: Callable[[str, str, str], str]) -> DataFrame:
+    """Adds the metrics and reasoning that a judge of (question, answer, context) returns as JSON; unreadable ones are null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(judgement=[judge(*row) for row in zip(batch["question"], batch["answer"], batch["context"])])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in answered.schema.fields)
+    form = ", ".join(f"{m} double" for m in METRICS) + ", reasoning string"
+    said = answered.mapInPandas(run, f"{fields}, judgement string").withColumn("judgement", F.from_json("judgement", form))
+    inside = lambda m: F.when(F.col(f"judgement.{m}").between(0, 1), F.col(f"judgement.{m}")).alias(m)
+    return said.select(*answered.columns, *[inside(m) for m in METRICS], "judgement.reasoning")
+
+
+def pairwise(pairs: DataFrame, prefer: Callable[[str, str, str], int]) -> DataFrame:
+    """(query_id, question, a, b) -> verdict a, b or tie: a side wins only if it does in both orders of presentation.
+
+    ``prefer`` gives 0 for the first answer shown, 1 for the second.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ways = [(prefer(q, a, b), prefer(q, b, a)) for q, a, b in zip(batch["question"], batch["a"], batch["b"])]
+            yield pd.DataFrame({"query_id": batch["query_id"], "verdict": [{(0, 1): "a", (1, 0): "b"}.get(w, "tie") for w in ways]})
+
+    return pairs.select("query_id", "question", "a", "b").mapInPandas(run, f"query_id {dict(pairs.dtypes)['query_id']}, verdict string")
+
+
 def mean_scores(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Unweighted means and n; an empty input has a null aggregate as a whole."""
     means = F.struct(*[F.avg(m).alias(m) for m in METRICS])
@@ -51,16 +110,19 @@ def regressions(runs: DataFrame, threshold: float = THRESHOLD, by: str | None =
     """(file_name, metrics…) -> metric, delta, from, to where a metric fell by more than the threshold.
 
     Metrics are unpivoted before the lag, which is taken per metric (and per ``by``). A missing value counts as 0,
-    unless skip_nulls; the comparison is strict and on unrounded doubles.
+    unless skip_nulls; the comparison is strict and on unrounded doubles. With a prompt_version column, from_prompt and to_prompt
+    are added: the versions that the two runs used.
     """
-    keys = [by] if by else []
-    long = runs.unpivot(["file_name", *keys], list(METRICS), "metric", "value")
+    keys, versions = [by] if by else [], ["prompt_version"] if "prompt_version" in runs.columns else []
+    long = runs.unpivot(["file_name", *keys, *versions], list(METRICS), "metric", "value")
     if skip_nulls:
         long = long.where("value is not null")
     order = Window.partitionBy("metric", *keys).orderBy("file_name")
     value = F.coalesce("value", F.lit(0.0))
     steps = long.withColumn("delta", value - F.lag(value).over(order)).withColumn("from", F.lag("file_name").over(order))
-    return steps.where(F.col("delta") < -threshold).select(*keys, "metric", "delta", "from", F.col("file_name").alias("to"))
+    out = [F.lag(v).over(order).alias("from_prompt") for v in versions] + [F.col(v).alias("to_prompt") for v in versions]
+    every = steps.select(*keys, "metric", "delta", "from", F.col("file_name").alias("to"), *out)
+    return every.where(F.col("delta") < -threshold)
 
 
 def example_diff(before: DataFrame, after: DataFrame, threshold: float = THRESHOLD, fail: float = 0.5) -> DataFrame:
@@ -72,6 +134,12 @@ def example_diff(before: DataFrame, after: DataFrame, threshold: float = THRESHO
     )
 
 
+def in_range(answers: DataFrame) -> Column:
+    """Whether an answer's confidence, and the scores of its sources that have one, lie within 0 to 1."""
+    scores = F.coalesce(F.forall("sources", lambda s: F.coalesce(s["score"].between(0, 1), F.lit(True))), F.lit(True))
+    return F.coalesce(F.col("confidence").between(0, 1), F.lit(False)) & (scores if "score" in answers.schema["sources"].dataType.elementType.names else F.lit(True))
+
+
 def valid_ratings(ratings: DataFrame, provider: str | None = None) -> DataFrame:
     """Ratings of 1 to 5; the provider filter is skipped when null or empty."""
     rows = ratings.where(F.col("rating").between(1, 5))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from lodestar.functions import ids, text
+from lodestar.functions import ids, text, vectors
 
 CHUNK_WORDS, OVERLAP_WORDS = 600, 80
 
@@ -30,11 +30,35 @@ def pdf_text(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else read(b))
 
 
+@F.pandas_udf(StringType())
+def docx_text(content: pd.Series) -> pd.Series:
+    """Paragraphs of a word-processor file, one a line."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    def read(b):
+        with zipfile.ZipFile(io.BytesIO(b)) as archive:
+            root = ElementTree.fromstring(archive.read("word/document.xml"))
+        space = root.tag.split("}")[0] + "}"
+        return "\n".join("".join(t.text or "" for t in p.iter(space + "t")) for p in root.iter(space + "p"))
+
+    return content.map(lambda b: None if b is None else read(b))
+
+
+#: Loaders by suffix, from (content) to text; callers register their own. Any other suffix is text in UTF-8.
+LOADERS = {".pdf": pdf_text, ".docx": docx_text}
+
+
 def load_text(files: DataFrame) -> DataFrame:
-    """(name, content) -> plus text, by suffix: PDF pages, or bytes as UTF-8."""
-    pdf = text.suffix(F.col("name")) == ".pdf"
-    plain = files.where(~pdf).withColumn("text", decode_dropping("content"))
-    return plain.unionByName(files.where(pdf).withColumn("text", pdf_text("content")))
+    """(name, content) -> plus text, by suffix: a registered loader, mark-up without its tags, or bytes as UTF-8."""
+    kind = text.suffix(F.col("name"))
+    rest = files.where(~kind.isin(*LOADERS))
+    plain = decode_dropping("content")
+    out = rest.withColumn("text", plain).withColumn("text", F.when(kind.isin(".html", ".htm"), text.html_to_text(F.col("text"))).otherwise(F.col("text")))
+    for name, loader in LOADERS.items():
+        out = out.unionByName(files.where(kind == name).withColumn("text", loader("content")))
+    return out
 
 
 def chunk_words(docs: DataFrame, key: str = "doc_id", body: str = "text", size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, drop_inner_tail: bool = False) -> DataFrame:
@@ -71,12 +95,20 @@ def points(chunks: DataFrame, key: Column) -> DataFrame:
     return chunks.withColumn("chunk_id", ids.chunk_id(key, F.col("chunk_no"))).withColumn("point_id", ids.point_id(F.col("chunk_id")))
 
 
+def embedded(points_: DataFrame, body: str = "chunk_text", embedder: str = vectors.HASHED, version: str = "1") -> DataFrame:
+    """Points with their embedding and where it comes from; texts without a direction get no vector and no row."""
+    found = vectors.embed(points_.select("point_id", body), "point_id", body, embedder)
+    return points_.join(found, "point_id").withColumn("embedding_model", F.lit(embedder)).withColumn("model_version", F.lit(version))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, by_group: str | None = None) -> DataFrame:
     """Rows of ``new`` over rows of ``old`` with their key; with ``by_group``, whole groups are replaced, tails too."""
     if by_group:
         old = old.join(new.select(by_group).distinct(), by_group, "left_anti")
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_batch")))
+    # Within a batch the greatest digest of the whole row stays, so reruns agree.
+    whole = F.xxhash64(F.to_json(F.struct(*sorted(new.columns))))
+    latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_batch"), F.desc(whole)))
     return both.withColumn("_place", latest).where("_place = 1").drop("_batch", "_place")
 
 

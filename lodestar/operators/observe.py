@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 
 def latency(events: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Exact p50 and p95 beside count and mean."""
+    """Exact p50 and p95 beside count and mean; a group's state holds its distinct values, so values are to be rounded to a unit first where they are many."""
     return events.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
         F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"),

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.session import staged
+
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 50
-ROWS, ASKED = 4096, 256
+ROWS, ASKED, BROADCAST = 4096, 256, 64 << 20
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "item_id") -> DataFrame:
@@ -22,57 +24,101 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "item_
     return scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None, own: bool = True) -> DataFrame:
-    """(query_id, v) against (item_id, v), exact inner products: blocks of queries meet blocks of the corpus.
-
-    Each meeting is one matrix product and returns at most k rows per query; with ``own``, a query may find its own id.
+def _packed(rows: pd.DataFrame, key: str, unit: bool) -> pd.DataFrame:
+    """One row per length of vector: its ids in order and the matrix of their vectors, of unit length if asked."""
+    size = rows["v"].map(len).to_numpy()
+    out = []
+    for d in np.unique(size[size > 0]):
+        part = rows[size == d].sort_values(key, kind="stable")
+        m = np.stack(part["v"]).astype(np.float64)
+        if unit:
+            norm = np.sqrt((m * m).sum(1, keepdims=True))
+            m = m / np.where(norm > 0, norm, 1)
+        out.append((int(d), part[key].to_list(), m.tobytes()))
+    return pd.DataFrame(out, columns=["d", "ids", "m"])
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, min_score: float | None, own: bool) -> pd.DataFrame:
+    """The k best of a block for each query; ``ids`` ascend, so a stable sort gives ties to the smaller."""
+    s = np.round(q @ c.T, 6) + 0.0
+    lost = np.zeros(s.shape, bool) if own else q_ids[:, None] == ids[None, :]
+    if min_score is not None:
+        lost |= s < min_score
+    s[lost] = -np.inf
+    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    score = np.take_along_axis(s, order, 1)
+    at, to = np.nonzero(score > -np.inf)
+    return pd.DataFrame({"query_id": q_ids[at], "item_id": ids[order[at, to]], "score": score[at, to]})
+
+
+def dense(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None, own: bool = True, metric: str = "cosine") -> DataFrame:
+    """(query_id, v) against (item_id, v), exact: cosine, or inner product by ``metric="dot"``.
+
+    The packed queries go to every task if they take BROADCAST bytes at most, and the corpus stays where it is. A larger set
+    of queries is dealt in blocks, and each block of the corpus meets each of them. A batch returns at most k rows per query; with
+    ``own``, a query may find its own id. Null vectors take no part; only vectors of one length meet.
     """
-    n = max(1, -(-queries.count() // ASKED))
-    m = max(1, -(-corpus.count() // ROWS))
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, item = pdf.columns[0], pdf.columns[1]
-        return pd.DataFrame({block: pdf[block].iloc[:1], "ids": [pdf[item].to_list()], "m": [np.stack(pdf["v"]).astype(np.float64).tobytes()]})
-
+    if metric not in ("cosine", "dot"):
+        raise ValueError("metric is cosine or dot")
+    unit, spark = metric == "cosine", queries.sparkSession
     q_type, i_type = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["item_id"]
-    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("q_block"), "query_id", F.col("v").cast("array<double>").alias("v"))
-    held = corpus.select(F.pmod(F.xxhash64("item_id"), F.lit(m)).alias("c_block"), "item_id", F.col("v").cast("array<double>").alias("v"))
-    asked = asked.groupBy("q_block").applyInPandas(pack, f"q_block long, ids array<{q_type}>, m binary").withColumnsRenamed({"ids": "q_ids", "m": "q_m"})
-    held = held.groupBy("c_block").applyInPandas(pack, f"c_block long, ids array<{i_type}>, m binary")
-    met = held.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(asked, "q_block")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(key: str, rows: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), rows):
+                    yield _packed(batch.iloc[at : at + rows], key, unit)
+
+        return run
+
+    usable = lambda rows, key: rows.where(F.col("v").isNotNull()).select(key, F.col("v").cast("array<double>").alias("v"))
+    asked = staged(usable(queries, "query_id").mapInPandas(pack("query_id", ASKED), f"d int, ids array<{q_type}>, m binary"), "queries")
+    held = usable(corpus, "item_id").mapInPandas(pack("item_id", ROWS), f"d int, ids array<{i_type}>, m binary")
+    schema = f"query_id {q_type}, item_id {i_type}, score double"
+    matrix = lambda raw, d: np.frombuffer(raw).reshape(-1, d)
+    if (asked.agg(F.sum(F.length("m"))).first()[0] or 0) <= BROADCAST:
+        blocks = spark.sparkContext.broadcast([(r.d, np.array(r.ids), r.m) for r in asked.collect()])
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples():
+                    c, ids = matrix(row.m, row.d), np.array(row.ids)
+                    for d, q_ids, raw in blocks.value:
+                        if d == row.d:
+                            yield _best(q_ids, matrix(raw, d), ids, c, k, min_score, own)
+
+        return top_k(held.mapInPandas(score, schema), k)
+    numbered = asked.withColumn("q_block", F.monotonically_increasing_id()).withColumnsRenamed({"ids": "q_ids", "m": "q_m"})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                q, c = np.frombuffer(row.q_m).reshape(len(row.q_ids), -1), np.frombuffer(row.m).reshape(len(row.ids), -1)
-                s = np.round(q @ c.T, 6)
-                for i, qid in enumerate(row.q_ids):
-                    best = sorted((-x, j) for x, j in zip(s[i], row.ids) if (own or j != qid) and (min_score is None or x >= min_score))[:k]
-                    yield pd.DataFrame({"query_id": [qid] * len(best), "item_id": [j for _, j in best], "score": [-x + 0.0 for x, _ in best]})
-
-    return top_k(met.mapInPandas(score, f"query_id {q_type}, item_id {i_type}, score double"), k)
-
+                yield _best(np.array(row.q_ids), matrix(row.q_m, row.d), np.array(row.ids), matrix(row.m, row.d), k, min_score, own)
 
-def index_stats(items: DataFrame) -> DataFrame:
-    """(item_id, terms) -> n_items, avg_length."""
-    return items.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.size("terms")).alias("avg_length"))
+    return top_k(held.join(numbered, "d").mapInPandas(meet, schema), k)
 
 
 def bm25(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, terms) against (item_id, terms) -> query_id, item_id, score of all pairs that share a term.
 
-    Postings are cut to the terms asked before they are counted; the equi-join on the term follows.
+    Postings are cut to the terms asked before they are counted, and staged, so texts are cut into terms once; the
+    equi-join on the term follows.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = asked.select("term").distinct()
-    tf = (
-        items.select("item_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    # No term is empty, so the empty one stands for the item itself: one pass gives postings, items and lengths.
+    wanted = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    every = F.explode(F.concat(F.array(F.lit("")), F.coalesce("terms", F.array().cast("array<string>")))).alias("term")
+    tf = staged(
+        items.select("item_id", F.coalesce(F.size("terms"), F.lit(0)).alias("length"), every)
         .join(wanted, "term", "left_semi")
         .groupBy("term", "item_id", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        .agg(F.count(F.lit(1)).alias("tf")),
+        "postings",
     )
+    stats = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("avg")).first()
+    n, avg = float(stats["n"] or 0), float(stats["avg"] or 1.0)
+    tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = index_stats(items).first()
-    n, avg = float(stats["n_items"]), float(stats["avg_length"] or 1.0)
     idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     size = F.lit(1.0 - b) + F.lit(b) * F.col("length") / F.lit(avg)
     weight = idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * size)

@@ -81,6 +81,22 @@ def ask_flagship(spark, sf):
     )
 
 
+def candidates(spark, sf):
+    """The 50 best chunks of every question by BM25, with what reranking and compression need."""
+    items = chunks_as_items(spark, sf)
+    best = search.top_k(search.bm25(asked(spark, sf), items), search.CANDIDATES)
+    texts = items.select("item_id", "chunk_text", F.col("terms").alias("item_terms"))
+    return best.join(texts, "item_id").join(asked(spark, sf).select("query_id", F.col("terms").alias("query_terms")), "query_id")
+
+
+def ask_reranked(spark, sf):
+    """The whole path: 50 candidates, reranked, 8 kept, compressed to sentences that share a term, answered."""
+    hits = answer.narrowed(candidates(spark, sf))
+    many = hits.groupBy("query_id").agg(F.max("n_candidates").alias("n_candidates"))
+    out = answer.ask(questions(spark, sf), hits, prompts(spark), indexed=1).join(many, "query_id", "left")
+    return out.select("query_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "n_context", F.md5("prompt").alias("prompt_md5"), "refusal", F.md5("answer").alias("answer_md5"))
+
+
 def compare_variants(spark, sf):
     out = answer.compare(questions(spark, sf).select("query_id", "question"), VARIANTS, lexical_hits(spark, sf), prompts(spark), indexed=1)
     return out.select("query_id", "variant", "provider", "model", "prompt_version", "is_fallback", "refusal", "confidence", F.md5("answer").alias("answer_md5"))
@@ -122,7 +138,7 @@ def sweep_grid(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    rerank_overlap, compress_context, context_block, prompt_render, answer_sources, refusal_flags, ask_flagship, compare_variants, provider_default_binding,
+    rerank_overlap, compress_context, context_block, prompt_render, answer_sources, refusal_flags, ask_flagship, ask_reranked, compare_variants, provider_default_binding,
     citation_check, validated_answers, sweep_grid,
 )}
 
@@ -143,6 +159,14 @@ _SOURCES_JSON = "'[' || array_to_string(list_transform(sources, lambda s: '{\"ch
 _PROMPT = f"replace(replace({_DEFAULT}, '{{question}}', question), '{{context}}', coalesce(context, ''))"
 
 
+_VARIED = f"""{_TOP}, {_CTX}, v AS (SELECT * FROM (VALUES (0, 'local', 'local-model', 'default', {_q(PROMPTS[0][1])}, false), (1, 'openai', 'openai-model', 'terse', {_q(PROMPTS[1][1])}, false),
+  (2, 'anthropic', 'hosted-model', 'missing', {_q(PROMPTS[0][1])}, true), (3, 'nowhere', 'm', 'default', {_q(PROMPTS[0][1])}, false)) AS t(variant, provider, model, prompt_version, template, is_fallback)),
+p AS (SELECT query_id, question, context, v.*, replace(replace(template, '{{question}}', question), '{{context}}', context) AS prompt FROM asked JOIN ctx USING (query_id), v),
+s AS (SELECT *, substr(split_part(trim(CASE WHEN contains(prompt, 'Context:' || chr(10)) THEN split_part(prompt, 'Context:' || chr(10), 2) ELSE prompt END, ' ' || chr(10)), chr(10) || chr(10), 1), 1, 280) AS said FROM p)"""
+#: (query_id, question, variant, context, answer) of every question under every variant.
+ANSWERED = f"{_VARIED} SELECT query_id, question, variant, context, CASE WHEN variant = 3 THEN 'unknown provider: nowhere' ELSE said END AS answer FROM s"
+
+
 def _sweep() -> str:
     parts = []
     for size, overlap in ((600, 80), (300, 40)):
@@ -171,11 +195,15 @@ SELECT query_id, n = 0 AS refusal, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 0.85::D
        CASE WHEN n = 0 THEN 'none' ELSE sources[1].chunk_id END AS first_source FROM p""",
     "ask_flagship": f"""{_TOP}, {_CTX}, p AS (SELECT query_id, question, coalesce(n_context, 0) AS n, sources, {_PROMPT} AS prompt FROM asked LEFT JOIN ctx USING (query_id))
 SELECT query_id, question, 'local' AS provider, 'local-model' AS model, 'default' AS prompt_version, CAST(n AS INTEGER) AS n_context, md5(prompt) AS prompt_md5, {_SAY} AS answer, 0.85::DOUBLE AS confidence, false AS refusal, {_SOURCES_JSON} AS sources FROM p""",
-    "compare_variants": f"""{_TOP}, {_CTX}, v AS (SELECT * FROM (VALUES (0, 'local', 'local-model', 'default', {_q(PROMPTS[0][1])}, false), (1, 'openai', 'openai-model', 'terse', {_q(PROMPTS[1][1])}, false),
-  (2, 'anthropic', 'hosted-model', 'missing', {_q(PROMPTS[0][1])}, true), (3, 'nowhere', 'm', 'default', {_q(PROMPTS[0][1])}, false)) AS t(variant, provider, model, prompt_version, template, is_fallback)),
-p AS (SELECT query_id, v.*, replace(replace(template, '{{question}}', question), '{{context}}', context) AS prompt FROM asked JOIN ctx USING (query_id), v),
-s AS (SELECT *, substr(split_part(trim(CASE WHEN contains(prompt, 'Context:' || chr(10)) THEN split_part(prompt, 'Context:' || chr(10), 2) ELSE prompt END, ' ' || chr(10)), chr(10) || chr(10), 1), 1, 280) AS said FROM p)
-SELECT query_id, variant, provider, model, prompt_version, is_fallback, variant = 3 AS refusal, CASE WHEN variant = 3 THEN 0.0::DOUBLE ELSE 0.85::DOUBLE END AS confidence, md5(CASE WHEN variant = 3 THEN 'unknown provider: nowhere' ELSE said END) AS answer_md5 FROM s""",
+    "ask_reranked": f"""{_TOP50}, s AS (SELECT query_id, rank AS old, item_id, chunk_text, a.terms AS q, round({_SHARE.format(q='a.terms', i='i.terms')}, 6) AS score FROM lexical l JOIN items i USING (item_id) JOIN asked a USING (query_id)),
+many AS (SELECT query_id, count(*) AS n_candidates FROM s GROUP BY query_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS INTEGER) AS rank FROM s QUALIFY rank <= 8),
+t AS (SELECT *, len({sql.words('sentence')}) AS n FROM (SELECT query_id, rank, item_id, q, unnest({sql.sentences('chunk_text')}) AS sentence, generate_subscripts({sql.sentences('chunk_text')}, 1) AS pos FROM r) WHERE {_SHARE.format(q='q', i=sql.terms('sentence'))} > 0),
+u AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY rank, item_id, pos) AS upto FROM t),
+hits AS (SELECT query_id, rank, item_id, string_agg(sentence, ' ' ORDER BY pos) AS chunk_text FROM u WHERE upto <= 2000 GROUP BY ALL), {_CTX},
+p AS (SELECT query_id, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_context, 0) AS n, {_PROMPT} AS prompt FROM asked LEFT JOIN ctx USING (query_id) LEFT JOIN many USING (query_id))
+SELECT query_id, CASE WHEN n = 0 THEN 0 ELSE n_candidates END AS n_candidates, CAST(n AS INTEGER) AS n_context, md5(prompt) AS prompt_md5, n = 0 AS refusal, md5(CASE WHEN n = 0 THEN {_q(answer.NOTHING_RELEVANT)} ELSE {_SAY} END) AS answer_md5 FROM p""",
+    "compare_variants": f"{_VARIED}\nSELECT query_id, variant, provider, model, prompt_version, is_fallback, variant = 3 AS refusal, CASE WHEN variant = 3 THEN 0.0::DOUBLE ELSE 0.85::DOUBLE END AS confidence, md5(CASE WHEN variant = 3 THEN 'unknown provider: nowhere' ELSE said END) AS answer_md5 FROM s",
     "provider_default_binding": """WITH a AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'openai' WHEN 2 THEN 'other' ELSE 'local' END AS provider FROM benchmark)
 SELECT query_id, provider, CASE WHEN query_id % 5 = 0 THEN 'own' WHEN provider = 'local' THEN 'local-model' WHEN provider = 'openai' THEN 'openai-model' ELSE 'hosted-model' END AS model, 'default' AS prompt_version FROM a""",
     "citation_check": f"{_TOP}, {_CTX} SELECT query_id, CAST(n_context AS INTEGER) AS cited, CAST(greatest(n_context - 4, 0) AS INTEGER) AS unsupported, n_context = 0 AS refuse FROM ctx",

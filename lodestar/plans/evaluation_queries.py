@@ -9,20 +9,35 @@ from lodestar.functions import text
 from lodestar.operators import evaluate, observe, search
 from lodestar.operators.answer import overlap
 from lodestar.plans import sql
-from lodestar.plans.retrieval_queries import asked, documents_as_items
+from lodestar.plans.answer_queries import ANSWERED, VARIANTS, prompts, questions
+from lodestar.plans.retrieval_queries import asked, documents_as_items, lexical_hits
 from lodestar.session import table
 
 
 def truth(spark, sf):
-    """Documents that hold a benchmark text verbatim; its second to sixth words, whole words in both, make an equi-join of it."""
-    bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", text.words(F.col("text")).alias("w"))
-    bench = bench.select("query_id", F.col("text").alias("passage"), F.array_join(F.slice("w", 2, 5), " ").alias("key"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", text.words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    n = F.greatest(F.size("w") - 4, F.lit(1))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, 5), " ")))
-    keyed = docs.select("doc_id", "text", F.explode(grams).alias("key"))
-    met = keyed.join(bench, "key").where(F.contains("text", "passage"))
-    return met.select("query_id", F.col("doc_id").alias("item_id")).distinct()
+    """Documents that hold a benchmark text verbatim.
+
+    The words inside a passage, five of them at most, are whole words of such a document too, so an equi-join on them finds the
+    candidates, ids only, and their texts are fetched for the check. A passage of one or two words has none inside: those few
+    are looked for in every document.
+    """
+    bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), text.words(F.col("text")).alias("w"))
+    size = F.least(F.size("w") - 2, F.lit(5)).alias("size")
+    keyed = bench.where(F.size("w") > 2).select("query_id", "passage", size, F.array_join(F.slice("w", 2, size), " ").alias("key"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    split = docs.select("doc_id", text.words(F.col("text")).alias("w"))
+    met = None
+    # One to five sizes, whatever the tables.
+    for n in sorted(r["size"] for r in keyed.select("size").distinct().collect()):
+        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        grams = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " ")))
+        found = split.where(F.size("w") >= n).select("doc_id", F.explode(grams).alias("key")).join(keyed.where(F.col("size") == n), "key")
+        met = found.select("query_id", "passage", "doc_id") if met is None else met.unionByName(found.select("query_id", "passage", "doc_id"))
+    short = bench.where((F.size("w") <= 2) & (F.length("passage") > 0)).select("query_id", "passage")
+    whole = docs.join(short, F.contains("text", "passage")).select("query_id", "doc_id")
+    if met is not None:
+        whole = whole.unionByName(met.join(docs, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id"))
+    return whole.select("query_id", F.col("doc_id").alias("item_id")).distinct()
 
 
 def golden_truth(spark, sf):
@@ -53,17 +68,25 @@ def faithfulness_overlap(spark, sf):
 
 
 def answer_relevance(spark, sf):
-    """Jaccard overlap of the terms of question and answer: a lexical stand-in for embedding similarity."""
-    q, a = F.array_distinct(text.terms(F.col("asked"))), F.array_distinct(text.terms(F.col("text")))
-    share = F.size(F.array_intersect(q, a)) / F.greatest(F.size(F.array_union(q, a)), F.lit(1))
+    share = evaluate.relevance(F.col("asked"), F.col("text"))
     return _exchanges(spark, sf).select("conv_id", "turn", F.round(share, 6).alias("answer_relevance"))
 
 
+def _evaluated(spark, sf):
+    """Every benchmark question under every variant, answered from chunks and scored; retrieval by documents."""
+    retrieval = evaluate.retrieval_scores(_ranked(spark, sf), truth(spark, sf), 10)
+    golden = questions(spark, sf).select("query_id", "question")
+    return evaluate.run_eval(golden, VARIANTS, lexical_hits(spark, sf), prompts(spark), 1, retrieval)
+
+
+def run_eval_golden(spark, sf):
+    means = _evaluated(spark, sf)[1]
+    return means.select("variant", "n", *[F.round(F.col("aggregate")[m], 6).alias(m) for m in evaluate.METRICS])
+
+
 def _scores(spark, sf):
-    """Per-question scores of one run: retrieval scores measured, the other two placeholders; no answer is scored."""
-    r = evaluate.retrieval_scores(_ranked(spark, sf), truth(spark, sf), 10)
-    best = _ranked(spark, sf).where("rank = 1").select("query_id", (F.col("score") / (F.col("score") + 50)).alias("answer_relevance"))
-    return r.join(best, "query_id").withColumn("faithfulness", F.col("context_recall") * F.lit(0.5) + F.lit(0.25))
+    """Per-question scores of the first variant, where there is truth."""
+    return _evaluated(spark, sf)[0].where("variant = 0 and context_recall is not null")
 
 
 def eval_aggregate(spark, sf):
@@ -92,11 +115,12 @@ def runs_from_events(spark, sf):
         F.round(F.avg(F.least(v / 50, F.lit(1.0))), 6).alias("faithfulness"), F.round(F.avg(F.when(v > 10, 1.0).otherwise(0.0)), 6).alias("answer_relevance"),
         F.round(F.avg(F.when(v > 20, 1.0).otherwise(0.0)), 6).alias("context_precision"), F.round(F.max(F.when(v > 100, v / 1000)), 6).alias("context_recall"),
     )
-    return runs.withColumn("file_name", F.concat_ws("-", "day", "dataset"))
+    version = F.concat(F.lit("v"), F.pmod(F.dayofyear(F.to_date("day")), F.lit(3)).cast("string"))
+    return runs.withColumn("file_name", F.concat_ws("-", "day", "dataset")).withColumn("prompt_version", version)
 
 
 def _rounded(df, *keys):
-    return df.select(*keys, "metric", F.round("delta", 6).alias("delta"), "from", "to")
+    return df.select(*keys, "metric", F.round("delta", 6).alias("delta"), "from", "to", "from_prompt", "to_prompt")
 
 
 def regressions_adjacent(spark, sf):
@@ -154,28 +178,33 @@ def toxicity_filter(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    golden_truth, context_precision_recall, faithfulness_overlap, answer_relevance, eval_aggregate, eval_table_sorted, metric_log, regressions_adjacent,
+    golden_truth, run_eval_golden, context_precision_recall, faithfulness_overlap, answer_relevance, eval_aggregate, eval_table_sorted, metric_log, regressions_adjacent,
     regressions_by_dataset, regressions_strict, per_example_diff, human_ratings_by_provider, ratings_quarantine, judge_human_kappa, stratified_scores, toxicity_filter,
 )}
 
 _TRUTH = "truth AS (SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_TERMS_OF_S = sql.terms("s").replace("lambda x: x", "lambda y: y")
 _SCORED = f"""{sql.ITEMS_OF_DOCUMENTS}, {sql.ASKED}, {sql.bm25(10)}, {_TRUTH}, sizes AS (SELECT query_id, count(*) AS n_true FROM truth GROUP BY 1),
 p AS (SELECT l.query_id, count(*) OVER (PARTITION BY l.query_id ORDER BY rank) / rank::DOUBLE AS p FROM lexical l JOIN truth t ON t.query_id = l.query_id AND t.item_id = l.item_id),
 s AS (SELECT query_id, sum(p) AS p, count(*) AS found FROM p GROUP BY query_id),
-r AS (SELECT z.query_id, coalesce(p / least(n_true, 10), 0) AS context_precision, coalesce(found, 0) / n_true::DOUBLE AS context_recall FROM sizes z LEFT JOIN s USING (query_id)),
-scores AS (SELECT r.*, l.score / (l.score + 50) AS answer_relevance, context_recall * 0.5::DOUBLE + 0.25::DOUBLE AS faithfulness FROM r JOIN lexical l ON l.query_id = r.query_id AND rank = 1)"""
+r AS (SELECT z.query_id, coalesce(p / least(n_true, 10), 0) AS context_precision, coalesce(found, 0) / n_true::DOUBLE AS context_recall FROM sizes z LEFT JOIN s USING (query_id))"""
+_HELD = f"len(list_intersect(list_distinct({_TERMS_OF_S}), known)) / greatest(len(list_distinct({_TERMS_OF_S})), 1)::DOUBLE"
+_EVALUATED = f"""{_SCORED}, ans AS ({ANSWERED}), c AS (SELECT *, {sql.sentences('answer')} AS claims, {sql.terms('context')} AS known, list_distinct({sql.terms('question')}) AS q, list_distinct({sql.terms('answer')}) AS a FROM ans),
+every AS (SELECT query_id, variant, CASE WHEN len(claims) > 0 THEN len(list_filter(claims, lambda s: {_HELD} >= 0.5::DOUBLE)) / len(claims)::DOUBLE END AS faithfulness,
+  len(list_intersect(q, a)) / greatest(len(list_distinct(list_concat(q, a))), 1)::DOUBLE AS answer_relevance, context_precision, context_recall FROM c LEFT JOIN r USING (query_id)),
+scores AS (SELECT * FROM every WHERE variant = 0 AND context_recall IS NOT NULL)"""
 _EXCHANGES = "x AS (SELECT * FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations) WHERE role = 'assistant' AND asked IS NOT NULL)"
 _Q, _A = f"list_distinct({sql.terms('asked')})", f"list_distinct({sql.terms('text')})"
-_RUNS = """runs AS (SELECT *, day || '-' || dataset AS file_name FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS dataset, round(avg(least(value / 50, 1.0::DOUBLE)), 6) AS faithfulness,
+_RUNS = """runs AS (SELECT *, day || '-' || dataset AS file_name, 'v' || (dayofyear(CAST(day AS DATE)) % 3) AS prompt_version FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS dataset, round(avg(least(value / 50, 1.0::DOUBLE)), 6) AS faithfulness,
   round(avg(CASE WHEN value > 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS answer_relevance, round(avg(CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS context_precision,
   round(max(CASE WHEN value > 100 THEN value / 1000 END), 6) AS context_recall FROM events GROUP BY 1, 2)),
-long AS (SELECT file_name, dataset, unnest(['faithfulness', 'answer_relevance', 'context_precision', 'context_recall']) AS metric, unnest([faithfulness, answer_relevance, context_precision, context_recall]) AS value FROM runs)"""
+long AS (SELECT file_name, dataset, prompt_version, unnest(['faithfulness', 'answer_relevance', 'context_precision', 'context_recall']) AS metric, unnest([faithfulness, answer_relevance, context_precision, context_recall]) AS value FROM runs)"""
 
 
 def _regressions(part: str, keys: str, where: str) -> str:
     w = f"OVER (PARTITION BY {part} ORDER BY file_name)"
-    return f"""WITH {_RUNS}, d AS (SELECT dataset, metric, coalesce(value, 0) - lag(coalesce(value, 0)) {w} AS delta, lag(file_name) {w} AS "from", file_name AS "to" FROM long WHERE {where})
-SELECT {keys} metric, round(delta, 6) AS delta, "from", "to" FROM d WHERE delta < -0.05::DOUBLE"""
+    return f"""WITH {_RUNS}, d AS (SELECT dataset, metric, coalesce(value, 0) - lag(coalesce(value, 0)) {w} AS delta, lag(file_name) {w} AS "from", file_name AS "to", lag(prompt_version) {w} AS from_prompt, prompt_version AS to_prompt FROM long WHERE {where})
+SELECT {keys} metric, round(delta, 6) AS delta, "from", "to", from_prompt, to_prompt FROM d WHERE delta < -0.05::DOUBLE"""
 
 
 _RATINGS = "r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 7 ELSE 1 + 3 * quality + 1 - toxic END AS rating, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'local' ELSE 'openai' END AS provider FROM labels)"
@@ -183,12 +212,13 @@ _OVERLAP = "len(list_intersect(list_distinct(a.terms), i.terms)) / greatest(len(
 ORACLES = {
     "golden_truth": f"WITH {_TRUTH} SELECT b.item_id AS query_id, count(t.item_id) AS n_relevant, min(t.item_id) AS first_doc FROM benchmark b LEFT JOIN truth t ON t.query_id = b.item_id GROUP BY 1",
     "context_precision_recall": f"WITH {_SCORED} SELECT query_id, round(context_precision, 6) AS context_precision, round(context_recall, 6) AS context_recall FROM r",
+    "run_eval_golden": f"WITH {_EVALUATED} SELECT CAST(variant AS INTEGER) AS variant, count(*) AS n, round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance, round(avg(context_precision), 6) AS context_precision, round(avg(context_recall), 6) AS context_recall FROM every GROUP BY variant",
     "faithfulness_overlap": f"""WITH {_EXCHANGES}, c AS (SELECT conv_id, turn, {sql.sentences('text')} AS claims, {sql.terms('asked')} AS known FROM x)
 SELECT conv_id, turn, CASE WHEN len(claims) > 0 THEN round(len(list_filter(claims, lambda s: len(list_intersect(list_distinct({sql.terms('s').replace('lambda x: x', 'lambda y: y')}), known)) / greatest(len(list_distinct({sql.terms('s').replace('lambda x: x', 'lambda y: y')})), 1)::DOUBLE >= 0.2)) / len(claims)::DOUBLE, 6) END AS faithfulness FROM c""",
     "answer_relevance": f"WITH {_EXCHANGES} SELECT conv_id, turn, round(len(list_intersect({_Q}, {_A})) / greatest(len(list_distinct(list_concat({_Q}, {_A}))), 1)::DOUBLE, 6) AS answer_relevance FROM x",
-    "eval_aggregate": f"WITH {_SCORED} SELECT count(*) AS n, round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance, round(avg(context_precision), 6) AS context_precision, round(avg(context_recall), 6) AS context_recall FROM scores",
-    "eval_table_sorted": f"WITH {_SCORED} SELECT NULL::DOUBLE AS answer_relevance, round(context_precision, 6) AS context_precision, 'retrieval' AS part, query_id FROM scores UNION ALL SELECT round(answer_relevance, 6), NULL, 'answer', query_id FROM scores",
-    "metric_log": f"WITH {_SCORED} SELECT 'eval/answer_relevance' AS name, round(avg(answer_relevance), 6) AS value FROM scores UNION ALL SELECT 'eval/context_precision', round(avg(context_precision), 6) FROM scores UNION ALL SELECT 'eval/context_recall', round(avg(context_recall), 6) FROM scores",
+    "eval_aggregate": f"WITH {_EVALUATED} SELECT count(*) AS n, round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance, round(avg(context_precision), 6) AS context_precision, round(avg(context_recall), 6) AS context_recall FROM scores",
+    "eval_table_sorted": f"WITH {_EVALUATED} SELECT NULL::DOUBLE AS answer_relevance, round(context_precision, 6) AS context_precision, 'retrieval' AS part, query_id FROM scores UNION ALL SELECT round(answer_relevance, 6), NULL, 'answer', query_id FROM scores",
+    "metric_log": f"WITH {_EVALUATED} SELECT 'eval/answer_relevance' AS name, round(avg(answer_relevance), 6) AS value FROM scores UNION ALL SELECT 'eval/context_precision', round(avg(context_precision), 6) FROM scores UNION ALL SELECT 'eval/context_recall', round(avg(context_recall), 6) FROM scores",
     "regressions_adjacent": _regressions("metric", "", "true"),
     "regressions_by_dataset": _regressions("metric, dataset", "dataset,", "true"),
     "regressions_strict": _regressions("metric, dataset", "dataset,", "value IS NOT NULL"),

@@ -121,7 +121,7 @@ QUERIES = {f.__name__: f for f in (
 def _dense(items: str, where: str, k: int) -> str:
     return f"""WITH allv AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings),
 q AS (SELECT item_id AS query_id, v FROM allv WHERE item_id % {EVERY} = 0),
-pairs AS (SELECT query_id, item_id, round(list_dot_product(q.v, c.v), 6) + 0.0 AS score FROM q, allv c WHERE query_id <> item_id AND {items}),
+pairs AS (SELECT query_id, item_id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) + 0.0 AS score FROM q, allv c WHERE query_id <> item_id AND {items}),
 kept AS (SELECT * FROM pairs WHERE {where})
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id, score FROM kept QUALIFY rank <= {k}"""
 

@@ -32,14 +32,16 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    """One document per file, with its file_name, which orders the history."""
-    rows = spark.read.schema(schemas.RUN).option("multiLine", True).json(folder)
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name"))
+    """One document per file, or per folder that a writer made for it, with its file_name, which orders the history."""
+    rows = spark.read.schema(schemas.RUN).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    own, above = F.element_at(parts, -1), F.element_at(parts, -2)
+    return rows.select("*", F.when(above.endswith(".json"), above).otherwise(own).alias("file_name"))
 
 
 def run_metrics(history: DataFrame) -> DataFrame:
-    """file_name, dataset and the four metrics of the aggregate, as regressions() takes them."""
-    return history.select("file_name", "dataset", "aggregate.*")
+    """file_name, dataset, prompt_version and the four metrics of the aggregate, as regressions() takes them."""
+    return history.select("file_name", "dataset", "prompt_version", "aggregate.*")
 
 
 def ratings(spark: SparkSession, path: str, provider: str | None = None) -> tuple[DataFrame, DataFrame]:

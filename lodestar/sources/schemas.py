@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-SOURCE = "struct<chunk_id:string,quote:string,score:double>"
 SCORE = "struct<faithfulness:double,answer_relevance:double,context_precision:double,context_recall:double>"
 
 GOLDEN = "question string, ideal_answer string, expected_sources array<string>"
-CHUNK = "id string, doc_id string, text string, tokens int, section string, metadata map<string,string>"
-POINT = "point_id bigint, embedding array<float>, chunk_id string, doc_id string, text string, metadata map<string,string>, embedding_model string, model_version string"
-ANSWER = f"question string, answer string, sources array<{SOURCE}>, confidence double, refusal boolean, provider string, model string"
 RATING = "question string, answer string, rating int, comment string, provider string, model string, prompt_version string, id string, created_at string"
 RUN = (
     f"dataset string, provider string, model string, prompt_version string, n int, aggregate {SCORE}, "
     f"per_example array<struct<question:string,answer:string,ideal_answer:string,score:{SCORE}>>, created_at string"
 )
-TRACE = "id string, name string, inputs map<string,string>, events array<struct<step:string,data:string>>"
-FILE = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def struct(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +24,13 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, dimension: int):
         self.spark, self.path, self.dimension = spark, path, dimension
 
-    def _snapshots(self) -> list[str]:
+    def _snapshots(self, finished: bool = True) -> list[str]:
         if not _exists(self.spark, self.path):
             return []
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         listed = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
         names = sorted(s.getPath().getName() for s in listed)
-        return [n for n in names if _exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+        return [n for n in names if not finished or _exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
 
     def read(self) -> DataFrame | None:
         found = self._snapshots()
@@ -37,7 +39,8 @@ class Collection:
     def upsert(self, new: DataFrame, by_document: bool = True) -> DataFrame:
         """Insert or replace by point, and whole documents too unless told not to; a wrong dimension is an error."""
         checked = new.withColumn("embedding", vectors.checked(F.col("embedding"), self.dimension))
-        old, number = self.read(), len(self._snapshots())
+        # An unfinished snapshot of a failed write keeps its number.
+        old, number = self.read(), max([int(n) + 1 for n in self._snapshots(finished=False) if n.isdigit()], default=0)
         merged = checked if old is None else ingest.upsert(old, checked, "point_id", by_group="doc_id" if by_document else None)
         merged.write.parquet(f"{self.path}/{number:08d}")
         return self.read()
@@ -51,14 +54,57 @@ class Collection:
         return self.read().where(F.col("model_version") != version)
 
 
+class RunLog:
+    """Rows that a run logs: its tables and metrics, kept under its name."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str, config: dict, tags: list[str]):
+        self.spark, self.path = spark, f"{folder}/{name}"
+        row = spark.createDataFrame([(name, {k: str(v) for k, v in config.items()}, tags)], "name string, config map<string,string>, tags array<string>")
+        row.write.mode("overwrite").json(f"{self.path}/config")
+
+    def table(self, name: str, rows: DataFrame) -> None:
+        rows.select(*sorted(rows.columns)).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+
+@contextmanager
+def run_context(spark: SparkSession, folder: str | None, name: str, config: dict | None = None, tags: list[str] | None = None) -> Iterator[RunLog | None]:
+    """A log of the run, or None where no folder is named; ``finished`` is written even if the run fails."""
+    if not folder:
+        yield None
+        return
+    log = RunLog(spark, folder, name, config or {}, tags or [])
+    failed = True
+    try:
+        yield log
+        failed = False
+    finally:
+        spark.createDataFrame([(name, failed)], "name string, failed boolean").write.mode("overwrite").json(f"{log.path}/finished")
+
+
+def run_document(per_example: DataFrame, aggregate: DataFrame, dataset: str, config: dict) -> DataFrame:
+    """One row in the stored form of a run, from (question, answer, ideal_answer, score) and (aggregate, n).
+
+    A golden set is a list for people to read, so its examples fit one document.
+    """
+    one = per_example.agg(F.collect_list(F.struct("question", "answer", "ideal_answer", "score")).alias("per_example"))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    fields = [F.lit(config.get(c)).cast("string").alias(c) for c in ("provider", "model", "prompt_version")]
+    return one.withColumn("one", F.lit(1)).join(aggregate.withColumn("one", F.lit(1)), "one").select(
+        F.lit(dataset).alias("dataset"), *fields, F.col("n").cast("int").alias("n"), "aggregate", "per_example", stamp.alias("created_at")
+    )
+
+
 def run_name(dataset, prompt_version, now: datetime | None = None) -> str:
     now = now or datetime.now(timezone.utc)
     safe = lambda s: (s or "default").replace("/", "_").replace(":", "-")
     return f"{now:%Y%m%dT%H%M%SZ}-{safe(dataset)}-{safe(prompt_version)}"
 
 
-def append_run(run: DataFrame, folder: str) -> None:
-    run.write.mode("append").json(folder)
+def persist_run(run: DataFrame, folder: str, dataset: str, prompt_version: str | None, now: datetime | None = None) -> str:
+    """Writes a run document under its run_name, which orders the history; returns the path."""
+    path = f"{folder}/{run_name(dataset, prompt_version, now)}.json"
+    run.coalesce(1).write.json(path)
+    return path
 
 
 def append_ratings(ratings: DataFrame, path: str) -> None:

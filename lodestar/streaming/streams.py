@@ -9,21 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import ingest
-from lodestar.session import CHECKPOINT_KEY
+from lodestar.session import shared_dir
+from lodestar.sources.writers import Collection
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get(CHECKPOINT_KEY, None) or "/tmp/lodestar-checkpoints"
-    return f"{root}/lodestar-streams/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lodestar-streams/{name}-{uuid.uuid4().hex}"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A growing folder of Parquet files, or one file, as a stream; timestamps without zone become instants for watermarks.
 
-    The path is given as a pattern, because a stream takes a plain path for a folder.
+    A stream takes a plain path for a folder, so a single file is given as a pattern that only it matches.
     """
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(f"{path}*")
+    head, last = path.rstrip("/")[:-1], path.rstrip("/")[-1]
+    rows = spark.readStream.schema(schema).parquet(f"{head}[{last}]")
     naive = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
@@ -44,6 +45,17 @@ def chunks(docs: DataFrame) -> DataFrame:
     return ingest.chunk_words(docs)
 
 
+def upsert_into(collection: Collection, by_document: bool = True) -> Callable[[DataFrame, int], None]:
+    """A batch function that upserts its points; a batch that is run again replaces its own points by equal ones."""
+    return lambda batch, number: collection.upsert(batch, by_document) and None
+
+
+def drain(stream: DataFrame, name: str, merge: Callable[[DataFrame, int], None]) -> None:
+    """Give what is there now to ``merge``, batch by batch."""
+    state = f"{shared(stream.sparkSession, name)}-state"
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append", merge: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Drain what is there now into a Parquet table of the shared folder and return it.
 
