@@ -12,16 +12,17 @@ def near_pairs(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
     Shingles are ordered from rare to common. Two sets alike to the bound share one of their first
     n - ceil(bound n) + 1 shingles, so only those meet in the join, and common passages hardly ever do; what meets is
-    verified on the whole sets. Documents with equal sets are one node throughout; their pairs are listed at the
-    end, as this report asks for them.
+    verified on the whole sets. Documents with equal sets are one class: pairs are those of the classes' least documents, and
+    each further document pairs with the least of its class, at 1.0. So a class of m copies gives m - 1 rows, and no
+    link between different sets is lost. Documents without words or id are in no pair.
     """
     # The words are bound as a lambda's variable: inlined, their split would run again for each shingle.
     shingled = lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))
     )
     grams = F.array_distinct(F.element_at(F.transform(F.array("w"), shingled), 1))
-    keyed = docs.where("size(w) > 0").select("doc_id", F.sort_array(grams).alias("s")).withColumn("set_id", F.sha2(F.array_join("s", ","), 256))
-    nodes = keyed.groupBy("set_id").agg(F.first("s").alias("s"))
+    keyed = docs.where("size(w) > 0 and doc_id is not null").select("doc_id", F.sort_array(grams).alias("s")).withColumn("set_id", F.sha2(F.array_join("s", ","), 256))
+    nodes = keyed.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("s").alias("s"))
     each = nodes.select("set_id", F.size("s").alias("n"), F.explode("s").alias("g"))
     often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "g"))
@@ -31,11 +32,11 @@ def near_pairs(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     x, y = rare.toDF("i", "ni", "g"), rare.toDF("j", "nj", "g")
     near_size = (F.least("ni", "nj") >= F.lit(similarity) * F.greatest("ni", "nj") - F.lit(1e-9))
     pairs = x.join(y, "g").where("i < j").where(near_size).select("i", "j").distinct()
-    left, right = nodes.toDF("i", "si"), nodes.toDF("j", "sj")
+    left, right = nodes.toDF("i", "p", "si"), nodes.toDF("j", "q", "sj")
     common = F.size(F.array_intersect("si", "sj"))
-    scored = pairs.join(left, "i").join(right, "j").select("i", "j", (common / (F.size("si") + F.size("sj") - common)).alias("similarity"))
-    same = nodes.select(F.col("set_id").alias("i"), F.col("set_id").alias("j"), F.lit(1.0).alias("similarity"))
-    alike = scored.where(F.col("similarity") >= similarity).unionByName(same)
-    di, dj = keyed.select(F.col("set_id").alias("i"), F.col("doc_id").alias("p")), keyed.select(F.col("set_id").alias("j"), F.col("doc_id").alias("q"))
-    met = alike.join(di, "i").join(dj, "j").where((F.col("i") != F.col("j")) | (F.col("p") < F.col("q")))
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.round("similarity", 6).alias("similarity"))
+    scored = pairs.join(left, "i").join(right, "j").select("p", "q", (common / (F.size("si") + F.size("sj") - common)).alias("similarity"))
+    alike = scored.where(F.col("similarity") >= similarity)
+    # A class of very many copies is one key of the large side, which may be split as it meets its one row.
+    copies = keyed.select("set_id", "doc_id").join(nodes.select("set_id", "least"), "set_id").where("doc_id > least")
+    alike = alike.unionByName(copies.select(F.col("least").alias("p"), F.col("doc_id").alias("q"), F.lit(1.0).alias("similarity")))
+    return alike.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.round("similarity", 6).alias("similarity"))

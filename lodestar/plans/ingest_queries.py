@@ -49,9 +49,10 @@ def _points(docs: DataFrame, batch: str) -> DataFrame:
 
 
 def _second_batch(spark, sf):
-    """Documents of even id come again, shortened to their first half."""
-    docs = table(spark, sf, "documents").where("doc_id % 2 = 0")
-    return docs.withColumn("text", F.expr("substring(text, 1, length(text) div 2)"))
+    """Every document comes again whole; those of even id as a shorter revision, without their words of under four characters."""
+    w = text.words(F.col("text"))
+    shorter = F.array_join(F.filter(w, lambda x: F.length(x) >= 4), " ")
+    return table(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 2 == 0, shorter).otherwise(F.col("text")))
 
 
 def chunk_upsert_latest(spark, sf):
@@ -125,7 +126,7 @@ def repeated_line_cleaning(spark, sf):
 
 
 def near_dup_pairs(spark, sf):
-    """Pairs of documents whose sets of five-word shingles are alike to 0.8."""
+    """Pairs of documents whose sets of five-word shingles are alike to 0.8; of equal sets, the least document stands for all."""
     return dedupe.near_pairs(table(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("w")), 5, 0.8)
 
 
@@ -134,7 +135,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_replace_by_doc, incremental_new_chunks, incremental_revised_chunks, exact_dedup, near_dup_pairs, index_stats, html_to_text, file_suffix_dispatch, payload_map_roundtrip, repeated_line_cleaning,
 )}
 
-_SECOND = "second_docs AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS text FROM documents WHERE doc_id % 2 = 0)"
+_SECOND = f"""second_docs AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_filter({sql.words('text')}, lambda x: length(x) >= 4), ' ') ELSE text END AS text FROM documents)"""
 
 
 def _chunked(name: str, source: str, batch: str) -> str:
@@ -170,10 +171,13 @@ SELECT doc_key, chunk_no, doc_key || ':' || chunk_no AS chunk_id, CAST('0x' || s
     "incremental_revised_chunks": f"WITH {_REVISED}, {_chunked('a', 'documents', 'first')}, {_chunked('b', 'revised', 'second')} SELECT chunk_id, content_sha FROM b WHERE content_sha NOT IN (SELECT content_sha FROM a)",
     "exact_dedup": "SELECT sha256(text) AS content_sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "near_dup_pairs": f"""WITH w AS (SELECT doc_id, {sql.words('text')} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM w WHERE len(w) > 0),
+classes AS (SELECT min(doc_id) AS least, g FROM sets GROUP BY g),
+s AS (SELECT least AS doc_id, unnest(g) AS g FROM classes),
+n AS (SELECT least AS doc_id, len(g) AS n FROM classes),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8""",
+SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8
+UNION ALL SELECT least, doc_id, 1.0::DOUBLE FROM sets JOIN classes USING (g) WHERE doc_id > least""",
     "index_stats": f"WITH {sql.chunks()} SELECT count(*) AS points, count(DISTINCT doc_id) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM chunks",
     "html_to_text": f"SELECT page_id, CAST(length(b) AS INTEGER) AS chars, md5(b) AS text_md5 FROM (SELECT page_id, {_BODY} AS b FROM pages)",
     "file_suffix_dispatch": r"""WITH n AS (SELECT string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[^:]+://[^/]+', ''), '/')[-1] AS name FROM pages),

@@ -92,22 +92,23 @@ def hybrid_rrf(spark, sf):
     return search.top_k(fused, 10).select("query_id", "rank", "item_id", "score")
 
 
+def _user_turns(spark, sf):
+    """Every user turn with all its terms."""
+    turns = table(spark, sf, "conversations").where("role = 'user'")
+    return turns.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), text.terms(F.col("text")).alias("terms"))
+
+
 def multi_query_union(spark, sf):
     """User turns of a conversation are paraphrases: hits of all of them, once each, the best score kept."""
-    turns = table(spark, sf, "conversations").where("role = 'user'")
-    rows = turns.select("conv_id", "turn", F.slice(text.terms(F.col("text")), 1, 8).alias("terms"))
-    q = rows.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "terms")
     items = table(spark, sf, "benchmark").select("item_id", text.terms(F.col("text")).alias("terms"))
-    hits = search.top_k(search.bm25(q, items), 5)
+    hits = search.top_k(search.bm25(_user_turns(spark, sf), items), 5)
     conv = F.split("query_id", ":")[0].cast("long").alias("conv_id")
     return hits.groupBy(conv, "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("found_by"))
 
 
 def multi_query_chunks(spark, sf):
-    """multi_query_union on whole turns and on chunks: all terms of every user turn search all chunks."""
-    turns = table(spark, sf, "conversations").where("role = 'user'")
-    q = turns.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), text.terms(F.col("text")).alias("terms"))
-    hits = search.top_k(search.bm25(q, chunks_as_items(spark, sf)), 5)
+    """multi_query_union on chunks: all terms of every user turn search all chunks."""
+    hits = search.top_k(search.bm25(_user_turns(spark, sf), chunks_as_items(spark, sf)), 5)
     conv = F.split("query_id", ":")[0].cast("long").alias("conv_id")
     return hits.groupBy(conv, F.col("item_id").alias("chunk_id")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("found_by"))
 
@@ -139,7 +140,7 @@ ORACLES = {
     "hybrid_rrf": f"""{_DOCS}, {sql.bm25(50)}, {_HASHED}, {sql.dense('qv', 'cv', 50)},
 fused AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, item_id, rank FROM lexical UNION ALL SELECT query_id, item_id, rank FROM dense) GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id, score FROM fused QUALIFY rank <= 10""",
-    "multi_query_union": f"""WITH asked AS (SELECT conv_id || ':' || turn AS query_id, ({sql.terms('text')})[1:8] AS terms FROM conversations WHERE role = 'user'),
+    "multi_query_union": f"""WITH asked AS (SELECT conv_id || ':' || turn AS query_id, {sql.terms('text')} AS terms FROM conversations WHERE role = 'user'),
 items AS (SELECT item_id, {sql.terms('text')} AS terms FROM benchmark), {sql.bm25(5)}
 SELECT CAST(split_part(query_id, ':', 1) AS BIGINT) AS conv_id, item_id, max(score) AS score, count(*) AS found_by FROM lexical GROUP BY ALL""",
     "multi_query_chunks": f"""WITH asked AS (SELECT conv_id || ':' || turn AS query_id, {sql.terms('text')} AS terms FROM conversations WHERE role = 'user'),

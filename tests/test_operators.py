@@ -98,9 +98,17 @@ def test_near_pairs_by_brute_force(spark):
     base = [f"w{i}" for i in range(60)]
     docs = [(1, base), (2, base), (3, base[:59] + ["x"]), (4, base[30:]), (5, ["a"]), (6, []), (7, ["a"])]
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in docs if w}
-    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
-    got = dedupe.near_pairs(spark.createDataFrame(docs, "doc_id long, w array<string>"), 5, 0.8).collect()
-    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    least = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {(i, j) for i in set(least.values()) for j in set(least.values()) if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    want |= {(j, i) for i, j in least.items() if i != j}
+    got = dedupe.near_pairs(spark.createDataFrame(docs + [(8, base), (None, base)], "doc_id long, w array<string>"), 5, 0.8).collect()
+    assert {(r.a, r.b) for r in got} == want | {(1, 8)} and len(got) == len(want) + 1
+
+
+def test_near_pairs_of_many_copies_are_as_many_as_the_copies(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.split(F.lit("one two three four five six seven"), " ").alias("w"))
+    got = dedupe.near_pairs(docs, 5, 0.8).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("b").alias("b"), F.max("a").alias("a")).first()
+    assert (got.n, got.b, got.a) == (2999, 2999, 0)
 
 
 def test_top_k_ties_go_to_the_smaller_item(spark):
@@ -125,6 +133,23 @@ def test_multi_query_takes_late_words_of_a_turn_and_finds_chunks(spark, tmp_path
     assert got == {(1, "1:1"): 2, (1, "3:0"): 1}
 
 
+def test_multi_query_union_takes_all_terms_of_a_turn(spark, tmp_path):
+    turns = [(1, 0, "user", " ".join(f"w{i}" for i in range(40)) + " needle"), (1, 1, "assistant", "haystack")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "a needle"), (8, "haystack")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.conv_id, r.item_id, r.found_by) for r in retrieval_queries.multi_query_union(spark, str(tmp_path)).collect()]
+    assert got == [(1, 7, 1)]
+
+
+def test_second_batch_has_every_document_whole(spark, tmp_path):
+    docs = [(1, "odd one stays"), (2, " ".join(f"word{j} of" for j in range(600))), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda query: sorted((r.chunk_id, r.batch) for r in query(spark, str(tmp_path)).collect())
+    assert run(ingest_queries.chunk_replace_by_doc) == [("1:0", "second"), ("2:0", "second"), ("2:1", "second")]
+    assert run(ingest_queries.chunk_upsert_latest) == [("1:0", "second"), ("2:0", "second"), ("2:1", "second"), ("2:2", "first")]
+    assert {r.chunk_id for r in ingest_queries.incremental_new_chunks(spark, str(tmp_path)).collect()} == {"2:0", "2:1"}
+
+
 def test_revised_batch_has_odd_documents_and_last_chunks(spark, tmp_path):
     docs = [(i, " ".join(f"d{i}w{j}" for j in range(n))) for i, n in ((1, 1000), (2, 1000), (3, 1000), (4, 1), (5, 1))]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
