@@ -1,5 +1,6 @@
 """Boundaries and edge rows of the retrieval and evaluation operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,21 @@ def test_top_k_ties_go_to_the_smaller_item(spark):
         search.top_k(rows, 0)
 
 
+@pytest.mark.parametrize("edge", [0.0, observe.EDGE, 0.6])
+def test_percentiles_of_hot_tied_null_and_single_groups(spark, monkeypatch, edge):
+    monkeypatch.setattr(observe, "EDGE", edge)
+    rng = np.random.default_rng(3)
+    values = {"hot": [float(x) for x in rng.lognormal(0, 3, 4000)], "tied": [1.0] * 700 + [2.0] * 300, "one": [5.0], None: [1.0, 4.0], "none": []}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("hot", None), ("none", None)]
+    got = {r.kind: r for r in observe.latency(spark.createDataFrame(rows, "kind string, value double"), ["kind"]).collect()}
+    assert len(got) == len(values) and got["none"].n == 1 and got["none"].p50 is None and got["none"].mean is None
+    for kind, vs in values.items():
+        if vs:
+            assert (got[kind].p50, got[kind].p95, got[kind].mean) == pytest.approx((*np.percentile(vs, [50, 95]), np.mean(vs)))
+    assert got["hot"].n == 4001
+    assert observe.latency(spark.createDataFrame([], "kind string, value double"), ["kind"]).isEmpty()
+
+
 def test_limits_count_the_window_up_to_the_event(spark):
     events = spark.createDataFrame([(1, 0), (1, 5), (1, 9), (1, 30), (2, 0)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
     assert [r.recent for r in observe.over_limit(events, 10, 2).collect()] == [3]
