@@ -127,3 +127,15 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(min(size, len(words))):
         total = mix64(total + _ODD) + words[k : k + n] * np.uint64(2 * k + 3)
     return np.unique(mix64(total))
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes, which DuckDB has no function for."""
+    entries = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        entries.append(value)
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    step = f"xor(c >> 8, [{', '.join(map(str, entries))}][xor(c & 255, b) + 1])"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"

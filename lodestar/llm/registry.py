@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestar.llm import op1_jaccard, op10_toxicity, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op7_repeats, op8_language, op9_lines
+from lodestar.llm import op1_jaccard, op10_toxicity, op11_sharding, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op7_repeats, op8_language, op9_lines
 
 
 def queries() -> dict:
@@ -18,9 +18,14 @@ def queries() -> dict:
         "op8_language_id": op8_language.op8_language_id,
         "op9_line_dedup": op9_lines.op9_line_dedup,
         "op10_toxicity": op10_toxicity.op10_toxicity,
+        "op11_sharding": op11_sharding.op11_sharding,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_mix_sources": op3_mixing.mix_sql(), "op9_line_dedup": op9_lines.line_sql()}
+    return {
+        "op3_mix_sources": op3_mixing.mix_sql(),
+        "op9_line_dedup": op9_lines.line_sql(),
+        "op11_sharding": op11_sharding.shard_sql(),
+    }
