@@ -104,6 +104,11 @@ def fingerprints(sums: np.ndarray, length: int) -> np.ndarray:
     return mix64((sums[length:] - sums[:n]) * _inverse[:n] + salt)
 
 
+def span_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, from the running sums of their buffer."""
+    return mix64((sums[stop] - sums[start]) * _inverse[start] + (stop - start).astype(np.uint64))
+
+
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each maximal run of bytes outside ASCII white space, in order."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -114,8 +119,7 @@ def word_hashes(text: str) -> np.ndarray:
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.zeros(0, np.uint64)
-    sums = prefix_sums(raw)
-    return mix64((sums[stop] - sums[start]) * _inverse[start] + (stop - start).astype(np.uint64))
+    return span_hashes(prefix_sums(raw), start, stop)
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestar.llm import op1_jaccard, op10_toxicity, op11_sharding, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op7_repeats, op8_language, op9_lines
+from lodestar.llm import op1_jaccard, op10_toxicity, op11_sharding, op12_phrases, op13_spelling, op2_quality, op3_mixing, op4_bpe, op5_urls, op6_ann, op7_repeats, op8_language, op9_lines
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op9_line_dedup": op9_lines.op9_line_dedup,
         "op10_toxicity": op10_toxicity.op10_toxicity,
         "op11_sharding": op11_sharding.op11_sharding,
+        "op12_phrases": op12_phrases.op12_phrases,
+        "op13_spelling": op13_spelling.op13_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict:
         "op3_mix_sources": op3_mixing.mix_sql(),
         "op9_line_dedup": op9_lines.line_sql(),
         "op11_sharding": op11_sharding.shard_sql(),
+        "op12_phrases": op12_phrases.phrase_sql(),
+        "op13_spelling": op13_spelling.spelling_sql(),
     }
