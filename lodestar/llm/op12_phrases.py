@@ -5,8 +5,8 @@ hashes of all words and of all phrases of up to ``longest`` words in a row to co
 stop at ``least``; they are added up cell by cell, and what is left of them is one bit a cell: whether it reached
 ``least``. A cell counts all that falls into it, so a phrase of ``least`` occurrences or more has all its bits set and none
 is lost. Second pass: occurrences whose bits are set, and those of the parts of the phrase too, are counted exactly, by their
-words, and what counts less than ``least`` goes. Sketches are as wide as the table has words, up to CELLS, so that at most
-3 * DEPTH * CELLS bits are broadcast; on larger tables fewer phrases are sieved out, and the counts are exact as ever.
+words, and what counts less than ``least`` goes. Sketches are about as wide as the table has words, up to CELLS, and a quarter of
+that for single words, so that at most 3 * DEPTH * CELLS bits are broadcast; on larger tables fewer phrases are sieved out, and the counts are exact as ever.
 
 A phrase's score is 1000000 a a / (l r), floored, at the cut into a first and a second part where it is lowest (then the
 shortest first part), in decimals that hold it exactly up to counts of 10^12. A phrase goes where a longer one that contains
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from lodestar.llm.common import mix64, prefix_sums, span_hashes, stage, table
 
 LONGEST, LEAST, SUBSUME, TOP = 3, 10, 50, 2000
-DEPTH, CELLS, BLOCK, TASK_BYTES = 2, 1 << 25, 1 << 22, 4 << 30
+DEPTH, CELLS, BLOCK, TASK_BYTES = 2, 1 << 24, 1 << 21, 4 << 30
 _PART = 1 << 16  # cells of a sketch that travel as one row
 _ROUNDS = (256, 16, 1)  # hash groups of the rounds that pick the best
 
@@ -96,22 +96,27 @@ def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((hashes >> np.uint64(32 * row)) & np.uint64(width - 1)).astype(np.uint32)
 
 
+def _widths(width: int, longest: int) -> list[int]:
+    """Cells of each row of the sketches of 1, 2, ... words; there are fewer different words than phrases."""
+    return [max(8, width // 4)] * DEPTH + [width] * DEPTH * (longest - 1)
+
+
 def sketches(docs: DataFrame, width: int, longest: int, least: int) -> dict[int, bytes]:
     """Bits of all cells that reach ``least`` by part, from (lang, text) with text as bytes; parts without any are left out."""
     kind = np.uint8 if least < 256 else np.uint32
-    parts = -(-width // _PART)
+    widths, parts = _widths(width, longest), -(-width // _PART)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((longest * DEPTH, width), kind)
+        counts = [np.zeros(w, kind) for w in widths]
         for _, block in _blocks(batches, longest):
             for n, hashes in enumerate(block.hashes(longest)):
                 hashes = hashes[block.whole[n]]
                 for row in range(DEPTH):
-                    cells, times = np.unique(_cells(hashes, row, width), return_counts=True)
                     line = counts[n * DEPTH + row]
+                    cells, times = np.unique(_cells(hashes, row, len(line)), return_counts=True)
                     line[cells] = np.minimum(line[cells].astype(np.int64) + times, least)
         for r, line in enumerate(counts):
-            for p in range(parts):
+            for p in range(-(-len(line) // _PART)):
                 piece = line[p * _PART : (p + 1) * _PART]
                 if piece.any():
                     data = zlib.compress(piece.tobytes(), 1)
@@ -154,12 +159,12 @@ def _strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 def exact_counts(docs: DataFrame, bits: dict[int, bytes], width: int, longest: int, least: int) -> DataFrame:
     """lang, words, phrase, f: of all phrases of ``least`` or more; words 0 is the language's number of words."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    parts = -(-width // _PART)
-    none = bytes(min(width, _PART) // 8)
+    widths, parts = _widths(width, longest), -(-width // _PART)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = [
-            np.frombuffer(b"".join(shared.value.get(r * parts + p, none) for p in range(parts)), np.uint8) for r in range(longest * DEPTH)
+            np.frombuffer(b"".join(shared.value.get(r * parts + p, bytes(min(w, _PART) // 8)) for p in range(-(-w // _PART))), np.uint8)
+            for r, w in enumerate(widths)
         ]
 
         def rows(lang: str, words: int, phrases: pa.Array, f: np.ndarray) -> pa.RecordBatch:
@@ -176,7 +181,7 @@ def exact_counts(docs: DataFrame, bits: dict[int, bytes], width: int, longest: i
             for n, (one, two) in enumerate(zip(block.hashes(longest), block.hashes(longest, other=True))):
                 ok = block.whole[n].copy()
                 for row in range(DEPTH):
-                    cells = _cells(one, row, width)
+                    cells = _cells(one, row, widths[n * DEPTH + row])
                     ok &= (sieve[n * DEPTH + row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
                 if n:
                     ok &= alive[:-1] & alive[1:]
