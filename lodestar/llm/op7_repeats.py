@@ -4,7 +4,8 @@ Blockwise suffix sorting: suffixes are dealt into buckets, one bucket is sorted
 ranks of a difference-cover sample. Only suffixes that can be repeated are dealt at all, and an order to LENGTH bytes
 is enough, so suffixes are windows of LENGTH bytes.
 
-1. Texts are told apart by digest. A text that occurs twice is removed whole; one copy stands for all.
+1. Texts are told apart by digest, 128 bits wide, in every table and join. A text that occurs twice is removed whole; one
+   copy stands for all.
 2. The least hashed GRAM-byte gram of a window marks it: equal windows have equal marks, so the mark names a window's
    bucket. A mark found once can mark no repeated window; that rules out most of the corpus.
 3. Stretches of windows with one recurring mark travel to its bucket as text, about two bytes a window. A bucket is closed:
@@ -73,8 +74,8 @@ def distinct_and_again(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _KNOWN = np.uint32(0xFFFFFFFF)
 
 
-def pack(owners: list[int], values: list[np.ndarray], again: list[np.ndarray], buckets: int) -> pd.DataFrame:
-    """One row per bucket with all (value, owner) of a group of texts.
+def pack(owners: list[bytes], values: list[np.ndarray], again: list[np.ndarray], buckets: int) -> pd.DataFrame:
+    """One row per bucket with all (value, owner) of a group of texts; owners are 16 bytes.
 
     A value that several of them have goes once, without an owner, and its owners get a row that says it recurs; such
     rows have no index and only pass through a bucket.
@@ -88,10 +89,10 @@ def pack(owners: list[int], values: list[np.ndarray], again: list[np.ndarray], b
     count = np.diff(np.append(first, len(flat)))
     many = np.repeat(count > 1, count)
     rows = []
-    keys = np.array(owners, np.int64)
+    keys = np.frombuffer(b"".join(owners), np.int64).reshape(-1, 2)
     real = many & (own != _KNOWN)
     if real.any():
-        rows.extend((k % buckets, k, v, b"", b"", b"") for k, v in by_owner(keys[own[real]], flat[real]))
+        rows.extend((int.from_bytes(k[:7]) % buckets, k, v, b"", b"", b"") for k, v in by_owner(keys[own[real]], flat[real]))
     send = np.concatenate([flat[first[count == 1]], flat[first[count > 1]]])
     who = np.concatenate([own[first[count == 1]], np.full((count > 1).sum(), _KNOWN)])
     times = np.concatenate([count[count == 1], count[count > 1]]).astype(np.uint32)
@@ -104,15 +105,15 @@ def pack(owners: list[int], values: list[np.ndarray], again: list[np.ndarray], b
             used, local = np.unique(who[part][named], return_inverse=True)
             index = np.full(len(part), _KNOWN)
             index[named] = local.astype(np.uint32)
-            rows.append((int(bucket[part[0]]), 0, send[part].tobytes(), index.tobytes(), keys[used].tobytes(), times[part].tobytes()))
+            rows.append((int(bucket[part[0]]), b"", send[part].tobytes(), index.tobytes(), keys[used].tobytes(), times[part].tobytes()))
     return pd.DataFrame(rows, columns=["bucket", "owner", "values", "index", "owners", "times"])
 
 
-def by_owner(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.argsort(keys, kind="stable")
+def by_owner(keys: np.ndarray, values: np.ndarray) -> list[tuple[bytes, bytes]]:
+    order = order_of(keys)
     keys, values = keys[order], values[order]
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    return [(int(k[0]), v.tobytes()) for k, v in zip(np.split(keys, cut), np.split(values, cut)) if len(k)]
+    cut = starts_of(keys)[1:]
+    return [(k[0].tobytes(), v.tobytes()) for k, v in zip(np.split(keys, cut), np.split(values, cut)) if len(k)]
 
 
 def recurring(rows: DataFrame, values_of, buckets: int, hot: int, width: int = 1) -> DataFrame:
@@ -120,24 +121,23 @@ def recurring(rows: DataFrame, values_of, buckets: int, hot: int, width: int = 1
 
     ``values_of(row)`` gives the distinct values, sorted, and those of them that the text itself has twice, each as
     often as it counts beyond once; a value is ``width`` numbers.
-    ``rows`` has ``owner`` (long), ``text`` and what else values_of needs; a text that comes twice counts once. Rows with
-    hot true have no owner and list values of more than ``hot`` occurrences.
+    ``rows`` has ``owner`` (the text's digest, 16 bytes), ``text`` and what else values_of needs; a text that comes twice counts
+    once. Rows with hot true have no owner and list values of more than ``hot`` occurrences.
     """
-    schema = "bucket long, owner long, values binary, index binary, owners binary, times binary"
+    schema = "bucket long, owner binary, values binary, index binary, owners binary, times binary"
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met, owners, values, again, size = set(), [], [], [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                # Texts of equal owner that differ are both dealt: each then gets the other's values too, which it ignores.
-                key = (row.owner, len(row.text), hash(row.text))
+                key = bytes(row.owner)
                 if key in met:
                     continue
                 one, two = values_of(row)
                 if not len(one):
                     continue
                 met.add(key)
-                owners.append(row.owner)
+                owners.append(key)
                 values.append(one)
                 again.append(two)
                 size += len(one)
@@ -156,26 +156,26 @@ def recurring(rows: DataFrame, values_of, buckets: int, hot: int, width: int = 1
             times = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["times"]])
             owner, known = [], []
             for raw, own in zip(pdf["index"], pdf["owners"]):
-                at, keys = np.frombuffer(raw, np.uint32), np.frombuffer(own, np.int64)
+                at, keys = np.frombuffer(raw, np.uint32), np.frombuffer(own, np.int64).reshape(-1, 2)
                 flag = at == _KNOWN
                 known.append(flag)
-                owner.append(np.append(keys, 0)[np.where(flag, len(keys), at)])
+                owner.append(np.concatenate([keys, np.zeros((1, 2), np.int64)])[np.where(flag, len(keys), at)])
             owner, known = np.concatenate(owner), np.concatenate(known)
             order = order_of(value)
             value, owner, known = value[order], owner[order], known[order]
             first = starts_of(value)
             count = np.diff(np.append(first, len(value)))
-            differ = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+            differ = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)).any(1)
             keep = np.repeat((differ | np.logical_or.reduceat(known, first)) & (count > 1), count) & ~known
             if keep.any():
                 out.extend((o, v, False) for o, v in by_owner(owner[keep], value[keep]))
             often = value[first][np.add.reduceat(times[order].astype(np.int64), first) > hot]
             if len(often):
-                out.append((0, often.tobytes(), True))
+                out.append((b"", often.tobytes(), True))
         return pd.DataFrame(out, columns=["owner", "values", "hot"])
 
     dealt = rows.mapInPandas(deal, schema)
-    return dealt.groupBy("bucket").applyInPandas(find, "owner long, values binary, hot boolean")
+    return dealt.groupBy("bucket").applyInPandas(find, "owner binary, values binary, hot boolean")
 
 
 def hot_by_owner(found: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def hot_by_owner(found: DataFrame) -> DataFrame:
             if parts:
                 yield pd.DataFrame({"owner": np.repeat(batch["owner"].to_numpy(), [len(p) for p in parts]), "mark": np.concatenate(parts)})
 
-    listed = lambda rows: rows.select("owner", "values").mapInPandas(unpack, "owner long, mark long")
+    listed = lambda rows: rows.select("owner", "values").mapInPandas(unpack, "owner binary, mark long")
     pairs = listed(found.where("not hot")).join(listed(found.where("hot")).select("mark"), "mark")
     return pairs.groupBy("owner").agg(F.collect_list("mark").alias("hot_marks"))
 
@@ -350,14 +350,14 @@ def cut_repeats(
     raw = F.encode(text, "UTF-8")
     base = stage(
         docs.select(
-            F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.md5(raw).alias("digest"),
-            F.xxhash64(text).alias("owner"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"),
+            F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.unhex(F.md5(raw)).alias("owner"),
+            F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"),
         ),
         "texts",
     )
     bytes_in = base.agg(F.sum("n_bytes")).first()[0] or 0
-    reps = base.where(F.col("n_bytes") >= length).groupBy("digest").agg(
-        F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies"), F.first("owner").alias("owner")
+    reps = base.where(F.col("n_bytes") >= length).groupBy("owner").agg(
+        F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies")
     )
     source = docs.select(row_key(id_col, text_col).alias("row_key"), text.alias("text")).where(F.octet_length("text") >= length)
 
@@ -367,7 +367,7 @@ def cut_repeats(
     n_marks = bytes_in * 2 // (length - gram + 2)
     marked = stage(
         recurring(
-            docs.select(F.xxhash64(text).alias("owner"), text.alias("text")).where(F.octet_length("text") >= length),
+            docs.select(F.unhex(F.md5(raw)).alias("owner"), text.alias("text")).where(F.octet_length("text") >= length),
             marks, max(8, n_marks // BUCKET), hot,
         ),
         "marks",
@@ -378,8 +378,8 @@ def cut_repeats(
         listed = listed.join(hot_by_owner(marked), "owner", "left")
     else:
         listed = listed.withColumn("hot_marks", F.lit(None).cast("array<long>"))
-    listed = reps.join(listed, "owner").select("row_key", "owner", "digest", "marks", "hot_marks")
-    held = stage(source.join(listed, "row_key").select("owner", "digest", "text", "marks", "hot_marks"), "marked-texts", done=[marked])
+    listed = reps.join(listed, "owner").select("row_key", "owner", "marks", "hot_marks")
+    held = stage(source.join(listed, "row_key").select("owner", "text", "marks", "hot_marks"), "marked-texts", done=[marked])
 
     def hot_ones(m: np.ndarray, hot_marks) -> np.ndarray:
         return np.zeros(len(m), bool) if hot_marks is None else members(m, [np.asarray(hot_marks, np.int64).tobytes()])
@@ -424,8 +424,8 @@ def cut_repeats(
             row, offset, count = equal_windows(part["mark"].to_numpy(), part["span"].tolist(), length)
             yield pd.DataFrame({"owner": part["owner"].to_numpy()[row], "start": part["start"].to_numpy()[row] + offset, "n": count})
 
-    dealt = held.select("owner", "text", "marks", "hot_marks").mapInPandas(spans, "mark long, owner long, start long, span binary")
-    found = dealt.repartition("mark").sortWithinPartitions("mark").mapInPandas(match, "owner long, start long, n long")
+    dealt = held.select("owner", "text", "marks", "hot_marks").mapInPandas(spans, "mark long, owner binary, start long, span binary")
+    found = dealt.repartition("mark").sortWithinPartitions("mark").mapInPandas(match, "owner binary, start long, n long")
     result = found.groupBy("owner").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
     result = result.withColumn("values", F.lit(None).cast("array<binary>"))
 
@@ -463,17 +463,17 @@ def cut_repeats(
                 kept = data[~gone].tobytes()
                 rows.append((int(gone.sum()), spans_gone, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             out = pd.DataFrame(rows, columns=["removed", "spans", "kept_digest", "kept"])
-            out.insert(0, "cut", batch["digest"])
+            out.insert(0, "cut", batch["owner"])
             yield out
 
     result = stage(
-        held.join(result, "owner").select("digest", "text", "starts", "ns", "values")
-        .mapInPandas(cut, "cut string, removed long, spans long, kept_digest string, kept binary"),
+        held.join(result, "owner").select("owner", "text", "starts", "ns", "values")
+        .mapInPandas(cut, "cut binary, removed long, spans long, kept_digest string, kept binary"),
         "cut-texts",
     )
-    twice = reps.where("copies > 1").select(F.col("digest").alias("twice"))
-    out = base.join(twice, F.col("digest") == F.col("twice"), "left").join(
-        result.dropDuplicates(["cut"]), F.col("digest") == F.col("cut"), "left"
+    twice = reps.where("copies > 1").select(F.col("owner").alias("twice"))
+    out = base.join(twice, F.col("owner") == F.col("twice"), "left").join(
+        result.dropDuplicates(["cut"]), F.col("owner") == F.col("cut"), "left"
     )
     pick = lambda all_of_it, part, none: F.when(F.col("twice").isNotNull(), all_of_it).otherwise(F.coalesce(part, none))
     kept = [] if not with_text else [pick(F.encode(F.lit(""), "UTF-8"), F.col("kept"), F.lit(None).cast("binary")).alias("kept")]
