@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fit, on a sample in hash order: the sample's neighbour graph, a balanced partitioning of it (median splits, refined by
+Fit, on a sample of distinct vectors in hash order: the sample's neighbour graph, a balanced partitioning of it (median splits, refined by
 moving vectors to the part that holds most of their neighbours while parts stay within SLACK of equal size), and a
 small classifier (one hidden layer, numpy) that predicts the part of a vector's neighbours. The number of probes is
 the least that reaches TARGET recall on sample vectors left out of the fit. Parts grow with the table, one for PART
-vectors up to MOST_PARTS, and the sample with them, PER_PART for each and SAMPLE at least: 32,768 vectors at most.
+distinct vectors up to MOST_PARTS, and the sample with them, PER_PART for each and SAMPLE at least: 32,768 vectors at most.
 
 Search: equal vectors are one candidate, which lists its k + 1 least ids, so a very common vector costs no more than
 another. A candidate is indexed under its most probable part. A query vector goes to its most probable parts, the number
@@ -212,8 +212,11 @@ def search(
 
     numbered = usable(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id())
     rows = stage(numbered.mapInPandas(packed, "id long, row long, same binary, v binary"), "vectors")
-    parts = parts_for(rows.count(), per_part)
-    picked = rows.orderBy(F.xxhash64("same"), "same").limit(max(SAMPLE, PER_PART * parts)).select("v").toPandas()
+    names = stage(rows.select("same").distinct(), "vector-names")
+    parts = parts_for(names.count(), per_part)
+    # A vector of very many copies is one row of the sample, as it is one candidate.
+    first = names.orderBy(F.xxhash64("same"), "same").limit(max(SAMPLE, PER_PART * parts))
+    picked = rows.join(F.broadcast(first), "same").groupBy("same").agg(F.min("v").alias("v")).orderBy(F.xxhash64("same"), "same").select("v").toPandas()
     if picked.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router, probes = fit(_unpacked(picked["v"]), parts, k=k)
