@@ -6,12 +6,13 @@ go through a forward and a backward gated recurrent unit; attention pools the st
 scores the window. A document's score is that of its worst window.
 
 Training takes at most SAMPLE toxic documents and CLEAN_PER_TOXIC times as many clean ones, in hash order: a bounded,
-documented sample of labelled rows, of TEXT_BYTES of text at most. A toxic document teaches by its worst window, found anew each round, a clean one by its worst
+documented sample of labelled rows. Texts of more than ONE_TEXT bytes are not learned from, nor those that no longer fit
+into TEXT_BYTES; the others are, whatever comes before them. If labelled texts exist and none fits, that is an error. A toxic document teaches by its worst window, found anew each round, a clean one by its worst
 and some others; in the first rounds, by the window with the word that toxic documents have most in excess, and by random
 ones. A word's vector starts from that excess too, where it is beyond chance.
 
 Texts are lower-cased; words are runs of letters, digits and underscores. Null, empty and wordless texts
-score 0; very long ones are scored whole, in groups of bounded size. Other columns are ignored, whatever their names. With labels of one kind only, every score is 0. Null ids are not learned from and not held out. Repeated
+score 0; very long ones are scored whole, in groups of bounded size. Rows that repeat id and text are learned from once. Other columns are ignored, whatever their names. With labels of one kind only, every score is 0. Null ids are not learned from and not held out. Repeated
 rows score alike. An empty table gives no rows.
 """
 
@@ -26,14 +27,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestar.llm.common import table
+from lodestar.llm.common import stage, table
 
 WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS = 32, 16, 8, 12, 12, 1 << 14
 SAMPLE, CLEAN_PER_TOXIC, MIN_COUNT, ROUNDS, WARM_SHARE, MIN_STEPS, MAX_ROUNDS = 1200, 4, 3, 12, 0.3, 600, 60
 RATE, DECAY, CLEAR = 0.01, 0.1, 4.0
-TEXT_BYTES = 128 << 20
+TEXT_BYTES, ONE_TEXT = 128 << 20, 1 << 20
 #: Words scored together; bounds a worker's memory.
 TOGETHER = 200_000
 _word = re.compile(r"\w+")
@@ -262,7 +262,17 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def fitting(sizes: list[int], room: int) -> list[int]:
+    """Places of the sizes that fit into ``room`` one after another; what does not is passed over."""
+    out = []
+    for i, size in enumerate(sizes):
+        if size <= room:
+            out.append(i)
+            room -= size
+    return out
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_bytes: int | None = None, one_text: int | None = None) -> DataFrame:
     """(text, toxic) of at most ``sample`` toxic learnable documents and CLEAN_PER_TOXIC times as many clean ones."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("known_id"), "toxic").groupBy("known_id").agg(F.max("toxic").alias("toxic"))
@@ -270,11 +280,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(
         known.where("toxic = 0").orderBy(*order).limit(CLEAN_PER_TOXIC * sample)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("known_id"))
-    # At most the sample's rows go through this window.
-    run = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = rows.where("text is not null").withColumn("upto", F.sum(F.octet_length("text")).over(run)).where(F.col("upto") <= TEXT_BYTES)
-    return fits.orderBy("toxic", "doc_id", "text").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("known_id")).where("text is not null")
+    short = rows.where(F.octet_length("text") <= (one_text or ONE_TEXT)).select("known_id", "toxic", "text", F.sha2("text", 256).alias("digest"))
+    order += [F.col("digest")]
+    once = short.groupBy("known_id", "digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    # As many rows as the sample has ids, at most; each with its size through the driver.
+    once = stage(once.orderBy(*order).limit((1 + CLEAN_PER_TOXIC) * sample), "toxicity-training")
+    sizes = once.select("known_id", "digest", F.octet_length("text").alias("size")).orderBy(*order).collect()
+    fits = fitting([r["size"] for r in sizes], text_bytes or TEXT_BYTES)
+    if not fits and not rows.isEmpty():
+        raise ValueError("no labelled text is within the bounds of one_text and text_bytes")
+    kind = dict(once.dtypes)["known_id"]
+    listed = docs.sparkSession.createDataFrame([tuple(sizes[i])[:2] for i in fits], f"known_id {kind}, digest string")
+    return once.join(F.broadcast(listed), ["known_id", "digest"]).orderBy("toxic", "known_id", "text").select("text", "toxic")
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
