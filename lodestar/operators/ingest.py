@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +92,79 @@ def chunk_sentences(docs: DataFrame, key: str = "doc_id", body: str = "text", bu
     return placed.groupBy(key, "chunk_no").agg(F.sum("n").cast("int").alias("tokens"), F.array_join(ordered, " ").alias("chunk_text"))
 
 
+def likeness(before: list[set], after: list[set]) -> int:
+    """Share, in millionths, of the smaller side's terms that the other side has too."""
+    a, b = set().union(*before), set().union(*after)
+    least = min(len(a), len(b))
+    return 1_000_000 * len(a & b) // least if least else 0
+
+
+def topic_starts(sizes: list[int], likes: list[int], least: int, most: int) -> list[int]:
+    """First sentences of the best segmentation, by dynamic programming over the last cut.
+
+    ``likes[i]`` is the likeness across the gap before sentence i. No segment has more than ``most`` words, but for a sentence that
+    has by itself; as few as can be have less than ``least``, but for the last; of what is left, the sum of likeness over the
+    cuts is the least, then the number of cuts.
+    """
+    ends = [0]
+    for n in sizes:
+        ends.append(ends[-1] + n)
+    best: list[tuple] = [(0, 0, 0)]
+    came = [0]
+    for j in range(1, len(sizes) + 1):
+        found = None
+        for i in range(j - 1, -1, -1):
+            words = ends[j] - ends[i]
+            if words > most and i < j - 1:
+                break
+            short, cost, cuts = best[i]
+            told = (short + (words < least and j < len(sizes)), cost + (likes[i] if i else 0), cuts + (i > 0))
+            if found is None or told <= found:
+                found, at = told, i
+        best.append(found)
+        came.append(at)
+    starts, j = [], len(sizes)
+    while j:
+        starts.append(came[j])
+        j = came[j]
+    return starts[::-1]
+
+
+def chunk_topics(docs: DataFrame, key: str = "doc_id", body: str = "text", least: int = 400, most: int = 800, overlap: int = 80, beside: int = 3) -> DataFrame:
+    """(key, chunk_no, first_sentence, tokens, overlap, chunk_text): whole sentences, cut where the topic changes most.
+
+    The likeness of a gap is that of the terms of ``beside`` sentences on either side of it; cuts are those of ``topic_starts``. A chunk begins with up
+    to ``overlap`` words from before its first sentence, which ``tokens`` does not count. Documents without words have no chunk.
+    """
+    kind = dict(docs.dtypes)[key]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, sizes, terms in zip(batch["key"], batch["sizes"], batch["terms"]):
+                sets = [set(t) for t in terms]
+                likes = [likeness(sets[max(0, i - beside) : i], sets[i : i + beside]) for i in range(len(sets))]
+                rows += [(name, number, start) for number, start in enumerate(topic_starts(list(sizes), likes, least, most))]
+            yield pd.DataFrame(rows, columns=[key, "chunk_no", "start"])
+
+    words = F.filter(F.transform(text.sentences(F.col(body)), lambda s: text.words(s)), lambda w: F.size(w) > 0)
+    rows = docs.select(F.col(key), words.alias("sentences")).where(F.size("sentences") > 0)
+    ready = rows.select(
+        F.col(key).alias("key"), F.transform("sentences", lambda w: F.size(w)).alias("sizes"), F.transform("sentences", lambda w: text.terms(F.array_join(w, " "))).alias("terms")
+    )
+    # One row for each document goes through Python, and comes back as sentence numbers.
+    starts = ready.mapInPandas(cut, f"`{key}` {kind}, chunk_no int, start int")
+    order = F.array_sort(F.collect_list(F.struct("chunk_no", "start")))
+    made = starts.groupBy(key).agg(F.transform(order, lambda x: x["start"]).alias("starts"))
+    joined = rows.groupBy(key).agg(F.first("sentences").alias("sentences")).join(made, key).select(key, "sentences", "starts", F.posexplode("starts").alias("chunk_no", "first_sentence"))
+    to = F.coalesce(F.get("starts", F.col("chunk_no") + 1), F.size("sentences"))
+    own = F.flatten(F.slice("sentences", F.col("first_sentence") + 1, to - F.col("first_sentence")))
+    ahead = F.flatten(F.slice("sentences", F.lit(1), F.col("first_sentence")))
+    from_ = F.greatest(F.size(ahead) - F.lit(overlap), F.lit(0))
+    head = F.slice(ahead, from_ + 1, F.lit(max(overlap, 1))) if overlap else F.array().cast("array<string>")
+    return joined.select(key, "chunk_no", "first_sentence", F.size(own).alias("tokens"), F.size(head).alias("overlap"), F.array_join(F.concat(head, own), " ").alias("chunk_text"))
+
+
 def points(chunks: DataFrame, key: Column) -> DataFrame:
     """Chunks with their chunk_id and 60-bit point_id."""
     return chunks.withColumn("chunk_id", ids.chunk_id(key, F.col("chunk_no"))).withColumn("point_id", ids.point_id(F.col("chunk_id")))

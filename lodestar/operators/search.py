@@ -13,7 +13,10 @@ from pyspark.sql.window import Window
 from lodestar.session import staged
 
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 50
-ROWS, ASKED, BROADCAST = 4096, 256, 64 << 20
+ROWS, ASKED, BROADCAST, LANES = 4096, 256, 64 << 20, 64
+#: Of the pruned search: postings of a block, terms of a group of queries, share of a k-th score that terms left aside may hold together,
+#: and what rounding to six places may add.
+BLOCK, GROUP, ASIDE, SLACK = 100_000, 1_000_000, 0.5, 1e-5
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "item_id") -> DataFrame:
@@ -54,8 +57,9 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: i
 def dense(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None, own: bool = True, metric: str = "cosine") -> DataFrame:
     """(query_id, v) against (item_id, v), exact: cosine, or inner product by ``metric="dot"``.
 
-    The packed queries go to every task if they take BROADCAST bytes at most, and the corpus stays where it is. A larger set
-    of queries is dealt in blocks, and each block of the corpus meets each of them. A batch returns at most k rows per query; with
+    The packed queries go to every task if they take BROADCAST bytes at most, and the corpus stays where it is. Of a larger set
+    both sides are dealt over a grid of lanes: a lane has a part of the corpus and meets every block of queries, so no key holds
+    all rows, and the corpus moves once. A batch returns at most k rows per query; with
     ``own``, a query may find its own id. Null vectors take no part; only vectors of one length meet.
     """
     if metric not in ("cosine", "dot"):
@@ -88,25 +92,27 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None
                             yield _best(q_ids, matrix(raw, d), ids, c, k, min_score, own)
 
         return top_k(held.mapInPandas(score, schema), k)
-    numbered = asked.withColumn("q_block", F.monotonically_increasing_id()).withColumnsRenamed({"ids": "q_ids", "m": "q_m"})
+    lanes = max(LANES, spark.sparkContext.defaultParallelism)
+    every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    numbered = asked.select("d", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), every)
+    dealt = held.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 yield _best(np.array(row.q_ids), matrix(row.q_m, row.d), np.array(row.ids), matrix(row.m, row.d), k, min_score, own)
 
-    return top_k(held.join(numbered, "d").mapInPandas(meet, schema), k)
+    return top_k(dealt.join(numbered, ["d", "lane"]).mapInPandas(meet, schema), k)
 
 
-def bm25(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, terms) against (item_id, terms) -> query_id, item_id, score of all pairs that share a term.
+def postings(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(term, item_id, w) of every term that is asked and every item that has it; w is its BM25 weight there.
 
-    Postings are cut to the terms asked before they are counted, and staged, so texts are cut into terms once; the
-    equi-join on the term follows.
+    Postings are cut to the terms asked before they are counted, and staged, so texts are cut into terms once.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = queries.select(F.explode(F.array_distinct("terms")).alias("term"))
     # No term is empty, so the empty one stands for the item itself: one pass gives postings, items and lengths.
-    wanted = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    wanted = asked.unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
     every = F.explode(F.concat(F.array(F.lit("")), F.coalesce("terms", F.array().cast("array<string>")))).alias("term")
     tf = staged(
         items.select("item_id", F.coalesce(F.size("terms"), F.lit(0)).alias("length"), every)
@@ -122,8 +128,129 @@ def bm25(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) ->
     idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     size = F.lit(1.0 - b) + F.lit(b) * F.col("length") / F.lit(avg)
     weight = idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * size)
-    weighted = tf.join(df, "term").select("term", "item_id", weight.alias("w"))
-    return asked.join(weighted, "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
+    return tf.join(df, "term").select("term", "item_id", weight.alias("w"))
+
+
+def bm25(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, terms) against (item_id, terms) -> query_id, item_id, score of all pairs that share a term."""
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    return asked.join(postings(queries, items, k1, b), "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
+
+
+class BestOf:
+    """The k best items of each query over blocks of items that come one after another.
+
+    A block has its postings by term, in order of items, and the greatest weight of each term in it. A query whose greatest
+    weights together stay below its k-th score so far has nothing in the block. Otherwise terms of least greatest weight are left
+    aside while theirs together stay below ASIDE of that score; items are scored by the others, and only those that the terms
+    left aside could lift to the k-th score are scored in full.
+    """
+
+    def __init__(self, queries: list[tuple[object, np.ndarray]], k: int):
+        self.queries, self.k = queries, k
+        self.ids = [np.zeros(0, np.int64) for _ in queries]
+        self.scores = [np.zeros(0) for _ in queries]
+        self.floor = np.zeros(len(queries))
+        self.n_items, self.full = 0, 0
+
+    def add(self, item: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+        """A block: (item number, term number, weight) of each posting; items are numbered in their order."""
+        names, at = np.unique(item, return_inverse=True)
+        order = np.lexsort((at, term))
+        at, term, w = at[order], term[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        last = np.append(first[1:], len(term))
+        where = {int(t): i for i, t in enumerate(term[first])}
+        most = np.maximum.reduceat(w, first)
+        for q, (_, terms) in enumerate(self.queries):
+            mine = np.array([where[t] for t in terms if t in where], np.int64)
+            if not len(mine) or most[mine].sum() < self.floor[q] - SLACK:
+                continue
+            mine = mine[np.argsort(most[mine], kind="stable")]
+            upto = np.cumsum(most[mine])
+            n = int((upto < ASIDE * self.floor[q]).sum())
+            score = np.zeros(len(names))
+            for i in mine[n:]:
+                score[at[first[i] : last[i]]] += w[first[i] : last[i]]
+            lift = upto[n - 1] if n else 0.0
+            found = np.flatnonzero((score > 0) & (score + lift >= self.floor[q] - SLACK))
+            self.full += len(found)
+            sums = score[found]
+            for i in mine[:n]:
+                held = at[first[i] : last[i]]
+                to = np.minimum(np.searchsorted(held, found), len(held) - 1)
+                sums += np.where(held[to] == found, w[first[i] + to], 0.0)
+            self._keep(q, names[found], np.round(sums, 6))
+
+    def _keep(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids[q], self.scores[q] = ids[order], scores[order]
+        if len(order) == self.k:
+            self.floor[q] = scores[order[-1]]
+
+    def rows(self) -> pd.DataFrame:
+        """query_id, item (its number), score."""
+        many = [len(x) for x in self.ids]
+        names = np.array([q for q, _ in self.queries], dtype=object)
+        return pd.DataFrame({"query_id": np.repeat(names, many), "item": np.concatenate([*self.ids, np.zeros(0, np.int64)]), "score": np.concatenate([*self.scores, np.zeros(0)])})
+
+
+def bm25_top(queries: DataFrame, items: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The k best items of each query, as top_k(bm25(...), k) gives them, without a row for each pair that shares a term.
+
+    Postings are dealt by item, in blocks, and meet all queries there; a task returns at most k rows for each of them. Queries
+    come in groups of at most GROUP terms, which bounds what is broadcast and what a task holds; a pass over the postings serves a group.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    spark = queries.sparkSession
+    q_type, i_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
+    index = postings(queries, items, k1, b)
+    asked = queries.select("query_id", F.array_distinct("terms").alias("terms")).where(F.size("terms") > 0)
+    total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
+    grouped = staged(asked.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(-(-total // GROUP) or 1))), "bm25-queries")
+    # In order of items within a partition, so that an item's postings lie together and ties go to the lesser item.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = index.repartition(parts, "item_id").sortWithinPartitions("item_id")
+    many = [r["g"] for r in grouped.select("g").distinct().orderBy("g").collect()]
+    if len(many) > 1:
+        dealt = staged(dealt, "bm25-index")
+    out = None
+    for g in many or [0]:
+        number: dict[str, int] = {}
+        group = [(r["query_id"], np.array([number.setdefault(t, len(number)) for t in r["terms"]], np.int64)) for r in grouped.where(F.col("g") == g).collect()]
+        shared = spark.sparkContext.broadcast((group, number))
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            group, number = shared.value
+            best, names, waiting, size = BestOf(group, k), [], [], 0
+
+            def block(rows: pd.DataFrame) -> None:
+                codes, here = pd.factorize(rows["item_id"])
+                best.add(codes + len(names), rows["term"].to_numpy(), rows["w"].to_numpy())
+                names.extend(here)
+
+            for batch in batches:
+                term = batch["term"].map(number)
+                waiting.append(batch.assign(term=term)[term.notna()].astype({"term": np.int64}))
+                size += len(waiting[-1])
+                if size >= BLOCK:
+                    rows = pd.concat(waiting, ignore_index=True)
+                    # More of the last item may come.
+                    whole = (rows["item_id"] != rows["item_id"].iat[-1]).to_numpy()
+                    if whole.any():
+                        block(rows[whole])
+                    waiting = [rows[~whole]]
+                    size = len(waiting[0])
+            if size:
+                block(pd.concat(waiting, ignore_index=True))
+            rows = best.rows()
+            yield pd.DataFrame({"query_id": rows["query_id"], "item_id": [names[i] for i in rows["item"]], "score": rows["score"]})
+
+        found = dealt.select("item_id", "term", "w").mapInPandas(search, f"query_id {q_type}, item_id {i_type}, score double")
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k)
 
 
 def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:

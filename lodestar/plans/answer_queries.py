@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.operators import answer, search
+from lodestar.operators import answer, citations, ingest, search
 from lodestar.plans import sql
 from lodestar.plans.retrieval_queries import asked, chunks_as_items, lexical_hits
-from lodestar.session import table
+from lodestar.session import staged, table
 
 #: Our own prompt table: a default and one more version.
 PROMPTS = (("default", answer.DEFAULT_TEMPLATE), ("terse", "Q: {question}\nC: {context}\nA:"))
@@ -33,7 +33,7 @@ def questions(spark, sf):
 def rerank_overlap(spark, sf):
     """The 50 best by BM25, reranked by term overlap, 8 kept."""
     items = chunks_as_items(spark, sf)
-    best = search.top_k(search.bm25(asked(spark, sf), items), search.CANDIDATES)
+    best = search.bm25_top(asked(spark, sf), items, search.CANDIDATES)
     hits = best.join(items.select("item_id", F.col("terms").alias("item_terms")), "item_id").join(
         asked(spark, sf).select("query_id", F.col("terms").alias("query_terms")), "query_id"
     )
@@ -63,9 +63,14 @@ def answer_sources(spark, sf):
     return src.select("query_id", "pos", F.col("s.chunk_id").alias("chunk_id"), F.col("s.quote").alias("quote"))
 
 
+def indexed(spark, sf) -> int:
+    """Whether there is anything to search, which tells one refusal from the other; 0 if no document has a chunk."""
+    return 0 if ingest.chunk_words(table(spark, sf, "documents")).isEmpty() else 1
+
+
 def _answers(spark, sf):
     hits = lexical_hits(spark, sf).where("score >= 20")
-    return answer.ask(questions(spark, sf), hits, prompts(spark), indexed=1)
+    return answer.ask(questions(spark, sf), hits, prompts(spark), indexed(spark, sf))
 
 
 def refusal_flags(spark, sf):
@@ -74,7 +79,7 @@ def refusal_flags(spark, sf):
 
 
 def ask_flagship(spark, sf):
-    out = answer.ask(questions(spark, sf), lexical_hits(spark, sf), prompts(spark), indexed=1)
+    out = answer.ask(questions(spark, sf), lexical_hits(spark, sf), prompts(spark), indexed(spark, sf))
     return out.select(
         "query_id", "question", "provider", "model", "prompt_version", "n_context", F.md5("prompt").alias("prompt_md5"), "answer", "confidence", "refusal",
         F.to_json("sources").alias("sources"),
@@ -84,7 +89,7 @@ def ask_flagship(spark, sf):
 def candidates(spark, sf):
     """The 50 best chunks of every question by BM25, with what reranking and compression need."""
     items = chunks_as_items(spark, sf)
-    best = search.top_k(search.bm25(asked(spark, sf), items), search.CANDIDATES)
+    best = search.bm25_top(asked(spark, sf), items, search.CANDIDATES)
     texts = items.select("item_id", "chunk_text", F.col("terms").alias("item_terms"))
     return best.join(texts, "item_id").join(asked(spark, sf).select("query_id", F.col("terms").alias("query_terms")), "query_id")
 
@@ -93,12 +98,12 @@ def ask_reranked(spark, sf):
     """The whole path: 50 candidates, reranked, 8 kept, compressed to sentences that share a term, answered."""
     hits = answer.narrowed(candidates(spark, sf))
     many = hits.groupBy("query_id").agg(F.max("n_candidates").alias("n_candidates"))
-    out = answer.ask(questions(spark, sf), hits, prompts(spark), indexed=1).join(many, "query_id", "left")
+    out = answer.ask(questions(spark, sf), hits, prompts(spark), indexed(spark, sf)).join(many, "query_id", "left")
     return out.select("query_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "n_context", F.md5("prompt").alias("prompt_md5"), "refusal", F.md5("answer").alias("answer_md5"))
 
 
 def compare_variants(spark, sf):
-    out = answer.compare(questions(spark, sf).select("query_id", "question"), VARIANTS, lexical_hits(spark, sf), prompts(spark), indexed=1)
+    out = answer.compare(questions(spark, sf).select("query_id", "question"), VARIANTS, lexical_hits(spark, sf), prompts(spark), indexed(spark, sf))
     return out.select("query_id", "variant", "provider", "model", "prompt_version", "is_fallback", "refusal", "confidence", F.md5("answer").alias("answer_md5"))
 
 
@@ -107,12 +112,34 @@ def provider_default_binding(spark, sf):
     return answer.bind_defaults(rows.withColumn("model", F.when(F.col("query_id") % 5 == 0, "own"))).select("query_id", "provider", "model", "prompt_version")
 
 
+def _compared(spark, sf):
+    """Every question under every variant, answered; with the ids and texts of the chunks in its context."""
+    hits = lexical_hits(spark, sf)
+    return hits, answer.compare(questions(spark, sf).select("query_id", "question"), VARIANTS, hits, prompts(spark), indexed(spark, sf))
+
+
 def citation_check(spark, sf):
-    """Bracketed chunk ids of an answer that lists its context, against the first four context ids."""
-    ctx = answer.contexts(lexical_hits(spark, sf))
-    known = F.transform(F.slice("sources", 1, 4), lambda s: s["chunk_id"])
-    named = answer.cited(F.col("context"))
-    return ctx.select("query_id", F.size(named).alias("cited"), F.size(F.array_except(named, known)).alias("unsupported"), (F.size(named) == 0).alias("refuse"))
+    """Chunk ids that the generated answers name, against the chunks of their contexts; answers that name none become refusals."""
+    hits, answered = _compared(spark, sf)
+    known = hits.groupBy("query_id").agg(F.collect_set("item_id").alias("known"))
+    rows = answer.refuse_uncited(answered.withColumn("said", F.col("answer"))).join(known, "query_id", "left")
+    named = answer.cited(F.col("said"))
+    return rows.select(
+        "query_id", "variant", F.size(named).alias("cited"), F.size(F.array_except(named, F.coalesce("known", F.array().cast("array<string>")))).alias("unsupported"), "refusal", F.md5("answer").alias("answer_md5")
+    )
+
+
+def citation_spans(spark, sf):
+    """Sentences of the generated answers by their position in the documents of the chunks they name: in such a chunk, in another, in none."""
+    _, answered = _compared(spark, sf)
+    said = answered.select("query_id", "variant", F.posexplode(text.sentences(F.regexp_replace("answer", citations.MARK, "\n"))).alias("claim", "sentence"), answer.cited(F.col("answer")).alias("ids"))
+    claims = said.withColumn("sentence", F.array_join(text.words(F.col("sentence")), " ")).where("sentence <> ''")
+    claims = staged(claims.withColumn("claim_id", F.concat_ws(":", "query_id", "variant", "claim")), "claims")
+    cited = claims.select("claim_id", "sentence", F.explode("ids").alias("chunk_id"))
+    cited = cited.withColumn("doc_id", F.split("chunk_id", ":")[0].cast("long")).withColumn("chunk_no", F.split("chunk_id", ":")[1].cast("int"))
+    judged = citations.checked(cited, table(spark, sf, "documents"), ingest.CHUNK_WORDS, ingest.OVERLAP_WORDS)
+    many = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c)
+    return claims.join(judged, "claim_id", "left").groupBy("query_id", "variant").agg(F.count(F.lit(1)).alias("claims"), *[many(c) for c in ("located", "supported", "elsewhere")])
 
 
 def validated_answers(spark, sf):
@@ -126,10 +153,11 @@ def sweep_grid(spark, sf):
     """Chunk size by top k: how many questions find a chunk of a document that holds their text."""
     out = None
     docs = table(spark, sf, "documents").select("doc_id", "text")
+    # The first of eight is the first of one, so each size is searched once.
     bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     for size, overlap in ((600, 80), (300, 40)):
         hits = lexical_hits(spark, sf, 8, size, overlap).join(bench, "query_id").join(docs, "doc_id")
-        found = hits.withColumn("hit", F.contains("text", "passage"))
+        found = staged(hits.select("query_id", "rank", F.contains("text", "passage").alias("hit")), "sweep-hits")
         for k in (1, 8):
             row = found.where(F.col("rank") <= k).groupBy("query_id").agg(F.max(F.col("hit").cast("int")).alias("hit")).agg(F.sum("hit").alias("found"))
             row = row.select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), F.lit(k).alias("top_k"), "found")
@@ -139,7 +167,7 @@ def sweep_grid(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     rerank_overlap, compress_context, context_block, prompt_render, answer_sources, refusal_flags, ask_flagship, ask_reranked, compare_variants, provider_default_binding,
-    citation_check, validated_answers, sweep_grid,
+    citation_check, citation_spans, validated_answers, sweep_grid,
 )}
 
 
@@ -147,6 +175,7 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_CITED = r"\[([0-9A-Za-z_.-]+:[0-9]+)\]"
 _PROMPTS = "prompts AS (SELECT * FROM (VALUES " + ", ".join(f"({_q(v)}, {_q(t)})" for v, t in PROMPTS) + ") AS t(version, template))"
 _TOP = f"WITH {sql.items_of_chunks()}, {sql.ASKED}, {sql.bm25(8)}, hits AS (SELECT l.*, chunk_text FROM lexical l JOIN items USING (item_id))"
 _TOP50 = f"WITH {sql.items_of_chunks()}, {sql.ASKED}, {sql.bm25(50)}"
@@ -206,7 +235,22 @@ SELECT query_id, CASE WHEN n = 0 THEN 0 ELSE n_candidates END AS n_candidates, C
     "compare_variants": f"{_VARIED}\nSELECT query_id, variant, provider, model, prompt_version, is_fallback, variant = 3 AS refusal, CASE WHEN variant = 3 THEN 0.0::DOUBLE ELSE 0.85::DOUBLE END AS confidence, md5(CASE WHEN variant = 3 THEN 'unknown provider: nowhere' ELSE said END) AS answer_md5 FROM s",
     "provider_default_binding": """WITH a AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'openai' WHEN 2 THEN 'other' ELSE 'local' END AS provider FROM benchmark)
 SELECT query_id, provider, CASE WHEN query_id % 5 = 0 THEN 'own' WHEN provider = 'local' THEN 'local-model' WHEN provider = 'openai' THEN 'openai-model' ELSE 'hosted-model' END AS model, 'default' AS prompt_version FROM a""",
-    "citation_check": f"{_TOP}, {_CTX} SELECT query_id, CAST(n_context AS INTEGER) AS cited, CAST(greatest(n_context - 4, 0) AS INTEGER) AS unsupported, n_context = 0 AS refuse FROM ctx",
+    "citation_check": f"""{_VARIED}, a AS (SELECT query_id, variant, CASE WHEN variant = 3 THEN 'unknown provider: nowhere' ELSE said END AS answer FROM s),
+n AS (SELECT *, list_distinct(regexp_extract_all(answer, '{_CITED}', 1)) AS named FROM a)
+SELECT query_id, CAST(variant AS INTEGER) AS variant, CAST(len(named) AS INTEGER) AS cited, CAST(len(list_filter(named, lambda x: NOT list_contains(ids, x))) AS INTEGER) AS unsupported,
+  variant = 3 OR len(named) = 0 AS refusal, md5(CASE WHEN variant <> 3 AND len(named) = 0 THEN {_q(answer.NOTHING_RELEVANT)} ELSE answer END) AS answer_md5 FROM n JOIN ctx USING (query_id)""",
+    "citation_spans": f"""{_VARIED}, a AS (SELECT query_id, variant, CASE WHEN variant = 3 THEN 'unknown provider: nowhere' ELSE said END AS answer FROM s),
+c AS (SELECT query_id, variant, list_distinct(regexp_extract_all(answer, '{_CITED}', 1)) AS ids, unnest({sql.sentences(f"regexp_replace(answer, '{_CITED}', chr(10), 'g')")}) AS sentence,
+  generate_subscripts({sql.sentences(f"regexp_replace(answer, '{_CITED}', chr(10), 'g')")}, 1) AS claim FROM a),
+claims AS (SELECT query_id, variant, claim, ids, array_to_string({sql.words('sentence')}, ' ') AS sentence FROM c WHERE len({sql.words('sentence')}) > 0),
+named AS (SELECT *, unnest(ids) AS chunk_id FROM claims),
+bodies AS (SELECT doc_id, array_to_string(w, ' ') AS body FROM split),
+spots AS (SELECT n.*, b.doc_id, position(sentence IN body) AS spot, CAST(split_part(chunk_id, ':', 2) AS INTEGER) AS chunk_no FROM named n JOIN bodies b ON b.doc_id = CAST(split_part(chunk_id, ':', 1) AS BIGINT)),
+ranges AS (SELECT doc_id, CAST(i // 520 AS INTEGER) AS chunk_no, CASE WHEN i = 0 THEN 0 ELSE length(array_to_string(w[1:i], ' ')) + 1 END AS low, length(array_to_string(w[1:i + 600], ' ')) AS high FROM starts),
+found AS (SELECT query_id, variant, claim, count(*) AS n FROM spots WHERE spot > 0 GROUP BY ALL),
+own AS (SELECT query_id, variant, claim, bool_or(s.chunk_no = r.chunk_no) AS own FROM spots s JOIN ranges r ON r.doc_id = s.doc_id AND spot - 1 >= low AND spot - 1 + length(sentence) <= high WHERE spot > 0 GROUP BY ALL)
+SELECT query_id, CAST(variant AS INTEGER) AS variant, count(*) AS claims, count(n) AS located, count(*) FILTER (WHERE own) AS supported, count(*) FILTER (WHERE NOT own) AS elsewhere
+FROM claims LEFT JOIN found USING (query_id, variant, claim) LEFT JOIN own USING (query_id, variant, claim) GROUP BY ALL""",
     "validated_answers": "WITH k AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, count(*) FILTER (WHERE k BETWEEN 0 AND 80) AS valid, count(*) FILTER (WHERE NOT coalesce(k BETWEEN 0 AND 80, false)) AS repair, CAST(sum(k) FILTER (WHERE k BETWEEN 0 AND 80) AS BIGINT) AS sum_k FROM k GROUP BY event_type",
     "sweep_grid": _sweep(),
 }

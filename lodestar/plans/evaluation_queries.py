@@ -9,35 +9,51 @@ from lodestar.functions import text
 from lodestar.operators import evaluate, observe, search
 from lodestar.operators.answer import overlap
 from lodestar.plans import sql
-from lodestar.plans.answer_queries import ANSWERED, VARIANTS, prompts, questions
+from lodestar.plans.answer_queries import ANSWERED, VARIANTS, indexed, prompts, questions
 from lodestar.plans.retrieval_queries import asked, documents_as_items, lexical_hits
-from lodestar.session import table
+from lodestar.session import staged, table
 
 
 def truth(spark, sf):
     """Documents that hold a benchmark text verbatim.
 
-    The words inside a passage, five of them at most, are whole words of such a document too, so an equi-join on them finds the
-    candidates, ids only, and their texts are fetched for the check. A passage of one or two words has none inside: those few
-    are looked for in every document.
+    The words inside a passage are whole words of such a document too, so an equi-join on the rarest of them finds the candidates, ids
+    only, and their texts are fetched for the check. Documents are cut into words once, and only words that some passage has
+    inside are kept. A passage of two words has none inside, but a document that holds it has a word that ends with the first; one of
+    one word lies within a word. These are found by the ends and the pieces of the documents' different words.
     """
     bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), text.words(F.col("text")).alias("w"))
-    size = F.least(F.size("w") - 2, F.lit(5)).alias("size")
-    keyed = bench.where(F.size("w") > 2).select("query_id", "passage", size, F.array_join(F.slice("w", 2, size), " ").alias("key"))
+    bench = bench.where(F.length("passage") > 0)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    split = docs.select("doc_id", text.words(F.col("text")).alias("w"))
-    met = None
-    # One to five sizes, whatever the tables.
-    for n in sorted(r["size"] for r in keyed.select("size").distinct().collect()):
-        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        grams = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " ")))
-        found = split.where(F.size("w") >= n).select("doc_id", F.explode(grams).alias("key")).join(keyed.where(F.col("size") == n), "key")
-        met = found.select("query_id", "passage", "doc_id") if met is None else met.unionByName(found.select("query_id", "passage", "doc_id"))
-    short = bench.where((F.size("w") <= 2) & (F.length("passage") > 0)).select("query_id", "passage")
-    whole = docs.join(short, F.contains("text", "passage")).select("query_id", "doc_id")
-    if met is not None:
-        whole = whole.unionByName(met.join(docs, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id"))
-    return whole.select("query_id", F.col("doc_id").alias("item_id")).distinct()
+    inner = bench.where(F.size("w") > 2).select("query_id", "passage", F.explode(F.array_distinct(F.slice("w", 2, F.size("w") - 2))).alias("word"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word"))
+    short = bench.where(F.size("w").isin(1, 2)).select("query_id", "passage", F.get("w", 0).alias("piece"), (F.size("w") == 2).alias("ends"))
+    lengths = sorted(r[0] for r in short.where("not ends").select(F.length("piece")).distinct().collect())
+    any_short = bool(lengths) or not short.isEmpty()
+    wanted = inner.select("word").distinct()
+    if any_short:
+        # Few passages are so short, and a language has far fewer different words than its texts have.
+        known = staged(words.select("word").distinct(), "truth-words")
+        at = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")
+        tails = known.select("word", at).select("word", F.expr("substring(word, at)").alias("piece"), F.lit(True).alias("ends"))
+        pieces = known.select("word", at, F.explode(F.array(*[F.lit(n) for n in lengths or [1]])).alias("n"))
+        pieces = pieces.where("at + n - 1 <= length(word)").select("word", F.expr("substring(word, at, n)").alias("piece"), F.lit(False).alias("ends"))
+        near = staged(tails.unionByName(pieces).join(short, ["piece", "ends"]).select("query_id", "passage", "word").distinct(), "truth-short")
+        wanted = wanted.union(near.select("word")).distinct()
+    held = staged(words.join(wanted, "word", "left_semi"), "truth-postings")
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # A word that no document has is the rarest, and meets none.
+    rarest = inner.join(often, "word", "left").groupBy("query_id", "passage").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r"))
+    keyed = rarest.select("query_id", "passage", F.col("r.word").alias("word"))
+    if any_short:
+        keyed = keyed.unionByName(near)
+    met = keyed.join(held, "word").select("query_id", "passage", "doc_id").distinct()
+    found = met.join(docs, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+    # A passage without any word is white space, which only the texts themselves can tell.
+    blank = bench.where(F.size("w") == 0)
+    if not blank.isEmpty():
+        found = found.unionByName(docs.join(blank, F.contains("text", "passage")).select("query_id", "doc_id"))
+    return found.select("query_id", F.col("doc_id").alias("item_id")).distinct()
 
 
 def golden_truth(spark, sf):
@@ -47,7 +63,7 @@ def golden_truth(spark, sf):
 
 
 def _ranked(spark, sf):
-    return search.top_k(search.bm25(asked(spark, sf), documents_as_items(spark, sf)), 10)
+    return search.bm25_top(asked(spark, sf), documents_as_items(spark, sf), 10)
 
 
 def context_precision_recall(spark, sf):
@@ -76,7 +92,7 @@ def _evaluated(spark, sf):
     """Every benchmark question under every variant, answered from chunks and scored; retrieval by documents."""
     retrieval = evaluate.retrieval_scores(_ranked(spark, sf), truth(spark, sf), 10)
     golden = questions(spark, sf).select("query_id", "question")
-    return evaluate.run_eval(golden, VARIANTS, lexical_hits(spark, sf), prompts(spark), 1, retrieval)
+    return evaluate.run_eval(golden, VARIANTS, lexical_hits(spark, sf), prompts(spark), indexed(spark, sf), retrieval)
 
 
 def run_eval_golden(spark, sf):
@@ -102,7 +118,7 @@ def eval_table_sorted(spark, sf):
 
 
 def metric_log(spark, sf):
-    rows = evaluate.mean_scores(_scores(spark, sf)).select("aggregate.*").withColumn("faithfulness", F.lit(None).cast("double"))
+    rows = evaluate.mean_scores(_scores(spark, sf)).select("aggregate.*")
     return observe.metric_rows(rows, evaluate.METRICS).select("name", F.round("value", 6).alias("value"))
 
 
@@ -218,7 +234,7 @@ SELECT conv_id, turn, CASE WHEN len(claims) > 0 THEN round(len(list_filter(claim
     "answer_relevance": f"WITH {_EXCHANGES} SELECT conv_id, turn, round(len(list_intersect({_Q}, {_A})) / greatest(len(list_distinct(list_concat({_Q}, {_A}))), 1)::DOUBLE, 6) AS answer_relevance FROM x",
     "eval_aggregate": f"WITH {_EVALUATED} SELECT count(*) AS n, round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance, round(avg(context_precision), 6) AS context_precision, round(avg(context_recall), 6) AS context_recall FROM scores",
     "eval_table_sorted": f"WITH {_EVALUATED} SELECT NULL::DOUBLE AS answer_relevance, round(context_precision, 6) AS context_precision, 'retrieval' AS part, query_id FROM scores UNION ALL SELECT round(answer_relevance, 6), NULL, 'answer', query_id FROM scores",
-    "metric_log": f"WITH {_EVALUATED} SELECT 'eval/answer_relevance' AS name, round(avg(answer_relevance), 6) AS value FROM scores UNION ALL SELECT 'eval/context_precision', round(avg(context_precision), 6) FROM scores UNION ALL SELECT 'eval/context_recall', round(avg(context_recall), 6) FROM scores",
+    "metric_log": f"WITH {_EVALUATED} SELECT 'eval/faithfulness' AS name, round(avg(faithfulness), 6) AS value FROM scores UNION ALL SELECT 'eval/answer_relevance', round(avg(answer_relevance), 6) FROM scores UNION ALL SELECT 'eval/context_precision', round(avg(context_precision), 6) FROM scores UNION ALL SELECT 'eval/context_recall', round(avg(context_recall), 6) FROM scores",
     "regressions_adjacent": _regressions("metric", "", "true"),
     "regressions_by_dataset": _regressions("metric, dataset", "dataset,", "true"),
     "regressions_strict": _regressions("metric, dataset", "dataset,", "value IS NOT NULL"),

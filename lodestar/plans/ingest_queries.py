@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import ids, text
+from lodestar.functions import ids, text, vectors
 from lodestar.operators import dedupe, ingest
 from lodestar.plans import sql
-from lodestar.session import table
+from lodestar.session import shared_dir, table
+from lodestar.sources.writers import Collection
+
 
 def word_tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
     w = text.words(F.col("text"))
@@ -83,6 +87,24 @@ def incremental_revised_chunks(spark, sf):
     return ingest.unchanged_removed(new, known).select("chunk_id", "content_sha")
 
 
+def collection_batches(spark, sf):
+    """Three batches into a collection: all documents; those with personal data, redacted; those that repeat a line, without the repeats."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    clean = text.redact(F.col("text"))
+    lines = F.split("text", "\n")
+    once = F.array_join(F.array_distinct(lines), "\n")
+    batches = {
+        "all": docs,
+        "redacted": docs.withColumn("new", clean).where("new <> text").select("doc_id", F.col("new").alias("text")),
+        "lines": docs.withColumn("new", once).where("new <> text").select("doc_id", F.col("new").alias("text")),
+    }
+    held = Collection(spark, f"{shared_dir(spark)}/lodestar/collection-{uuid.uuid4().hex}", vectors.DIMENSION)
+    for name, rows in batches.items():
+        made = ingest.points(ingest.chunk_words(rows), F.col("doc_id").cast("string")).withColumn("batch", F.lit(name))
+        held.upsert(ingest.embedded(made))
+    return held.read().select("chunk_id", "tokens", "batch", F.size("embedding").alias("dimension"), F.md5("chunk_text").alias("chunk_md5"))
+
+
 def exact_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", ids.content_sha(F.col("text")).alias("content_sha"))
     return docs.groupBy("content_sha").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
@@ -117,12 +139,32 @@ def payload_map_roundtrip(spark, sf):
 
 
 def repeated_line_cleaning(spark, sf):
-    """Lines found in more than one document of a source are dropped; the rest is joined again in order."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """Lines found in more than one document of a source are dropped; a document that loses all of them stays, with none."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     n = docs.where("line <> ''").select("source", "line", "doc_id").distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
-    bad = n.where("n > 1").select("source", "line")
-    kept = docs.join(bad, ["source", "line"], "left_anti")
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    bad = n.where("n > 1").select("source", "line", F.lit(True).alias("bad"))
+    line = F.when(F.col("bad").isNull(), F.col("line"))
+    marked = docs.join(bad, ["source", "line"], "left").select("doc_id", line.alias("line"))
+    return marked.groupBy("doc_id").agg(F.count("line").alias("lines"), F.coalesce(F.sum(F.length("line")), F.lit(0)).alias("chars"))
+
+
+def loaded_files(spark, sf):
+    """Pages and documents written out as files of their kind, read back and turned into text by their suffix."""
+    folder = f"{shared_dir(spark)}/lodestar/files-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".HTML"))
+    pages = table(spark, sf, "pages").select(name.alias("name"), F.encode("html", "UTF-8").alias("content"))
+    # Two bytes at the end that are no UTF-8, which the loader drops.
+    broken = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFC3")))
+    docs = table(spark, sf, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), broken.alias("content"))
+    pages.unionByName(docs).write.parquet(folder)
+    out = ingest.load_text(spark.read.parquet(folder))
+    return out.select("name", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+def chunk_topics(spark, sf):
+    """Chunks of 400 to 800 words, cut between sentences where the topic changes most, each with the 80 words before it."""
+    out = ingest.chunk_topics(table(spark, sf, "documents"))
+    return out.select("doc_id", "chunk_no", "first_sentence", "tokens", "overlap", F.md5("chunk_text").alias("chunk_md5"))
 
 
 def near_dup_pairs(spark, sf):
@@ -133,6 +175,7 @@ def near_dup_pairs(spark, sf):
 QUERIES = {f.__name__: f for f in (
     word_tokenize_counts, chunk_fixed_window, chunk_no_redundant_tail, chunk_sentence_budget, chunk_counts_per_doc, doc_and_point_ids, chunk_upsert_latest,
     chunk_replace_by_doc, incremental_new_chunks, incremental_revised_chunks, exact_dedup, near_dup_pairs, index_stats, html_to_text, file_suffix_dispatch, payload_map_roundtrip, repeated_line_cleaning,
+    collection_batches, loaded_files, chunk_topics,
 )}
 
 _SECOND = f"""second_docs AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_filter({sql.words('text')}, lambda x: length(x) >= 4), ' ') ELSE text END AS text FROM documents)"""
@@ -148,6 +191,7 @@ _BOTH = f"WITH {_SECOND}, {_chunked('a', 'documents', 'first')}, {_chunked('b',
 _REVISED = f"""revised_w AS (SELECT doc_id, {sql.words('text')} AS w FROM documents),
 revised AS (SELECT doc_id, array_to_string(CASE doc_id % 3 WHEN 1 THEN list_append(w, 'appended')
   WHEN 2 THEN list_concat(w[1:len(w) // 2], ['revised'], w[len(w) // 2 + 2:]) ELSE w END, ' ') AS text FROM revised_w)"""
+_CLEAN = f"regexp_replace(regexp_replace(regexp_replace(text, '{text.EMAIL}', '[email]', 'g'), '{text.ADDRESS}', '[ip]', 'g'), '{text.PHONE}', '[phone]', 'g')"
 _MARKUP = text.MARKUP.replace("'", "''")
 _BODY = f"regexp_replace(html, '{_MARKUP}', ' ', 'g')"
 for _entity, _plain in text.ENTITIES:
@@ -185,6 +229,13 @@ s AS (SELECT CASE WHEN name LIKE '_%.%' THEN coalesce(lower(nullif(regexp_extrac
 SELECT suffix, suffix = '.pdf' AS is_pdf, count(*) AS n FROM s GROUP BY ALL""",
     "payload_map_roundtrip": "SELECT doc_id, 'shadow' AS payload_doc_id, lang, source, CAST(2 AS INTEGER) AS n_rest FROM documents",
     "repeated_line_cleaning": """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
-bad AS (SELECT source, line FROM l WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) > 1)
-SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM l WHERE (source, line) NOT IN (SELECT (source, line) FROM bad) GROUP BY doc_id""",
+bad AS (SELECT source, line FROM l WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) > 1),
+kept AS (SELECT doc_id, count(*) AS lines, sum(length(line)) AS chars FROM l WHERE (source, line) NOT IN (SELECT (source, line) FROM bad) GROUP BY doc_id)
+SELECT DISTINCT d.doc_id, coalesce(lines, 0) AS lines, CAST(coalesce(chars, 0) AS BIGINT) AS chars FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "collection_batches": f"""WITH clean AS (SELECT doc_id, text, {_CLEAN} AS redacted, array_to_string(list_distinct_in_order(string_split(text, chr(10))), chr(10)) AS once FROM documents),
+last AS (SELECT doc_id, CASE WHEN once <> text THEN once WHEN redacted <> text THEN redacted ELSE text END AS text, CASE WHEN once <> text THEN 'lines' WHEN redacted <> text THEN 'redacted' ELSE 'all' END AS batch FROM clean), {sql.chunks(source='last')}
+SELECT c.doc_id || ':' || chunk_no AS chunk_id, tokens, batch, 64::INTEGER AS dimension, md5(chunk_text) AS chunk_md5 FROM chunks c JOIN last USING (doc_id) WHERE len({sql.terms('chunk_text')}) > 0""".replace(
+        "list_distinct_in_order(string_split(text, chr(10)))", "list_filter(string_split(text, chr(10)), lambda x, i: list_position(string_split(text, chr(10)), x) = i)"),
+    "loaded_files": f"""SELECT 'p' || page_id || '.HTML' AS name, CAST(length(b) AS INTEGER) AS chars, md5(b) AS text_md5 FROM (SELECT page_id, {_BODY} AS b FROM pages)
+UNION ALL SELECT 'd' || doc_id || '.md', CAST(length(text) AS INTEGER), md5(text) FROM documents WHERE text IS NOT NULL""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text, vectors
 from lodestar.operators import ingest, search
 from lodestar.plans import sql
-from lodestar.session import table
+from lodestar.session import staged, table
 
 #: The dense query set: every vector whose id is divisible by this.
 EVERY = 50
@@ -52,20 +52,22 @@ def documents_as_items(spark, sf):
 
 
 def chunks_as_items(spark, sf, size: int = ingest.CHUNK_WORDS, overlap: int = ingest.OVERLAP_WORDS):
+    """The index: chunks, written once for all that read them, with their terms."""
     chunks = ingest.chunk_words(table(spark, sf, "documents"), size=size, overlap=overlap)
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"))
-    return chunks.select(key.alias("item_id"), "doc_id", "chunk_text", text.terms(F.col("chunk_text")).alias("terms"))
+    held = staged(chunks.select(key.alias("item_id"), "doc_id", "chunk_text"), "chunks")
+    return held.select("item_id", "doc_id", "chunk_text", text.terms(F.col("chunk_text")).alias("terms"))
 
 
 def lexical_hits(spark, sf, k: int = 8, size: int = ingest.CHUNK_WORDS, overlap: int = ingest.OVERLAP_WORDS):
     """The k best chunks of every benchmark text, with their text."""
     items = chunks_as_items(spark, sf, size, overlap)
-    best = search.top_k(search.bm25(asked(spark, sf), items), k)
+    best = search.bm25_top(asked(spark, sf), items, k)
     return best.join(items.select("item_id", "doc_id", "chunk_text"), "item_id").select("query_id", "rank", "item_id", "doc_id", "score", "chunk_text")
 
 
 def bm25_topk(spark, sf):
-    best = search.top_k(search.bm25(asked(spark, sf), documents_as_items(spark, sf)), 10)
+    best = search.bm25_top(asked(spark, sf), documents_as_items(spark, sf), 10)
     return best.select("query_id", "rank", "item_id", "score")
 
 
@@ -87,7 +89,7 @@ def hashed_dense_topk(spark, sf):
 
 def hybrid_rrf(spark, sf):
     q, items = _hashed(spark, sf)
-    lexical = search.top_k(search.bm25(asked(spark, sf), documents_as_items(spark, sf)), search.CANDIDATES)
+    lexical = search.bm25_top(asked(spark, sf), documents_as_items(spark, sf), search.CANDIDATES)
     fused = search.rrf([search.dense(q, items, search.CANDIDATES), lexical])
     return search.top_k(fused, 10).select("query_id", "rank", "item_id", "score")
 
@@ -101,14 +103,14 @@ def _user_turns(spark, sf):
 def multi_query_union(spark, sf):
     """User turns of a conversation are paraphrases: hits of all of them, once each, the best score kept."""
     items = table(spark, sf, "benchmark").select("item_id", text.terms(F.col("text")).alias("terms"))
-    hits = search.top_k(search.bm25(_user_turns(spark, sf), items), 5)
+    hits = search.bm25_top(_user_turns(spark, sf), items, 5)
     conv = F.split("query_id", ":")[0].cast("long").alias("conv_id")
     return hits.groupBy(conv, "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("found_by"))
 
 
 def multi_query_chunks(spark, sf):
     """multi_query_union on chunks: all terms of every user turn search all chunks."""
-    hits = search.top_k(search.bm25(_user_turns(spark, sf), chunks_as_items(spark, sf)), 5)
+    hits = search.bm25_top(_user_turns(spark, sf), chunks_as_items(spark, sf), 5)
     conv = F.split("query_id", ":")[0].cast("long").alias("conv_id")
     return hits.groupBy(conv, F.col("item_id").alias("chunk_id")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("found_by"))
 

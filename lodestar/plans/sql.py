@@ -15,10 +15,10 @@ def sentences(text: str) -> str:
     return rf"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])[ \n]+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')"
 
 
-def chunks(size: int = 600, overlap: int = 80) -> str:
+def chunks(size: int = 600, overlap: int = 80, source: str = "documents") -> str:
     """split, chunks(doc_id, chunk_no, tokens, chunk_text)."""
     step = max(1, size - overlap)
-    return f"""split AS (SELECT doc_id, {words('text')} AS w FROM documents),
+    return f"""split AS (SELECT doc_id, {words('text')} AS w FROM {source}),
 starts AS (SELECT doc_id, w, unnest(range(0, len(w), {step})) AS i FROM split),
 chunks AS (SELECT doc_id, CAST(i // {step} AS INTEGER) AS chunk_no, CAST(len(w[i + 1:i + {size}]) AS INTEGER) AS tokens,
                   array_to_string(w[i + 1:i + {size}], ' ') AS chunk_text FROM starts)"""

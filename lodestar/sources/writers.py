@@ -2,49 +2,175 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestar.functions import text, vectors
 from lodestar.operators import ingest
+from lodestar.session import staged
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+class Conflict(Exception):
+    """Another writer has taken the next version of a manifest."""
+
+
+@dataclass
+class Manifest:
+    """What a version of a collection consists of: a folder for each bucket that has points."""
+
+    version: int = -1
+    buckets: int = 64
+    schema: str = ""
+    folders: dict[int, str] = field(default_factory=dict)
 
 
 class Collection:
-    """Points of one dimension as numbered Parquet snapshots; a reader never sees a half-written one."""
+    """Points of one dimension in buckets by hash of their document, so that a batch rewrites only what it touches.
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int):
-        self.spark, self.path, self.dimension = spark, path, dimension
+    A version is a manifest: one file that names a folder for each bucket. A batch reads the buckets of its documents,
+    writes them anew into a folder of its own, and commits by giving the next manifest its name, which fails if
+    another writer has taken it. Then the batch is put on top of that version: only buckets that the other has
+    changed are merged again. Readers see a whole version, never a part of one. Folders that the last KEEP versions no longer name
+    go after a commit; what a failed writer left goes with ``vacuum``. A point belongs to one document for good.
+    """
 
-    def _snapshots(self, finished: bool = True) -> list[str]:
-        if not _exists(self.spark, self.path):
-            return []
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        listed = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
-        names = sorted(s.getPath().getName() for s in listed)
-        return [n for n in names if not finished or _exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+    KEEP, TRIES = 2, 20
+
+    def __init__(self, spark: SparkSession, path: str, dimension: int, buckets: int = 64):
+        self.spark, self.path, self.dimension, self.buckets = spark, path, dimension, buckets
+
+    def _where(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self, name: str) -> list:
+        where, files = self._where(name)
+        return list(files.listStatus(where)) if files.exists(where) else []
+
+    def _versions(self) -> list[int]:
+        names = [s.getPath().getName() for s in self._listed("_manifests")]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _load(self, version: int) -> Manifest:
+        where, files = self._where(f"_manifests/{version:08d}.json")
+        stream = files.open(where)
+        try:
+            told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return Manifest(version, told["buckets"], told["schema"], {int(b): f for b, f in told["folders"].items()})
+
+    def manifest(self) -> Manifest:
+        """The last version; an empty one if there is none yet."""
+        versions = self._versions()
+        return self._load(versions[-1]) if versions else Manifest(buckets=self.buckets)
+
+    def _commit(self, new: Manifest) -> None:
+        body = json.dumps({"buckets": new.buckets, "schema": new.schema, "folders": new.folders})
+        draft, files = self._where(f"_manifests/.{uuid.uuid4().hex}.draft")
+        out = files.create(draft, False)
+        out.write(bytearray(body, "utf-8"))
+        out.close()
+        final, _ = self._where(f"_manifests/{new.version:08d}.json")
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        never = self.spark._sc._gateway.new_array(jvm.Options.Rename, 1)
+        never[0] = jvm.Options.Rename.NONE
+        try:
+            jvm.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, never)
+        except Py4JJavaError as e:
+            files.delete(draft, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(new.version) from None
+            raise
+
+    def _bucket(self, buckets: int):
+        return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+    def _table(self, base: Manifest, of: list[int] | None = None) -> DataFrame | None:
+        folders = [f for b, f in sorted(base.folders.items()) if of is None or b in set(of)]
+        if not folders:
+            return None
+        schema = StructType.fromJson(json.loads(base.schema))
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def read(self) -> DataFrame | None:
-        found = self._snapshots()
-        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
-
-    def upsert(self, new: DataFrame, by_document: bool = True) -> DataFrame:
+        """The points of the last version; None before the first."""
+        now = self.manifest()
+        if now.version < 0:
+            return None
+        found = self._table(now)
+        return self.spark.createDataFrame([], StructType.fromJson(json.loads(now.schema))) if found is None else found
+
+    def lookup(self, documents: DataFrame) -> DataFrame:
+        """The points of (doc_id), from the buckets that can hold them."""
+        now = self.manifest()
+        of = [r["b"] for r in documents.select(self._bucket(now.buckets).alias("b")).distinct().collect()]
+        found = self._table(now, of)
+        return self.read().limit(0) if found is None else found.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def _merged(self, rows: DataFrame, base: Manifest, of: list[int], by_document: bool) -> dict[int, str | None]:
+        """Writes the buckets anew; where each of them is now."""
+        new = rows.where(F.col("_bucket").isin(of)).drop("_bucket")
+        old = self._table(base, of)
+        both = new.dropDuplicates(["point_id"]) if old is None else ingest.upsert(old, new, "point_id", by_group="doc_id" if by_document else None)
+        folder = f"data/{uuid.uuid4().hex}"
+        both.withColumn("_bucket", self._bucket(base.buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        made = {s.getPath().getName() for s in self._listed(folder)}
+        return {b: f"{folder}/_bucket={b}" if f"_bucket={b}" in made else None for b in of}
+
+    def upsert(self, new: DataFrame, by_document: bool = True) -> DataFrame | None:
         """Insert or replace by point, and whole documents too unless told not to; a wrong dimension is an error."""
+        base = self.manifest()
         checked = new.withColumn("embedding", vectors.checked(F.col("embedding"), self.dimension))
-        # An unfinished snapshot of a failed write keeps its number.
-        old, number = self.read(), max([int(n) + 1 for n in self._snapshots(finished=False) if n.isdigit()], default=0)
-        merged = checked if old is None else ingest.upsert(old, checked, "point_id", by_group="doc_id" if by_document else None)
-        merged.write.parquet(f"{self.path}/{number:08d}")
+        rows = staged(checked.withColumn("_bucket", self._bucket(base.buckets)), "collection-batch")
+        touched = todo = sorted(r["_bucket"] for r in rows.select("_bucket").distinct().collect())
+        made: dict[int, str | None] = {}
+        for _ in range(self.TRIES if touched else 0):
+            made |= self._merged(rows, base, todo, by_document)
+            folders = {b: f for b, f in (base.folders | made).items() if f}
+            try:
+                self._commit(Manifest(base.version + 1, base.buckets, base.schema or checked.schema.json(), folders))
+                self._retire()
+                return self.read()
+            except Conflict:
+                latest = self.manifest()
+                todo = [b for b in touched if latest.folders.get(b) != base.folders.get(b)]
+                base = latest
+        if touched:
+            raise Conflict(f"{self.path}: {self.TRIES} commits were lost to other writers")
         return self.read()
 
+    def _retire(self) -> None:
+        """Delete what only older versions name, and these."""
+        versions = self._versions()
+        kept = {f for v in versions[-self.KEEP :] for f in self._load(v).folders.values()}
+        for v in versions[: -self.KEEP]:
+            for f in set(self._load(v).folders.values()) - kept:
+                where, files = self._where(f)
+                files.delete(where, True)
+            where, files = self._where(f"_manifests/{v:08d}.json")
+            files.delete(where, False)
+
+    def vacuum(self, hours: float = 24) -> int:
+        """Delete folders of that age that no version names: what failed writers have left. Returns their number."""
+        named = {f.split("/")[1] for v in self._versions() for f in self._load(v).folders.values()}
+        late = time.time() * 1000 - hours * 3_600_000
+        lost = [s.getPath() for s in self._listed("data") if s.getPath().getName() not in named and s.getModificationTime() <= late]
+        for where in lost:
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        return len(lost)
+
     def count(self) -> int:
         now = self.read()
         return 0 if now is None else now.count()
@@ -101,17 +227,32 @@ def run_name(dataset, prompt_version, now: datetime | None = None) -> str:
 
 
 def persist_run(run: DataFrame, folder: str, dataset: str, prompt_version: str | None, now: datetime | None = None) -> str:
-    """Writes a run document under its run_name, which orders the history; returns the path."""
-    path = f"{folder}/{run_name(dataset, prompt_version, now)}.json"
-    run.coalesce(1).write.json(path)
-    return path
+    """Writes a run document under its run_name, which orders the history; returns the path.
 
-
-def append_ratings(ratings: DataFrame, path: str) -> None:
-    """Adds id and created_at; ids are random."""
+    A name that another run of the same second has taken gets a number behind it, so neither is lost.
+    """
+    name = f"{folder}/{run_name(dataset, prompt_version, now)}"
+    for n in range(100):
+        path = f"{name}.json" if n == 0 else f"{name}_{n:02d}.json"
+        try:
+            run.coalesce(1).write.mode("errorifexists").json(path)
+            return path
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+    raise FileExistsError(name)
+
+
+def append_ratings(ratings: DataFrame, path: str) -> DataFrame:
+    """Adds id and created_at; ids are random. Ratings out of 1 to 5 are written to ``<path>-rejected`` and returned."""
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx")
-    rows = ratings.withColumn("id", F.substring(F.replace(F.uuid(), F.lit("-")), 1, 12)).withColumn("created_at", stamp)
-    rows.where(F.col("rating").between(1, 5)).write.mode("append").json(path)
+    rows = staged(ratings.withColumn("id", F.substring(F.replace(F.uuid(), F.lit("-")), 1, 12)).withColumn("created_at", stamp), "ratings")
+    good = F.coalesce(F.col("rating").between(1, 5), F.lit(False))
+    rows.where(good).write.mode("append").json(path)
+    rejected = rows.where(~good)
+    if not rejected.isEmpty():
+        rejected.write.mode("append").json(f"{path.rstrip('/')}-rejected")
+    return rejected
 
 
 def append_traces(traces: DataFrame, path: str) -> None:

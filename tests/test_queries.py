@@ -31,7 +31,15 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+#: Queries that SQL cannot express; each has a brute-force test of its own.
+WITHOUT_SQL = {"chunk_topics"}
+
+
+def test_all_others_have_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == WITHOUT_SQL and set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_its_oracle(spark, duck, name):
     frame = catalog.QUERIES[name](spark, SMALL)
     found = duck.execute(catalog.ORACLES[name])
