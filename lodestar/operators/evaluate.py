@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lodestar.functions import text
 from lodestar.operators.answer import compare, overlap
+from lodestar.session import staged
 
 METRICS = ("faithfulness", "answer_relevance", "context_precision", "context_recall")
 THRESHOLD = 0.05
@@ -100,6 +101,44 @@ def pairwise(pairs: DataFrame, prefer: Callable[[str, str, str], int]) -> DataFr
     return pairs.select("query_id", "question", "a", "b").mapInPandas(run, f"query_id {dict(pairs.dtypes)['query_id']}, verdict string")
 
 
+def swapped(pairs: DataFrame, prefer: Callable[[Column, Column, Column], Column], seed: str = "order") -> DataFrame:
+    """(pair_id, question, a, b) -> pair_id, shown_first, verdict a, b or tie: each pair is judged once, in an order that its hash decides.
+
+    ``prefer`` gives 0 for the first answer shown, 1 for the second, null for neither.
+    """
+    swap = F.pmod(F.crc32(F.concat_ws(":", F.lit(seed), F.col("pair_id").cast("string")).cast("binary")), F.lit(2)) == 1
+    first, second = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    said = prefer(F.col("question"), first, second)
+    verdict = F.when(said.isNull(), "tie").when((said == 0) == ~swap, "a").otherwise("b")
+    return pairs.select("pair_id", F.when(swap, "b").otherwise("a").alias("shown_first"), verdict.alias("verdict"))
+
+
+def strengths(verdicts: DataFrame, rounds: int = 20, every: int = 5) -> DataFrame:
+    """(left, right, verdict) -> name, wins, games, strength: strengths that explain all verdicts best, with a mean of 1.
+
+    The Bradley-Terry model, fitted by minorisation: a strength is its wins over the sum, over its games, of one by the strength of both.
+    Ties are half a win for each, and each pair that has met gets one tie more, so that strengths stay finite. A round joins the table
+    of pairs, which has a row for any two that have met, however often.
+    """
+    won = F.when(F.col("verdict") == "a", 1.0).when(F.col("verdict") == "b", 0.0).otherwise(0.5)
+    met = verdicts.select("left", "right", won.alias("won")).where("left <> right")
+    both = met.unionByName(met.select(F.col("right").alias("left"), F.col("left").alias("right"), (1 - F.col("won")).alias("won")))
+    pairs = staged(both.groupBy("left", "right").agg((F.sum("won") + 0.5).alias("won"), (F.count(F.lit(1)) + 1).alias("n"), F.count(F.lit(1)).alias("games")), "strength-pairs")
+    total = pairs.groupBy(F.col("left").alias("name")).agg(F.sum("won").alias("wins"), F.sum("games").alias("games"))
+    now = staged(total.withColumn("strength", F.lit(1.0)), "strengths")
+    for turn in range(1, rounds + 1):
+        mine = pairs.join(now.select(F.col("name").alias("left"), F.col("strength").alias("p")), "left")
+        met = mine.join(now.select(F.col("name").alias("right"), F.col("strength").alias("q")), "right")
+        rate = met.groupBy(F.col("left").alias("name")).agg(F.sum(F.col("n") / (F.col("p") + F.col("q"))).alias("rate"))
+        now = now.join(rate, "name").select("name", "wins", "games", (F.col("wins") / F.col("rate")).alias("strength"))
+        # A plan of few rounds at a time.
+        if turn % every == 0 or turn == rounds:
+            now = staged(now, "strengths")
+    mean = now.agg(F.avg("strength")).first()[0]
+    met_with = pairs.groupBy(F.col("left").alias("name")).agg(F.count(F.lit(1)).alias("others"))
+    return now.join(met_with, "name").select("name", (F.col("wins") - 0.5 * F.col("others")).alias("wins"), "games", (F.col("strength") / F.lit(mean or 1.0)).alias("strength"))
+
+
 def mean_scores(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Unweighted means and n; an empty input has a null aggregate as a whole."""
     means = F.struct(*[F.avg(m).alias(m) for m in METRICS])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.plans import answer_queries, evaluation_queries, ingest_queries, observability_queries, retrieval_queries, stream_queries
+from lodestar.plans import answer_queries, evaluation_queries, ingest_queries, observability_queries, retrieval_queries, run_queries, stream_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (ingest_queries, retrieval_queries, answer_queries, evaluation_queries, observability_queries, stream_queries):
+for _module in (ingest_queries, retrieval_queries, answer_queries, evaluation_queries, observability_queries, stream_queries, run_queries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
