@@ -113,19 +113,42 @@ def swapped(pairs: DataFrame, prefer: Callable[[Column, Column, Column], Column]
     return pairs.select("pair_id", F.when(swap, "b").otherwise("a").alias("shown_first"), verdict.alias("verdict"))
 
 
-def strengths(verdicts: DataFrame, rounds: int = 20, every: int = 5) -> DataFrame:
+#: Pairs that the driver may hold.
+FEW = 50_000
+
+
+def _fitted(pairs: list[tuple], wins: dict, rounds: int) -> dict:
+    p = dict.fromkeys(wins, 1.0)
+    for _ in range(rounds):
+        rate = dict.fromkeys(wins, 0.0)
+        for a, b, n in pairs:
+            rate[a] += n / (p[a] + p[b])
+        p = {name: wins[name] / rate[name] for name in wins}
+    return p
+
+
+def strengths(verdicts: DataFrame, rounds: int = 20, every: int = 5, few_rows: int = FEW) -> DataFrame:
     """(left, right, verdict) -> name, wins, games, strength: strengths that explain all verdicts best, with a mean of 1.
 
     The Bradley-Terry model, fitted by minorisation: a strength is its wins over the sum, over its games, of one by the strength of both.
-    Ties are half a win for each, and each pair that has met gets one tie more, so that strengths stay finite. A round joins the table
-    of pairs, which has a row for any two that have met, however often.
+    Ties are half a win for each, and each pair that has met gets one tie more, so that strengths stay finite. Rounds work on the table
+    of pairs, which has a row for any two that have met, however often. Up to FEW rows, as of some hundred configurations, are fitted on
+    the driver; of more, each round is a join.
     """
     won = F.when(F.col("verdict") == "a", 1.0).when(F.col("verdict") == "b", 0.0).otherwise(0.5)
     met = verdicts.select("left", "right", won.alias("won")).where("left <> right")
     both = met.unionByName(met.select(F.col("right").alias("left"), F.col("left").alias("right"), (1 - F.col("won")).alias("won")))
     pairs = staged(both.groupBy("left", "right").agg((F.sum("won") + 0.5).alias("won"), (F.count(F.lit(1)) + 1).alias("n"), F.count(F.lit(1)).alias("games")), "strength-pairs")
     total = pairs.groupBy(F.col("left").alias("name")).agg(F.sum("won").alias("wins"), F.sum("games").alias("games"))
-    now = staged(total.withColumn("strength", F.lit(1.0)), "strengths")
+    met_with = pairs.groupBy(F.col("left").alias("name")).agg(F.count(F.lit(1)).alias("others"))
+    few = pairs.limit(few_rows + 1).collect()
+    now = total.withColumn("strength", F.lit(1.0))
+    if len(few) <= few_rows:
+        fit = _fitted([(r["left"], r["right"], r["n"]) for r in few], {r["name"]: r["wins"] for r in total.collect()}, rounds)
+        kind = dict(total.dtypes)["name"]
+        now = total.join(verdicts.sparkSession.createDataFrame(list(fit.items()), f"name {kind}, strength double"), "name")
+        rounds = 0
+    now = staged(now, "strengths")
     for turn in range(1, rounds + 1):
         mine = pairs.join(now.select(F.col("name").alias("left"), F.col("strength").alias("p")), "left")
         met = mine.join(now.select(F.col("name").alias("right"), F.col("strength").alias("q")), "right")
@@ -135,7 +158,6 @@ def strengths(verdicts: DataFrame, rounds: int = 20, every: int = 5) -> DataFram
         if turn % every == 0 or turn == rounds:
             now = staged(now, "strengths")
     mean = now.agg(F.avg("strength")).first()[0]
-    met_with = pairs.groupBy(F.col("left").alias("name")).agg(F.count(F.lit(1)).alias("others"))
     return now.join(met_with, "name").select("name", (F.col("wins") - 0.5 * F.col("others")).alias("wins"), "games", (F.col("strength") / F.lit(mean or 1.0)).alias("strength"))
 
 

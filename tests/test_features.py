@@ -303,3 +303,38 @@ def test_runs_of_one_second_and_rejected_ratings_are_kept(spark, tmp_path):
     rejected = writers.append_ratings(spark.createDataFrame([("q", 4), ("q", 9), ("q", None)], "question string, rating int"), str(tmp_path / "ratings"))
     assert sorted(str(r.rating) for r in rejected.collect()) == ["9", "None"]
     assert spark.read.json(str(tmp_path / "ratings")).count() == 1 and spark.read.json(str(tmp_path / "ratings-rejected")).count() == 2
+
+
+def test_strengths_by_joins_and_by_the_driver(spark):
+    from lodestar.operators import evaluate
+
+    r = random.Random(9)
+    rows = [(a, b, r.choice(["a", "a", "b", "tie"])) for a in "wxyz" for b in "wxyz" if a < b for _ in range(r.randrange(1, 9))]
+    df = spark.createDataFrame(rows, "left string, right string, verdict string")
+    wins, n = dict.fromkeys("wxyz", 0.0), {}
+    for a, b, v in rows:
+        wins[a] += {"a": 1, "b": 0}.get(v, 0.5)
+        wins[b] += {"a": 0, "b": 1}.get(v, 0.5)
+        n[a, b] = n[b, a] = n.get((a, b), 0) + 1
+    p = dict.fromkeys("wxyz", 1.0)
+    for _ in range(4):
+        p = {a: (wins[a] + 1.5) / sum((n[a, b] + 1) / (p[a] + p[b]) for b in "wxyz" if b != a) for a in "wxyz"}
+    for few in (0, 100):
+        got = {x.name: x for x in evaluate.strengths(df, rounds=4, every=2, few_rows=few).collect()}
+        assert {a: got[a].strength for a in got} == pytest.approx({a: p[a] * 4 / sum(p.values()) for a in p})
+        assert {a: got[a].wins for a in got} == pytest.approx(wins)
+
+
+def test_order_of_a_pair_is_its_hash(spark):
+    import zlib
+
+    from lodestar.operators import evaluate
+
+    rows = [(i, "q", "x" * (i % 3), "y" * (i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "pair_id long, question string, a string, b string")
+    longer = lambda q, one, two: F.when(F.length(one) > F.length(two), 0).when(F.length(two) > F.length(one), 1)
+    got = {x.pair_id: (x.shown_first, x.verdict) for x in evaluate.swapped(df, longer).collect()}
+    for i, _, a, b in rows:
+        want = "a" if len(a) > len(b) else "b" if len(b) > len(a) else "tie"
+        assert got[i] == ("b" if zlib.crc32(f"order:{i}".encode()) % 2 else "a", want)
+    assert {x for x, _ in got.values()} == {"a", "b"}
