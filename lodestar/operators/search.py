@@ -246,7 +246,8 @@ def bm25_top(queries: DataFrame, items: DataFrame, k: int, k1: float = K1, b: fl
             if size:
                 block(pd.concat(waiting, ignore_index=True))
             rows = best.rows()
-            yield pd.DataFrame({"query_id": rows["query_id"], "item_id": [names[i] for i in rows["item"]], "score": rows["score"]})
+            plain = lambda values: pd.Series(list(values), dtype=object)
+            yield pd.DataFrame({"query_id": plain(rows["query_id"]), "item_id": plain(names[i] for i in rows["item"]), "score": rows["score"]})
 
         found = dealt.select("item_id", "term", "w").mapInPandas(search, f"query_id {q_type}, item_id {i_type}, score double")
         out = found if out is None else out.unionByName(found)

@@ -119,13 +119,12 @@ def test_top_k_ties_go_to_the_smaller_item(spark):
         search.top_k(rows, 0)
 
 
-@pytest.mark.parametrize("edge", [0.0, observe.EDGE, 0.6])
-def test_percentiles_of_hot_tied_null_and_single_groups(spark, monkeypatch, edge):
-    monkeypatch.setattr(observe, "EDGE", edge)
+@pytest.mark.parametrize("last", [1, 70, observe.LAST])
+def test_percentiles_of_hot_tied_null_and_single_groups(spark, last):
     rng = np.random.default_rng(3)
     values = {"hot": [float(x) for x in rng.lognormal(0, 3, 4000)], "tied": [1.0] * 700 + [2.0] * 300, "one": [5.0], None: [1.0, 4.0], "none": []}
     rows = [(k, v) for k, vs in values.items() for v in vs] + [("hot", None), ("none", None)]
-    got = {r.kind: r for r in observe.latency(spark.createDataFrame(rows, "kind string, value double"), ["kind"]).collect()}
+    got = {r.kind: r for r in observe.latency(spark.createDataFrame(rows, "kind string, value double"), ["kind"], last=last).collect()}
     assert len(got) == len(values) and got["none"].n == 1 and got["none"].p50 is None and got["none"].mean is None
     for kind, vs in values.items():
         if vs:
