@@ -115,7 +115,8 @@ class RateLimit(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        at, ids = self.waiting.get()
+        # A timer that only clears old times may find nothing that waits.
+        at, ids = self.waiting.get() if self.waiting.exists() else ([], [])
         due = sorted((t, i) for t, i in zip(at, ids) if t < now)
         later = [(t, i) for t, i in zip(at, ids) if t >= now]
         times = sorted([*(self.judged.get()[0] if self.judged.exists() else []), *(t for t, _ in due)])

@@ -212,6 +212,17 @@ def test_rate_limit_on_late_events_and_its_state(spark, tmp_path):
     assert max(rows) > rows[-1], rows
 
 
+def test_rate_limit_when_old_times_are_cleared_and_nothing_waits(spark, tmp_path):
+    start, schema = datetime(2026, 1, 1), "event_id long, user_id long, ts timestamp"
+    # The first later event lets user 1 be judged, the second is past the reach of what is kept of it.
+    for rows in ([(i, 1, start + timedelta(seconds=i)) for i in range(3)], [(10, -1, start + timedelta(minutes=200))], [(11, -1, start + timedelta(hours=20))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with streams.keyed_state(spark):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        done = streams.run_once(streams.rate_limited(stream, 3600, 2, "3 hours"), "rate-limit-cleared")
+    assert [tuple(r) for r in done.collect()] == [(2, 1, 3)]
+
+
 def test_a_stream_without_a_batch_is_an_empty_table(spark, tmp_path):
     os.mkdir(tmp_path / "none")
     stream = spark.readStream.schema("event_id long, event_type string, ts timestamp, value double").parquet(f"{tmp_path}/none")
