@@ -196,6 +196,13 @@ def test_points_whose_hashed_terms_cancel_stay(spark):
     assert sum(x * x for x in got[1]) == pytest.approx(1)
 
 
+def test_stream_collection_keeps_a_text_that_the_added_word_cancels(spark, tmp_path):
+    """The word of document 1 cancels the one that is added to it."""
+    spark.createDataFrame([(1, "w15"), (2, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = stream_queries.stream_collection(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.dimension, r.tokens) for r in got} == {(1, 64, 2), (2, 64, 3)}
+
+
 # Streams -----------------------------------------------------------------------------------------------------------
 
 
