@@ -1,5 +1,7 @@
 """Boundaries and edge rows of the retrieval and evaluation operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +172,23 @@ def test_revised_batch_has_odd_documents_and_last_chunks(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.chunk_id for r in ingest_queries.incremental_revised_chunks(spark, str(tmp_path)).collect()}
     assert got == {"1:1", "2:0", "4:0", "5:0"}
+
+
+def test_near_pairs_deal_out_prefixes_only(spark):
+    """Fewer rows are shuffled than two for each shingle; a changed copy of each tenth text is found."""
+    r = random.Random(3)
+    texts = [[f"w{r.randrange(10**6)}" for _ in range(400)] for _ in range(50)]
+    rows = list(enumerate(texts)) + [(100 + i, texts[i][:200] + ["changed"] + texts[i][201:]) for i in range(0, 50, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, w array<string>")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    dealt = lambda: sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+    before = dealt()
+    # No table is small enough to be broadcast, as with large ones.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = dedupe.near_pairs(docs, 5, 0.8).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((x.a, x.b) for x in found) == [(i, 100 + i) for i in range(0, 50, 10)]
+    assert all(x.similarity == round(391 / 401, 6) for x in found)
+    assert 0 < dealt() - before < 2 * 396 * len(rows)
