@@ -192,3 +192,23 @@ def test_near_pairs_deal_out_prefixes_only(spark):
     assert sorted((x.a, x.b) for x in found) == [(i, 100 + i) for i in range(0, 50, 10)]
     assert all(x.similarity == round(391 / 401, 6) for x in found)
     assert 0 < dealt() - before < 2 * 396 * len(rows)
+
+
+def test_postings_count_terms_in_their_row(spark):
+    """Fewer rows are shuffled than there are occurrences; items of one id and length count as one."""
+    rows = [(i, ["a", "b"] * 50 + [f"c{i}"]) for i in range(100)] + [(3, ["a"] * 101), (200, None), (201, [])]
+    items = spark.createDataFrame(rows, "item_id long, terms array<string>")
+    asked = spark.createDataFrame([(1, ["a", "b", "none"])], "query_id long, terms array<string>")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    dealt = lambda: sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+    before = dealt()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {(x.term, x.item_id): x.w for x in search.postings(asked, items).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < dealt() - before < 100 * 101 / 4
+    assert set(got) == {(t, i) for t in "ab" for i in range(100)}
+    n, avg = 103, 101 * 101 / 103
+    weight = lambda tf: np.log(1 + (n - 100 + 0.5) / 100.5) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 101 / avg))
+    assert got["a", 3] == pytest.approx(weight(151)) and got["b", 3] == pytest.approx(weight(50)) and got["a", 4] == pytest.approx(weight(50))
