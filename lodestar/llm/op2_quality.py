@@ -5,15 +5,14 @@ of successive words are hashed into a fixed number of buckets; two smoothed mult
 one of trusted documents and one of all documents, give each bucket a log ratio; a document's score is the
 mean over its features, and it is kept when the score reaches the threshold.
 
-Trusted documents are labelled rows of quality 1, at most ``TRUSTED`` of them in hash order: a bounded, documented
-sample, which is why their ids may be broadcast. Raw counts cover every document. The trusted model is shrunk towards the
+Trusted documents are all labelled rows of quality 1; raw counts cover every document. The trusted model is shrunk towards the
 raw one: a bucket's ratio is its trusted count over what its raw count lets expect, with SHRINK added to both, so a
 bucket that is rare in the corpus says little whether trusted documents have it or not. Both models have BUCKETS
-entries, however large the corpus, and reach the scoring plan as one literal of thousandths, so that scores
-are sums of integers and come out the same in any order.
+entries, however large the corpus, and reach the scoring plan as a scalar subquery; ratios are whole thousandths, so that scores
+are sums of integers and come out the same in any order. Texts are cut into features once, and the features staged.
 
 The threshold is the LOSS share of the scores of trusted documents that pass the rules, each scored without its own counts in the
-trusted model, as if it were not trusted; at most JUDGED of them, in hash order, are scored for that. So the threshold moves with
+trusted model, as if it were not trusted. All of them are scored, and their percentile is exact. So the threshold moves with
 the models, and about that share of documents like the trusted ones is rejected, whatever the size of the trusted set. Without any,
 the ratio rejects none.
 
@@ -30,8 +29,10 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import stage, table
 
-BUCKETS, TRUSTED, JUDGED, SHRINK, LOSS = 1 << 16, 1 << 16, 1 << 13, 1.0, 0.01
+BUCKETS, SHRINK, LOSS = 1 << 16, 1.0, 0.01
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Trusted ids that go to every task, so that texts stay where they are; of more, both sides are shuffled.
+SENT = 1 << 22
 _SEED = 42  # of Spark's xxhash64, for the brute-force test
 
 
@@ -77,24 +78,47 @@ def features(w: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(single, F.slice(double, 1, F.greatest(F.size(w) - 1, F.lit(0))))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
+def trusted_ids(labels: DataFrame) -> DataFrame:
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-    ids = good.select(F.col("doc_id").alias("trusted_id")).distinct()
-    return ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(limit)
+    return good.select(F.col("doc_id").alias("trusted_id")).distinct()
 
 
 def _base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
 
 
-def bucket_counts(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets: int = BUCKETS) -> DataFrame:
-    """bucket, raw, good: features of each bucket in all documents and in the trusted ones."""
-    pairs = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(trusted_ids(labels)), F.col("id") == F.col("trusted_id"), "left")
-        .select(F.col("trusted_id").isNotNull().cast("int").alias("good"), words(F.col("text")).alias("w"))
-        .select("good", F.explode(features(F.col("w"), buckets)).alias("bucket"))
+def measured(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, buckets: int, keep_row: bool) -> DataFrame:
+    """doc_id, the figures of the rules, base_failed, trusted and f, the buckets of a text's features; staged, so texts are read once."""
+    trusted = stage(trusted_ids(labels), "quality-trusted")
+    if trusted.count() <= SENT:
+        trusted = F.broadcast(trusted)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.struct("*").alias("row")] * keep_row)
+    rows = rows.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
+    text = F.col("text")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    dup_lines = bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    # One struct from one bound array of words, so that each text is split once.
+    found = bound(
+        words(text),
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"), features(w, buckets).alias("f")),
+    )
+    out = rows.withColumn("m", found).select(
+        "doc_id",
+        "m.n_words",
+        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        dup_lines.cast("long").alias("n_dup_lines"),
+        "m.n_repeat_words",
+        "m.f",
+        F.col("trusted_id").isNotNull().alias("trusted"),
+        *["row"] * keep_row,
     )
+    return stage(out.withColumn("base_failed", _base_failed(F.col("n_words"), F.col("n_repeat_words"))), "quality-features")
+
+
+def bucket_counts(held: DataFrame) -> DataFrame:
+    """bucket, raw, good: features of each bucket in all documents and in the trusted ones."""
+    pairs = held.select(F.col("trusted").cast("int").alias("good"), F.explode("f").alias("bucket"))
     return pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
 
 
@@ -104,33 +128,63 @@ def bucket_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.rint(1000 * np.log((good + SHRINK) / (expected + SHRINK))).astype(np.int64)
 
 
-def own_left_out(docs: DataFrame, labels: DataFrame, raw: np.ndarray, good: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """own_score of JUDGED trusted ids at most, without their own counts, null where the rules fail; repeated rows are documents of their own.
+def with_model(rows: DataFrame, kind: str, **arrays: np.ndarray) -> DataFrame:
+    """``rows`` with arrays over the buckets as columns, by scalar subqueries, which keeps their values out of the plans' texts."""
+    one = rows.sparkSession.createDataFrame([tuple(a.tolist() for a in arrays.values())], ", ".join(f"{n} array<{kind}>" for n in arrays))
+    return rows.withColumns({n: one.select(n).scalar() for n in arrays})
+
+
+def mean_of(total: Column, f: Column) -> Column:
+    return total / F.greatest(F.size(f), F.lit(1)) / F.lit(1000.0)
+
+
+def own_left_out(held: DataFrame, raw: np.ndarray, good: np.ndarray) -> DataFrame:
+    """own_score of every trusted document that passes the rules, without its own counts; repeated rows are documents of their own."""
+    rows = with_model(held.where("trusted and not base_failed"), "double", counted=good, expected=raw * (good.sum() / max(raw.sum(), 1)))
+
+    def total(f: Column, trusted: Column, expected: Column) -> Column:
+        def told(bucket: Column, run: Column) -> Column:
+            """What ``run`` occurrences of a bucket in a document add, in thousandths."""
+            ratio = F.log((F.get(trusted, bucket) - run + SHRINK) / (F.get(expected, bucket) + SHRINK))
+            return F.when(run > 0, run * F.rint(ratio * 1000).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    Each document is scored in its own row, so only its figures leave it.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(trusted_ids(labels, JUDGED)), F.col("doc_id") == F.col("trusted_id")).select(text.alias("text"))
-    literal = lambda x: F.split(F.lit(",".join(map(repr, x.tolist()))), ",").cast("array<double>")
-    trusted, expected = literal(good), literal(raw * (good.sum() / max(raw.sum(), 1)))
-
-    def told(bucket: Column, run: Column) -> Column:
-        """What ``run`` occurrences of a bucket in a document add, in thousandths."""
-        at = lambda table_of: F.get(table_of, bucket)
-        ratio = F.log((at(trusted) - run + SHRINK) / (at(expected) + SHRINK))
-        return F.when(run > 0, run * F.rint(ratio * 1000).cast("long")).otherwise(F.lit(0).cast("long"))
-
-    def total(f: Column) -> Column:
         state = lambda bucket, run, so_far: F.struct(bucket.alias("b"), run.alias("n"), so_far.alias("s"))
         step = lambda a, x: F.when(a["b"] == x, state(a["b"], a["n"] + 1, a["s"])).otherwise(state(x, F.lit(1), a["s"] + told(a["b"], a["n"])))
         return F.aggregate(F.sort_array(f), state(F.lit(-1), F.lit(0), F.lit(0).cast("long")), step, lambda a: a["s"] + told(a["b"], a["n"]))
 
-    mean = lambda f: total(f) / F.greatest(F.size(f), F.lit(1)) / F.lit(1000.0)
-    # One value and no filter: a filter on it would be pushed below the join, and every document be scored.
-    passed = lambda w: (F.size(w) > 0) & ~_base_failed(F.size(w), repeat_words(w))
-    own = bound(words(F.col("text")), lambda w: F.when(passed(w), bound(features(w, len(raw)), mean)))
-    return rows.select(own.alias("own_score"))
+    own = F.element_at(F.zip_with(F.array("counted"), F.array("expected"), lambda t, e: total(F.col("f"), t, e)), 1)
+    return rows.select(mean_of(own, F.col("f")).alias("own_score"))
+
+
+def percentile(values: DataFrame, share: float) -> float | None:
+    """The exact percentile of a staged column, between its two nearest values; None of none.
+
+    Counts of ever narrower cells lead to the values of one cell, so neither the driver nor a task holds all values.
+    """
+    name = values.columns[0]
+    values = values.where(F.col(name).isNotNull())
+
+    def nth(k: int) -> tuple[float | None, int]:
+        here, total = values, None
+        for cell in (*(F.floor(F.col(name) * 10**d) for d in (3, 6, 9)), F.col(name)):
+            found = here.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
+            total = sum(r["n"] for r in found) if total is None else total
+            if not total:
+                return None, 0
+            k = int(share * (total - 1)) if k < 0 else k
+            for at in found:
+                if k < at["n"]:
+                    break
+                k -= at["n"]
+            here = here.where(cell == at["cell"])
+        return at["cell"], total
+
+    low, n = nth(-1)
+    if not n:
+        return None
+    place = share * (n - 1)
+    beyond = place - int(place)
+    return low if not beyond else (1 - beyond) * low + beyond * nth(int(place) + 1)[0]
 
 
 def judge(
@@ -143,49 +197,18 @@ def judge(
     keep_row: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept; the threshold is fitted unless given."""
-    counts = stage(bucket_counts(docs, labels, id_col, text_col, buckets), "quality-buckets")
+    held = measured(docs, labels, id_col, text_col, buckets, keep_row)
+    counts = bucket_counts(held).toPandas()
     raw, good = np.zeros(buckets), np.zeros(buckets)
-    for r in counts.collect():
-        raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
-    ratios = bucket_ratios(raw, good)
+    raw[counts["bucket"]], good[counts["bucket"]] = counts["raw"], counts["good"]
     if good.any() and min_score is None:
-        own = own_left_out(docs, labels, raw, good, id_col, text_col)
-        min_score = own.agg(F.percentile("own_score", F.lit(LOSS))).first()[0]
+        min_score = percentile(stage(own_left_out(held, raw, good), "quality-own"), LOSS)
     min_score = float("-inf") if min_score is None else round(min_score, 6)
-    table_of = F.split(F.lit(",".join(map(str, ratios.tolist()))), ",").cast("array<int>")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.struct("*").alias("row")] * keep_row)
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    dup_lines = bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-
-    def mean_ratio(w: Column) -> Column:
-        add = lambda a, b: a + F.element_at(table_of, b + 1)
-        return bound(
-            features(w, buckets),
-            lambda f: F.aggregate(f, F.lit(0).cast("long"), add) / F.greatest(F.size(f), F.lit(1)) / F.lit(1000.0),
-        )
-
-    # One struct from one bound array of words: a filter on it, pushed down, still splits each text once.
-    found = bound(
-        words(text),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"), mean_ratio(w).alias("score")
-        ),
-    )
-    measured = rows.withColumn("m", found).select(
-        "doc_id",
-        "m.n_words",
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        dup_lines.cast("long").alias("n_dup_lines"),
-        "m.n_repeat_words",
-        "m.score",
-        *["row"] * keep_row,
-    )
-    failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return measured.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("score") >= F.lit(min_score))
-    )
+    add = lambda t: lambda a, b: a + F.get(t, b)
+    total = bound(F.col("ratios"), lambda t: F.aggregate(F.col("f"), F.lit(0).cast("long"), add(t)))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    scored = with_model(held, "int", ratios=bucket_ratios(raw, good)).select(*names, mean_of(total, F.col("f")).alias("score"), *["row"] * keep_row, "base_failed")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(min_score)))
 
 
 def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -197,6 +197,33 @@ def test_op2_keeps_held_out_documents(spark, table):
     assert good.kept.mean() >= 0.95 and bad.kept.mean() <= (0.06 if table == "sf0.01" else 0.02)
 
 
+def test_op2_threshold_is_of_all_trusted_documents(spark):
+    """More trusted documents than the 8,192 that the threshold was once taken from, and a fifth of all raw."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcdefgh") + r.choice("klm"[: 1 + i % 3]) for _ in range(50 + i % 7))) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = op2_quality.measured(docs, docs.selectExpr("doc_id", "int(doc_id % 5 > 0) as quality"), "doc_id", "text", 512, False)
+    raw, good, slots, known = np.zeros(512), np.zeros(512), [], {}
+    for i, text in rows:
+        w = text.split()
+        keys = [(x,) for x in w] + list(zip(w, w[1:]))
+        slots.append(np.bincount([known[k] if k in known else known.setdefault(k, xx(*k) % 512) for k in keys], minlength=512))
+        raw, good = raw + slots[-1], good + slots[-1] * (i % 5 > 0)
+    expected = raw * (good.sum() / raw.sum())
+    failed = {x.doc_id for x in held.where("base_failed").select("doc_id").collect()}
+    trusted = [s for (i, _), s in zip(rows, slots) if i % 5 and i not in failed]
+    own = np.array([(s * np.rint(1000 * np.log((good - s + 1) / (expected + 1)))).sum() / s.sum() / 1000 for s in trusted])
+    found = op2_quality.stage(op2_quality.own_left_out(held, raw, good), "test-own")
+    assert np.allclose(sorted(x[0] for x in found.collect()), sorted(own), atol=1e-9) and len(own) > 8192
+    assert all(op2_quality.percentile(found, share) == pytest.approx(np.quantile(own, share), abs=1e-9) for share in (0, 0.01, 0.37, 1))
+
+
+def test_op2_joins_many_trusted_ids_alike(docs, labels, monkeypatch):
+    sent = op2_quality.judge(docs, labels).collect()
+    monkeypatch.setattr(op2_quality, "SENT", 0)
+    same_rows(op2_quality.judge(docs, labels).collect(), sent)
+
+
 def test_op2_without_labels_or_rows(docs, labels):
     assert all(r.score == 0 for r in op2_quality.judge(docs, labels.limit(0)).collect())
     assert op2_quality.judge(docs.limit(0), labels).count() == 0
