@@ -224,6 +224,11 @@ def test_op2_joins_many_trusted_ids_alike(docs, labels, monkeypatch):
     same_rows(op2_quality.judge(docs, labels).collect(), sent)
 
 
+def test_op2_plans_do_not_spell_out_the_model(docs, labels):
+    """Plans are written out on the driver again and again."""
+    assert len(op2_quality.judge(docs, labels)._jdf.queryExecution().toString()) < 200_000
+
+
 def test_op2_without_labels_or_rows(docs, labels):
     assert all(r.score == 0 for r in op2_quality.judge(docs, labels.limit(0)).collect())
     assert op2_quality.judge(docs.limit(0), labels).count() == 0
