@@ -18,6 +18,9 @@ is a metric: members within (1 - SIMILARITY) / 2 of one centre are all similar t
 unit: its links are counted without pairs, buckets that hold nothing but one ball vanish like those of one node, and
 a leaf that mixes it with other nodes compares those with the ball, not the ball with itself.
 
+A cluster that is spread wider than a ball fills many large leaves, which overlap. Where that asks for fewer pairs, its nodes in
+them are a hub: compared with each other once, in a leaf of the hub's own, while the other leaves take the hub as one unit.
+
 Leaves of equal members are judged once (members are compared by 128 bits). A pair is verified only in the least leaf that
 both share, so it counts once without any list of pairs. A leaf yields one row per node: links, and an edge to the least
 node it is joined to within the leaf. Leaves larger than a block are cut into blocks, and pairs of blocks are
@@ -152,8 +155,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
     return rows.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), "tokens binary"]))
 
 
-def balls_of(docs: DataFrame, nodes: DataFrame, live: DataFrame, hot: DataFrame, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, ball) of nodes so near the centre of a large bucket that all of one ball are similar; ball is its least node."""
+def centred_on(docs: DataFrame, nodes: DataFrame, live: DataFrame, hot: DataFrame, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, centre_key, ball) of nodes in large buckets: ball, its least node, of those so near their centre that all of one ball are similar."""
     members = live.join(hot, "path")
     # A node is compared with one centre only: that of the largest bucket it is in.
     chosen_path = members.groupBy("node").agg(F.min(F.struct((-F.col("members")).alias("m"), "path")).alias("best"))
@@ -177,11 +180,38 @@ def balls_of(docs: DataFrame, nodes: DataFrame, live: DataFrame, hot: DataFrame,
                 a, c = np.frombuffer(raw, np.uint64), np.frombuffer(middle_raw, np.uint64)
                 shared = len(np.intersect1d(a, c, assume_unique=True))
                 keep.append(shared >= (1 + similarity) / 2 * (len(a) + len(c) - shared) + 1e-9)
-            yield batch.loc[keep, ["node", "centre_key"]]
+            yield batch[["node", "centre_key"]].assign(near=keep)
+
+    told = stage(sets.join(stage(centres, "centres"), "path").mapInPandas(near, "node long, centre_key binary, near boolean"), "near-centres", done=[sets, mine])
+    least = told.where("near").groupBy("centre_key").agg(F.min("node").alias("ball"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return stage(told.join(least, "centre_key", "left").select("node", "centre_key", F.when(F.col("near"), F.col("ball")).alias("ball")), "centred", done=[told])
+
 
-    inside = stage(sets.join(stage(centres, "centres"), "path").mapInPandas(near, "node long, centre_key binary"), "near-centres", done=[sets, mine])
-    least = inside.groupBy("centre_key").agg(F.min("node").alias("ball"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return stage(inside.join(least, "centre_key").select("node", "ball"), "balls", done=[inside])
+def with_hubs(leaves: DataFrame, centred: DataFrame, block: int) -> DataFrame:
+    """``leaves`` with the hubs among their nodes as units, and a leaf for each hub.
+
+    A leaf larger than a block goes by the centre that most of its nodes have, a unit by that of most of its large leaves. The units of
+    one centre are a hub if together they make fewer pairs than in all those leaves. Its leaf has a negative path, the others
+    none, so it is the least that two of its nodes share.
+    """
+    leaves = leaves.withColumn("path", F.shiftrightunsigned("path", 1))
+    n = F.count(F.lit(1)).alias("n")
+    large = stage(leaves.where(F.col("members") > block).select("path", "node", "unit"), "large-leaves")
+    if large.isEmpty():
+        return leaves
+    of_path = large.join(centred, "node").groupBy("path", "centre_key").agg(n).groupBy("path").agg(F.max_by("centre_key", F.struct("n", "centre_key")).alias("centre"))
+    of_unit = large.join(of_path, "path").groupBy("unit", "centre").agg(n).groupBy("unit").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
+    of_unit = stage(of_unit, "unit-centres")
+    apart = large.join(of_unit, "unit").groupBy("path", "centre").agg(n).groupBy("centre").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    # A ball comes whole, with its nodes that are in no large leaf.
+    every = large.select("node", "unit").unionByName(centred.where("ball is not null").select("node", F.col("ball").alias("unit"))).distinct().join(of_unit, "unit")
+    whole = every.groupBy("centre").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub"))
+    whole = whole.join(apart, "centre").where(F.col("members") * F.col("members") < F.col("apart")).select("centre", "hub", "members")
+    hubs = stage(every.join(whole, "centre").select("node", "hub", "members", "unit"), "hubs", done=[large])
+    units = leaves.join(hubs.select("node", "hub"), "node", "left").select("path", "node", F.coalesce("hub", "unit").alias("unit"), "members")
+    own = hubs.select((-1 - F.col("hub")).alias("path"), "node", "unit", "members")
+    mixed = units.groupBy("path").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high")
+    return units.join(mixed, "path", "left_semi").unionByName(own)
 
 
 def leaves_of(nodes: DataFrame, first: DataFrame, balls: DataFrame, similarity: float, depth: int, small: int, pool: float) -> DataFrame:
@@ -353,8 +383,11 @@ def similar_sets(
     if hot.isEmpty():
         balls = hot.select(F.col("path").alias("node"), F.col("path").alias("ball"))
     else:
-        balls = balls_of(docs, nodes, first, hot, similarity, words, id_col, text_col)
+        centred = centred_on(docs, nodes, first, hot, similarity, words, id_col, text_col)
+        balls = centred.where("ball is not null").select("node", "ball")
     leaves = stage(leaves_of(nodes, first, balls, similarity, depth, small, pool), "leaves")
+    if not hot.isEmpty():
+        leaves = stage(with_hubs(leaves, centred, block), "leaves", done=[leaves])
     held = leaves.groupBy("node").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     known = stage(held.join(nodes.select("node", "n", "pool"), "node"), "leaf-nodes")
 
@@ -375,11 +408,11 @@ def similar_sets(
 
     keys = "path long, i long, j long, side long, node long, unit long"
     candidates = stage(together(blocked(leaves, block).join(known, "node")).mapInPandas(rough, keys), "candidates", done=[leaves])
-    spots = ["path", "i", "j", "side"]
-    places = candidates.groupBy("node", "unit").agg(F.collect_list(F.struct(*spots)).alias("at")).select("node", "unit", *[F.col(f"at.{c}").alias(c) for c in spots])
+    spots = ["path", "i", "j", "side", "unit"]
+    places = candidates.groupBy("node").agg(F.collect_list(F.struct(*spots)).alias("at")).select("node", *[F.col(f"at.{c}").alias(c) for c in spots])
     wanted = places.join(known.select("node", "paths"), "node").join(nodes.select("node", "row_key", "copies"), "node")
-    sets = full_sets(docs, wanted, id_col, text_col, words, ["node", "unit", "copies", "paths", *spots])
-    alone = ["node", "unit", "copies", "paths", "tokens"]
+    sets = full_sets(docs, wanted, id_col, text_col, words, ["node", "copies", "paths", *spots])
+    alone = ["node", "copies", "paths", "tokens"]
     placed = sets.select(*alone, F.explode(F.arrays_zip(*spots)).alias("at")).select("at.*", *alone)
 
     def verify_one(path, i, j, g) -> list[tuple]:

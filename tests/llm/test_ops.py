@@ -119,6 +119,20 @@ def test_op1_many_near_copies_without_their_square(spark, n, others):
     assert all(got[i].class_id == (0 if want[i] else i) for i in range(len(texts)))
 
 
+def test_op1_wide_clusters_meet_once(spark, monkeypatch):
+    base, rows = prose(150, 63).split(), []
+    for k in range(400):
+        at = {(37 * k + 31 * i) % 150 for i in range(5)} if k % 4 else {(7 * k) % 150}
+        rows.append((k, " ".join(f"w{k}" if i in at else w for i, w in enumerate(base))))
+    df, seen, blocked = spark.createDataFrame(rows, "doc_id long, text string"), [], op1_jaccard.blocked
+    monkeypatch.setattr(op1_jaccard, "blocked", lambda leaves, block: seen.append((leaves.where("members > 40").count(), blocked(leaves, block).count())) or blocked(leaves, block))
+    got = {r.doc_id: r for r in op1_jaccard.similar_sets(df, small=10, block=40).collect()}
+    links = brute_join([t for _, t in rows])
+    assert {i: r.n_links for i, r in got.items()} == {i: len(x) for i, x in enumerate(links)}
+    # The cluster's one leaf, each of whose nodes goes to ten blocks at most; the leaves that overlap gave 6 or more rows for each of these.
+    assert seen[0][1] <= 11 * len(rows), seen
+
+
 def test_op1_stage_keeps_one_of_each(docs, spark):
     out = op1_jaccard.near_dup_stage(docs)
     assert out.columns == docs.columns
