@@ -53,6 +53,8 @@ WORDS, SIMILARITY, RECALL, DEPTH, SMALL, POOL, BLOCK = 5, 0.8, 0.9999, 3, 128, 9
 ROUGH = 0.5
 #: Members of a bucket from which its centre is made.
 CENTRE = 32
+#: Hashes of wanted rows that go to every task, so that only those rows' texts are shuffled; of more, all texts are.
+SENT = 1 << 22
 
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -142,6 +144,14 @@ def met(entries: DataFrame) -> DataFrame:
     return beside.where("before is not null or after is not null").select("path", "node")
 
 
+def only(texts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Of ``texts``, those whose key may be in ``wanted``, by its hash, before a join that tells for sure; all, if too many are wanted."""
+    hashes = stage(wanted.select(F.xxhash64(key).alias("hash")).distinct(), "wanted")
+    if hashes.count() > SENT:
+        return texts
+    return texts.withColumn("hash", F.xxhash64(key)).join(F.broadcast(hashes), "hash", "left_semi").drop("hash")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, columns: list[str]) -> DataFrame:
     """``columns`` of (row_key, ...), a row per key, with the shingles of its text as ``tokens``."""
 
@@ -151,7 +161,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
 
     texts = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     kinds = dict(wanted.dtypes)
-    rows = texts.join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", *columns)
+    rows = only(texts, wanted, "row_key").join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", *columns)
     return rows.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), "tokens binary"]))
 
 
@@ -485,7 +495,7 @@ def near_dup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("kept_key"), worded.alias("worded"))
     repeat = F.row_number().over(Window.partitionBy("kept_key").orderBy(F.lit(1)))
-    ones = rows.where("worded").join(kept, "kept_key").withColumn("repeat", repeat).where("repeat = 1").select("row.*")
+    ones = only(rows.where("worded"), kept, "kept_key").join(kept, "kept_key").withColumn("repeat", repeat).where("repeat = 1").select("row.*")
     return ones.unionByName(rows.where("not worded").select("row.*"))
 
 

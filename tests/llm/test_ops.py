@@ -133,6 +133,15 @@ def test_op1_wide_clusters_meet_once(spark, monkeypatch):
     assert seen[0][1] <= 11 * len(rows), seen
 
 
+def test_op1_sends_only_wanted_texts(spark, monkeypatch):
+    texts = spark.range(9).selectExpr("concat('k', id) AS key", "'x' AS text")
+    wanted = spark.createDataFrame([("k3",), ("k7",), ("k7",), ("none",)], "key string")
+    assert {r.key for r in op1_jaccard.only(texts, wanted, "key").collect()} == {"k3", "k7"}
+    assert "ShuffledHash" not in (plan := op1_jaccard.only(texts, wanted, "key")._jdf.queryExecution().toString()) and "SortMergeJoin" not in plan
+    monkeypatch.setattr(op1_jaccard, "SENT", 1)
+    assert op1_jaccard.only(texts, wanted, "key").count() == 9
+
+
 def test_op1_stage_keeps_one_of_each(docs, spark):
     out = op1_jaccard.near_dup_stage(docs)
     assert out.columns == docs.columns
