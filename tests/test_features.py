@@ -108,6 +108,17 @@ def test_pruned_search_gives_what_scoring_all_gives(spark, k):
     assert search.bm25_top(q.limit(0), d, k).count() == 0 and search.bm25_top(q, d.limit(0), k).count() == 0
 
 
+def test_search_is_done_once_and_counts_only_terms_asked(spark):
+    q = spark.createDataFrame([(1, ["a", "b"])], "query_id long, terms array<string>")
+    d = spark.createDataFrame([(5, ["a", "x", "a"]), (6, ["y"]), (7, None)], "item_id long, terms array<string>")
+    found = search.bm25_top(q, d, 3)
+    assert "MapIn" not in found._jdf.queryExecution().optimizedPlan().toString() and [r.item_id for r in found.collect()] == [5]
+    rows = d.select("item_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).coalesce(1).mapInArrow(
+        lambda batches: search._counted(batches, ["", "a", "b"]), "term string, item_id long, length int, tf long"
+    )
+    assert sorted(map(tuple, rows.collect())) == [("", 5, 3, 1), ("", 6, 1, 1), ("", 7, 0, 1), ("a", 5, 3, 2)]
+
+
 def test_pruned_search_in_blocks_and_groups(spark, monkeypatch):
     r = random.Random(5)
     items = [(f"é{i % 90}:{i}", r.choices("abcdefgh", [9, 8, 5, 3, 2, 1, 1, 1], k=r.randrange(0, 30))) for i in range(600)]
