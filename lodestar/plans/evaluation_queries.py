@@ -111,7 +111,7 @@ def eval_aggregate(spark, sf):
 
 
 def eval_table_sorted(spark, sf):
-    s = _scores(spark, sf)
+    s = staged(_scores(spark, sf).select("query_id", "context_precision", "answer_relevance"), "scores")
     a = s.select(F.lit("retrieval").alias("part"), "query_id", F.round("context_precision", 6).alias("context_precision"))
     b = s.select(F.lit("answer").alias("part"), "query_id", F.round("answer_relevance", 6).alias("answer_relevance"))
     return observe.sorted_union([a, b])
