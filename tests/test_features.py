@@ -375,3 +375,12 @@ def test_order_of_a_pair_is_its_hash(spark):
         want = "a" if len(a) > len(b) else "b" if len(b) > len(a) else "tie"
         assert got[i] == ("b" if zlib.crc32(f"order:{i}".encode()) % 2 else "a", want)
     assert {x for x, _ in got.values()} == {"a", "b"}
+
+
+def test_rows_beyond_a_part_of_a_batch_are_all_read(spark):
+    n = 2 * ingest.ROWS + 5
+    rows = [(f"{i}.md", None if i % 7 == 0 else f"t{i}é".encode() + b"\xff") for i in range(n)]
+    got = {r.name: r.text for r in ingest.load_text(spark.createDataFrame(rows, "name string, content binary").coalesce(1)).collect()}
+    assert got == {f"{i}.md": None if i % 7 == 0 else f"t{i}é" for i in range(n)}
+    docs = spark.createDataFrame([(i, f"One of {i}. Two of {i}.") for i in range(n)], "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in ingest.chunk_topics(docs).collect()) == list(range(n))
