@@ -214,6 +214,29 @@ def test_stream_collection_keeps_a_text_that_the_added_word_cancels(spark, tmp_p
     assert {(r.doc_id, r.dimension, r.tokens) for r in got} == {(1, 64, 2), (2, 64, 3)}
 
 
+def test_stream_collection_reads_a_table_in_as_many_files_as_it_has_and_never_both_times_at_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} two") for i in range(12)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, drain = [], streams.drain
+
+    def watched(stream, name, merge):
+        def told(batch, number):
+            rows = batch.select("text", F.input_file_name().alias("file")).collect()
+            seen.append((len({r.file for r in rows}), {r.text.endswith(" again") for r in rows}))
+            merge(batch, number)
+
+        drain(stream, name, told)
+
+    monkeypatch.setattr(streams, "drain", watched)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = stream_queries.stream_collection(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x for _, x in seen] == [{False}, {True}] and all(n > 1 for n, _ in seen), seen
+    assert sorted((r.doc_id, r.tokens) for r in got) == [(i, 3) for i in range(12)]
+
+
 # Streams -----------------------------------------------------------------------------------------------------------
 
 
