@@ -121,8 +121,9 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 
 def entries_of(rows: DataFrame, similarity: float, runs: int, pool: float) -> DataFrame:
-    """(path, node) of the buckets that each node of (node, n, pool) enters, from ``path`` if there is one."""
+    """(path, node) of the buckets that each node of (node, n, pool) enters, from ``path`` if there is one; with ``unit``, if there is one."""
     start = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    names = ["node", "unit"] if "unit" in rows.columns else ["node"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,16 +133,25 @@ def entries_of(rows: DataFrame, similarity: float, runs: int, pool: float) -> Da
                 for raw, n, path in zip(batch["pool"], batch["n"], paths)
             ]
             if got:
-                yield pd.DataFrame({"path": as_long(np.concatenate(got)), "node": np.repeat(batch["node"].to_numpy(), [len(p) for p in got])})
+                times = [len(p) for p in got]
+                yield pd.DataFrame({"path": as_long(np.concatenate(got)), **{c: np.repeat(batch[c].to_numpy(), times) for c in names}})
 
-    return rows.mapInPandas(run, "path long, node long")
+    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in ["path", *names]))
 
 
 def met(entries: DataFrame) -> DataFrame:
-    """The entries whose bucket holds another node; one shuffle, no counts."""
-    of_path = Window.partitionBy("path").orderBy("node")
-    beside = entries.withColumn("before", F.lag("node").over(of_path)).withColumn("after", F.lead("node").over(of_path))
-    return beside.where("before is not null or after is not null").select("path", "node")
+    """The entries whose bucket holds another node, with its number of members; one shuffle, no join."""
+    return entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("path"))).where("members > 1")
+
+
+def mixed(entries: DataFrame) -> DataFrame:
+    """The entries (path, node, unit) whose bucket holds another unit, with its number of members and 128 bits that stand for them; one shuffle, no join."""
+    of_path = Window.partitionBy("path")
+    told = {
+        "members": F.count(F.lit(1)), "low": F.min("unit"), "high": F.max("unit"),
+        "a": F.bit_xor(F.xxhash64("node")), "b": F.bit_xor(F.xxhash64("node", F.lit(1))),
+    }
+    return entries.withColumns({c: x.over(of_path) for c, x in told.items()}).where("low <> high").drop("low", "high")
 
 
 def only(texts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -165,11 +175,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
     return rows.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), "tokens binary"]))
 
 
-def centred_on(docs: DataFrame, nodes: DataFrame, live: DataFrame, hot: DataFrame, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, centre_key, ball) of nodes in large buckets: ball, its least node, of those so near their centre that all of one ball are similar."""
-    members = live.join(hot, "path")
+def centred_on(docs: DataFrame, nodes: DataFrame, hot: DataFrame, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, centre_key, ball) of the nodes of large buckets, ``hot`` (path, node, members): ball, its least node, of those so near their centre that all of one ball are similar."""
     # A node is compared with one centre only: that of the largest bucket it is in.
-    chosen_path = members.groupBy("node").agg(F.min(F.struct((-F.col("members")).alias("m"), "path")).alias("best"))
+    chosen_path = hot.groupBy("node").agg(F.min(F.struct((-F.col("members")).alias("m"), "path")).alias("best"))
     mine = stage(chosen_path.select("node", F.col("best.path").alias("path")), "hot-nodes")
     wanted = mine.join(nodes.select("node", "row_key"), "node").select("node", "path", "row_key")
     sets = stage(full_sets(docs, wanted, id_col, text_col, words, ["node", "path"]), "hot-sets")
@@ -220,8 +229,9 @@ def with_hubs(leaves: DataFrame, centred: DataFrame, block: int) -> DataFrame:
     hubs = stage(every.join(whole, "centre").select("node", "hub", "members", "unit"), "hubs", done=[large])
     units = leaves.join(hubs.select("node", "hub"), "node", "left").select("path", "node", F.coalesce("hub", "unit").alias("unit"), "members")
     own = hubs.select((-1 - F.col("hub")).alias("path"), "node", "unit", "members")
-    mixed = units.groupBy("path").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high")
-    return units.join(mixed, "path", "left_semi").unionByName(own)
+    of_path = Window.partitionBy("path")
+    seen = units.withColumns({"low": F.min("unit").over(of_path), "high": F.max("unit").over(of_path)})
+    return seen.where("low <> high").drop("low", "high").unionByName(own)
 
 
 def leaves_of(nodes: DataFrame, first: DataFrame, balls: DataFrame, similarity: float, depth: int, small: int, pool: float) -> DataFrame:
@@ -231,24 +241,19 @@ def leaves_of(nodes: DataFrame, first: DataFrame, balls: DataFrame, similarity:
     """
     alone = nodes.select("node", F.col("node").alias("unit"))
     units = alone.unionByName(balls.select("node", F.col("ball").alias("unit"))).groupBy("node").agg(F.min("unit").alias("unit"))
-    units, level, lives, ends = stage(units, "units"), first, [], []
+    units, ends = stage(units, "units"), []
+    level, done = first.select("path", "node").join(units, "node").select("path", "node", "unit"), [first]
     for at in range(1, depth + 1):
-        live = stage(level.join(units, "node").select("path", "node", "unit"), "buckets", done=[level])
-        seen = live.groupBy("path").agg(
-            F.count(F.lit(1)).alias("members"), F.min("unit").alias("low"), F.max("unit").alias("high"),
-            F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"),
-        )
-        seen = stage(seen.where("low <> high").drop("low", "high"), "bucket-sets")
-        lives.append(live)
-        ends.append(seen if at == depth else seen.where(F.col("members") <= small))
-        if at < depth:
-            large = seen.where(F.col("members") > small).select("path")
-            if large.isEmpty():
-                break
-            rows = live.join(large, "path").select("path", "node").join(nodes.select("node", "n", "pool"), "node")
-            level = stage(met(entries_of(rows, similarity, 1, pool)), "met")
-    lives, ends = functools.reduce(DataFrame.unionByName, lives), functools.reduce(DataFrame.unionByName, ends)
-    return lives.join(ends.groupBy("members", "a", "b").agg(F.min("path").alias("path")).select("path", "members"), "path")
+        live = stage(mixed(level), "buckets", done=done)
+        ends.append(live if at == depth else live.where(F.col("members") <= small))
+        large = live.where(F.col("members") > small)
+        if at == depth or large.isEmpty():
+            break
+        rows = large.select("path", "node", "unit").join(nodes.select("node", "n", "pool"), "node")
+        level, done = entries_of(rows, similarity, 1, pool), []
+    # Leaves of equal members get one path, so their rows fall together.
+    leaf = F.xxhash64("members", "a", "b").alias("path")
+    return functools.reduce(DataFrame.unionByName, ends).select(leaf, "node", "unit", "members").distinct()
 
 
 def blocked(leaves: DataFrame, block: int) -> DataFrame:
@@ -389,14 +394,15 @@ def similar_sets(
     )
     nodes = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     first = stage(met(entries_of(nodes.select("node", "n", "pool"), similarity, runs_needed(recall, depth), pool)), "met")
-    hot = stage(first.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block), "hot-buckets")
-    if hot.isEmpty():
-        balls = hot.select(F.col("path").alias("node"), F.col("path").alias("ball"))
+    hot = first.where(F.col("members") > block)
+    any_hot = not hot.isEmpty()
+    if not any_hot:
+        balls = nodes.select("node", F.col("node").alias("ball")).limit(0)
     else:
-        centred = centred_on(docs, nodes, first, hot, similarity, words, id_col, text_col)
+        centred = centred_on(docs, nodes, hot, similarity, words, id_col, text_col)
         balls = centred.where("ball is not null").select("node", "ball")
     leaves = stage(leaves_of(nodes, first, balls, similarity, depth, small, pool), "leaves")
-    if not hot.isEmpty():
+    if any_hot:
         leaves = stage(with_hubs(leaves, centred, block), "leaves", done=[leaves])
     held = leaves.groupBy("node").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     known = stage(held.join(nodes.select("node", "n", "pool"), "node"), "leaf-nodes")

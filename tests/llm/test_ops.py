@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -133,6 +134,22 @@ def test_op1_wide_clusters_meet_once(spark, monkeypatch):
     assert seen[0][1] <= 11 * len(rows), seen
 
 
+def test_op1_buckets_and_leaves_are_told_without_joins_by_path(spark, monkeypatch):
+    base, plans, stage = prose(150, 64).split(), [], op1_jaccard.stage
+    rows = [(k, " ".join(f"w{k}" if i in {(37 * k + 31 * m) % 150 for m in range(4)} else w for i, w in enumerate(base))) for k in range(120)]
+
+    def told(df, name, done=()):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stage(df, name, done)
+
+    monkeypatch.setattr(op1_jaccard, "stage", told)
+    got = {r.doc_id: r.n_links for r in op1_jaccard.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), small=10, block=40).collect()}
+    assert got == {i: len(x) for i, x in enumerate(brute_join([t for _, t in rows]))}
+    # Only centres, the centre of most of a leaf, and the pairs of blocks are looked up by path.
+    found = {name for name, plan in plans if re.search(r"Join \w+, .*path#\d+L? = path#\d+L?", plan)}
+    assert found <= {"near-centres", "unit-centres", "candidates"} and "candidates" in found, found
+
+
 def test_op1_sends_only_wanted_texts(spark, monkeypatch):
     texts = spark.range(9).selectExpr("concat('k', id) AS key", "'x' AS text")
     wanted = spark.createDataFrame([("k3",), ("k7",), ("k7",), ("none",)], "key string")
