@@ -60,17 +60,13 @@ def stream_rate_limit(spark, sf):
 
 
 def stream_collection(spark, sf):
-    """Documents that stream in, a set of files at a time, into a collection: chunked, embedded, and put in place of their earlier points."""
-    path = streams.shared(spark, "documents")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    docs.write.parquet(path)
-    files = len(spark.read.parquet(path).inputFiles())
-    # Then every document comes again, with a word more; no batch has files of both times.
-    docs.withColumn("text", F.concat("text", F.lit(" again"))).write.mode("append").parquet(path)
+    """Documents that stream in from the files of their table into a collection: chunked, embedded, and put in place of their earlier points."""
     held = Collection(spark, streams.shared(spark, "collection"), vectors.DIMENSION, buckets=16)
     made = lambda batch: ingest.embedded(ingest.points(ingest.chunk_words(batch), F.col("doc_id").cast("string")))
-    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", files).parquet(path)
-    streams.drain(stream, "collection", lambda batch, number: held.upsert(made(batch)) and None)
+    docs = streams.read_table(spark, f"{sf}/documents.parquet").select("doc_id", "text")
+    # The second time, every document has a word more.
+    for name, stream in (("collection", docs), ("collection-again", docs.withColumn("text", F.concat("text", F.lit(" again"))))):
+        streams.drain(stream, name, lambda batch, number: held.upsert(made(batch)) and None)
     return held.read().select("doc_id", "chunk_id", "point_id", "tokens", F.size("embedding").alias("dimension"), F.md5("chunk_text").alias("chunk_md5"))
 
 

@@ -38,8 +38,9 @@ class Manifest:
 class Collection:
     """Points of one dimension in buckets by hash of their document, so that a batch rewrites only what it touches.
 
-    A version is a manifest: one file that names a folder for each bucket. A batch reads the buckets of its documents,
-    writes them anew into a folder of its own, and commits by giving the next manifest its name, which fails if
+    A version is a manifest: one file that names a folder for each bucket. A batch is written by bucket into a folder of its own, from
+    where its rows are, so texts are not dealt out. That folder is the new bucket where no earlier point stays; where one does, the bucket
+    is written anew from both. The batch commits by giving the next manifest its name, which fails if
     another writer has taken it. Then the batch is put on top of that version: only buckets that the other has
     changed are merged again. Readers see a whole version, never a part of one. Folders that the last KEEP versions no longer name
     go after a commit; what a failed writer left goes with ``vacuum``. A point belongs to one document for good.
@@ -119,36 +120,68 @@ class Collection:
         found = self._table(now, of)
         return self.read().limit(0) if found is None else found.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
 
-    def _merged(self, rows: DataFrame, base: Manifest, of: list[int], by_document: bool) -> dict[int, str | None]:
-        """Writes the buckets anew; where each of them is now."""
-        new = rows.where(F.col("_bucket").isin(of)).drop("_bucket")
-        old = self._table(base, of)
-        both = new.dropDuplicates(["point_id"]) if old is None else ingest.upsert(old, new, "point_id", by_group="doc_id" if by_document else None)
+    def _made(self, folder: str) -> dict[int, str]:
+        """The buckets that a folder has points of."""
+        names = [s.getPath().getName() for s in self._listed(folder)]
+        return {int(n[8:]): f"{folder}/{n}" for n in names if n.startswith("_bucket=")}
+
+    def _drop(self, name: str) -> None:
+        where, files = self._where(name)
+        files.delete(where, True)
+
+    def _merged(self, rows: DataFrame, base: Manifest, of: list[int], by_document: bool) -> dict[int, str]:
+        """Writes those of the buckets anew where earlier points stay, or a point comes twice; where each of them is now.
+
+        Which these are is found by ids alone; any other bucket has the batch's rows and nothing else.
+        """
+        new, old, key = rows.where(F.col("_bucket").isin(of)), self._table(base, of), "doc_id" if by_document else "point_id"
+        twice = new.groupBy("point_id").count().where("count > 1")
+        mixed = new.select("point_id", "_bucket").join(twice, "point_id", "left_semi").select("_bucket")
+        if old is not None:
+            stay = old.select("doc_id", "point_id").join(new.select(key).distinct(), key, "left_anti")
+            mixed = mixed.union(stay.select(self._bucket(base.buckets)))
+        anew = sorted(r["_bucket"] for r in mixed.distinct().collect())
+        if not anew:
+            return {}
+        new = new.where(F.col("_bucket").isin(anew)).drop("_bucket")
+        old = self._table(base, anew)
+        both = ingest.upsert(new.limit(0) if old is None else old, new, "point_id", by_group="doc_id" if by_document else None)
         folder = f"data/{uuid.uuid4().hex}"
         both.withColumn("_bucket", self._bucket(base.buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-        made = {s.getPath().getName() for s in self._listed(folder)}
-        return {b: f"{folder}/_bucket={b}" if f"_bucket={b}" in made else None for b in of}
+        return self._made(folder)
 
     def upsert(self, new: DataFrame, by_document: bool = True) -> DataFrame | None:
         """Insert or replace by point, and whole documents too unless told not to; a wrong dimension is an error."""
         base = self.manifest()
         checked = new.withColumn("embedding", vectors.checked(F.col("embedding"), self.dimension))
-        rows = staged(checked.withColumn("_bucket", self._bucket(base.buckets)), "collection-batch")
-        touched = todo = sorted(r["_bucket"] for r in rows.select("_bucket").distinct().collect())
-        made: dict[int, str | None] = {}
+        if (held := self._table(base)) is not None:
+            # Of the collection's columns and types, also where no earlier point stays.
+            checked = held.limit(0).unionByName(checked)
+        rows, folder = checked.withColumn("_bucket", self._bucket(base.buckets)), f"data/{uuid.uuid4().hex}"
+        rows.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        came = self._made(folder)
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}")
+        touched = todo = sorted(came)
+        made: dict[int, str] = {}
         for _ in range(self.TRIES if touched else 0):
-            made |= self._merged(rows, base, todo, by_document)
-            folders = {b: f for b, f in (base.folders | made).items() if f}
+            made |= {b: came[b] for b in todo} | self._merged(rows, base, todo, by_document)
+            folders = base.folders | made
             try:
                 self._commit(Manifest(base.version + 1, base.buckets, base.schema or checked.schema.json(), folders))
-                self._retire()
-                return self.read()
             except Conflict:
                 latest = self.manifest()
                 todo = [b for b in touched if latest.folders.get(b) != base.folders.get(b)]
                 base = latest
+                continue
+            # What was written anew is not read from the batch's folder.
+            left = [f for b, f in came.items() if made[b] != f]
+            for name in left if len(left) < len(came) else [folder]:
+                self._drop(name)
+            self._retire()
+            return self.read()
         if touched:
             raise Conflict(f"{self.path}: {self.TRIES} commits were lost to other writers")
+        self._drop(folder)
         return self.read()
 
     def _retire(self) -> None:
@@ -157,10 +190,8 @@ class Collection:
         kept = {f for v in versions[-self.KEEP :] for f in self._load(v).folders.values()}
         for v in versions[: -self.KEEP]:
             for f in set(self._load(v).folders.values()) - kept:
-                where, files = self._where(f)
-                files.delete(where, True)
-            where, files = self._where(f"_manifests/{v:08d}.json")
-            files.delete(where, False)
+                self._drop(f)
+            self._drop(f"_manifests/{v:08d}.json")
 
     def vacuum(self, hours: float = 24) -> int:
         """Delete folders of that age that no version names: what failed writers have left. Returns their number."""

@@ -10,12 +10,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar import session
 from lodestar.functions import vectors
 from lodestar.operators import citations, ingest, observe, search
 from lodestar.plans import retrieval_queries, stream_queries
 from lodestar.sources import writers
 from lodestar.streaming import streams
 
+
+def dealt(spark):
+    """Bytes shuffled so far."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    return sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+
+
 # Collections -------------------------------------------------------------------------------------------------------
 
 
@@ -92,6 +100,18 @@ def test_a_writer_that_loses_the_race_comes_after_the_other(spark, tmp_path, oth
         one._commit(writers.Manifest(one.manifest().version, 4, "", {}))
 
 
+def test_a_batch_is_written_once_and_leaves_no_folder_that_no_version_names(spark, tmp_path):
+    c = writers.Collection(spark, str(tmp_path / "c"), 2, buckets=2)
+    c.upsert(points_of(spark, [(d, 0, "first") for d in range(9)] + [(8, 0, "first")]))
+    assert len(held(c)) == 9
+    # Some earlier points stay in both buckets, a point comes twice, and a new document fills no bucket alone.
+    c.upsert(points_of(spark, [(d, 0, "second") for d in range(4)] + [(3, 0, "second"), (50, 1, "new")]))
+    assert held(c) == sorted([(d, f"{d}:0", "second" if d < 4 else "first") for d in range(9)] + [(50, "50:1", "new")])
+    named = {f for v in c._versions() for f in c._load(v).folders.values()}
+    there = {f"data/{u}/{b}" for u in os.listdir(f"{c.path}/data") for b in os.listdir(f"{c.path}/data/{u}") if b.startswith("_bucket=")}
+    assert there == named
+
+
 # Search ------------------------------------------------------------------------------------------------------------
 
 
@@ -237,6 +257,21 @@ def test_stream_collection_reads_a_table_in_as_many_files_as_it_has_and_never_bo
     assert sorted((r.doc_id, r.tokens) for r in got) == [(i, 3) for i in range(12)]
 
 
+def test_stream_collection_writes_texts_once_for_each_time_they_come(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    docs = [(i, " ".join(f"{r.getrandbits(60):x}" for _ in range(500))) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for module in (session, streams):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    size = lambda top: sum(p.stat().st_size for p in top.rglob("*.parquet") if p.is_file())
+    before = dealt(spark)
+    got = stream_queries.stream_collection(spark, str(tmp_path)).collect()
+    assert len(got) == 300 and {x.tokens for x in got} == {501}
+    # Two versions of the collection, with vectors, and no other copy; texts are not shuffled.
+    assert size(tmp_path / "shared") < 3 * size(tmp_path / "documents.parquet")
+    assert dealt(spark) - before < size(tmp_path / "documents.parquet") / 4
+
+
 # Streams -----------------------------------------------------------------------------------------------------------
 
 
